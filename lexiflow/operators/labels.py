@@ -35,15 +35,15 @@ def key_to_name(cats: DataFrame) -> DataFrame:
 
 
 def multi_hot(cats: DataFrame, index: DataFrame) -> DataFrame:
-    """(issn, categories, hot): category names, duplicates kept, and a 0/1 array."""
-    in_order = F.sort_array(F.collect_list(F.struct("category_id", "category")))
-    names = index.agg(F.transform(in_order, lambda c: c["category"])).scalar()
+    """(issn, categories, hot): category names, duplicates kept, and a 0/1 array.
+
+    The driver sees the names of the categories, one per position of the array.
+    """
+    names = [row["category"] for row in index.orderBy("category_id").collect()]
     grouped = cats.groupBy(_bare_issn(F.col("issn")).alias("issn")).agg(
         F.sort_array(F.collect_list("category")).alias("categories")
     )
-    hot = F.transform(
-        names, lambda c: F.array_contains("categories", c).cast("smallint")
-    )
+    hot = F.array(*[F.array_contains("categories", n).cast("smallint") for n in names])
     return grouped.select("issn", "categories", hot.alias("hot"))
 
 

@@ -88,12 +88,12 @@ def build_postings(
 
 
 def save_postings(postings: DataFrame, path: str) -> DataFrame:
-    """Stored by field, sorted by term, so that row groups can be skipped by term.
+    """Stored by field; every file is sorted by term, so row groups are skipped by term.
 
-    The range keys include the id: a term of very many documents is cut over tasks.
+    Each task writes the postings of its own documents, like the segments of an
+    inverted index: nothing is shuffled, and a frequent term is spread by document.
     """
-    ranged = postings.repartitionByRange("field", "term", "doc_id")
-    ordered = ranged.sortWithinPartitions("field", "term", "doc_id")
+    ordered = postings.sortWithinPartitions("field", "term", "doc_id")
     ordered.write.partitionBy("field").parquet(path)
     return postings.sparkSession.read.parquet(path)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,19 @@ def _canonical_prefixes(x: Column) -> Column:
 
     The XPath functions of Spark see names with their prefix and know no namespaces.
     """
-    for prefix, uri in P.XML_NAMESPACES.items():
-        own = F.regexp_extract(x, rf"xmlns:([\w.-]+)\s*=\s*[\"']{uri}[\"']", 1)
+
+    def rewrite(prefix: str, uri: str, text: Column) -> Column:
+        own = F.regexp_extract(text, rf"xmlns:([\w.-]+)\s*=\s*[\"']{uri}[\"']", 1)
         tag = F.concat(F.lit("(</?)"), own, F.lit(":"))
-        x = F.when((own == "") | (own == prefix), x).otherwise(
-            F.regexp_replace(x, tag, F.lit(f"$1{prefix}:"))
+        return F.when((own == "") | (own == prefix), text).otherwise(
+            F.regexp_replace(text, tag, F.lit(f"$1{prefix}:"))
         )
-    return x
+
+    # One transform per namespace keeps the expression from multiplying.
+    state = F.array(x)
+    for prefix, uri in P.XML_NAMESPACES.items():
+        state = F.transform(state, partial(rewrite, prefix, uri))
+    return F.element_at(state, 1)
 
 
 def _joined(x: Column, name: str, separator: str) -> Column:
