@@ -57,6 +57,8 @@ LOCANT_TRAILER = rf"(?:[-/\d()\[\]{{}},={GREEK}]+[a-zA-Z]*)*"
 
 # --- tokens ----------------------------------------------------------------------
 WORD_RUN = r"[\p{L}\p{Nd}_]+"
+NOT_AFTER_WORD = r"(?<![\p{L}\p{Nd}_])"
+NOT_BEFORE_WORD = r"(?![\p{L}\p{Nd}_])"
 TOKEN = r"[\p{L}\p{Nd}_]+|[^\s\p{L}\p{Nd}_]"
 SENTENCE = r"[^.!?\n]+[.!?]*|[.!?]+"
 PLAIN_WORD = "[a-zA-Z][a-z]+"

@@ -49,8 +49,8 @@ def letter_terms(text: Column, min_length: int) -> Column:
 
     A run with accented letters or digits is one word and is dropped as a whole.
     """
-    whole = f"^[a-z]{{{min_length},}}$"
-    return F.filter(matches(F.lower(text), P.WORD_RUN), lambda run: run.rlike(whole))
+    word = f"{P.NOT_AFTER_WORD}[a-z]{{{min_length},}}{P.NOT_BEFORE_WORD}"
+    return matches(F.lower(text), word)
 
 
 def treebank_tokens(line: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
 HOT_KEYS = 1_000
 

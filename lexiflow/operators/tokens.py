@@ -69,13 +69,17 @@ def counts_as_map(counts: DataFrame, key: str = "term", value: str = "count") ->
 
 def stem_vocabulary(terms: DataFrame) -> DataFrame:
     """(term, stem) for the distinct terms: the cost is per word type."""
-    return terms.select("term").distinct().select("term", stem(F.col("term")).alias("stem"))
+    known = terms.select("term").where(F.col("term").isNotNull()).distinct()
+    return known.select("term", stem(F.col("term")).alias("stem"))
 
 
 def stem_counts(counts: DataFrame, stems: DataFrame) -> DataFrame:
-    """Replace terms by stems in a long count table and add up what falls together."""
+    """Replace terms by stems in a long count table and add up what falls together.
+
+    The null term of an empty document stays.
+    """
     return (
-        lookup_join(counts, stems, "term")
+        lookup_join(counts, stems, "term", "left")
         .groupBy("doc_id", F.col("stem").alias("term"))
         .agg(F.sum("count").alias("count"))
     )
@@ -91,15 +95,25 @@ def pattern_term_counts(
 
     A document without a term stays as one row with a null term and count 0.
     """
-    words = F.explode(X.letter_terms(F.col("body"), min_length))
-    counts = df.select("doc_id", words.alias("term")).groupBy("doc_id", "term").count()
+    words = F.explode_outer(X.letter_terms(F.col("body"), min_length))
+    counts = (
+        df.select("doc_id", words.alias("term"))
+        .groupBy("doc_id", "term")
+        .agg(F.count("term").alias("count"))
+    )
     if stemmed:
         counts = stem_counts(counts, stem_vocabulary(counts))
-    if stop_words is not None:
-        counts = lookup_join(counts, stop_words.select("term").distinct(), "term", "left_anti")
+    if stop_words is None:
+        return counts
+    kept = lookup_join(
+        counts.where(F.col("term").isNotNull()),
+        stop_words.select("term").distinct(),
+        "term",
+        "left_anti",
+    )
     return (
         df.select("doc_id")
-        .join(counts, "doc_id", "left")
+        .join(kept, "doc_id", "left")
         .withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
     )
 

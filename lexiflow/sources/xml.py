@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import partial
+import re
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from xml.etree import ElementTree
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.functions import patterns as P
 
-_CHECK = "check"
-
 
 def scan_xml(spark: SparkSession, root: str, name_pattern: str) -> DataFrame:
     """Whole files under a directory tree whose name matches -> (file_name, path, x)."""
@@ -32,63 +33,61 @@ def dedupe_by_name(files: DataFrame) -> DataFrame:
     return files.join(first, ["file_name", "path"], "left_semi")
 
 
-def _canonical_prefixes(x: Column) -> Column:
-    """Rewrite each namespace's own prefix to the fixed one.
-
-    The XPath functions of Spark see names with their prefix and know no namespaces.
-    """
-
-    def rewrite(prefix: str, uri: str, text: Column) -> Column:
-        own = F.regexp_extract(text, rf"xmlns:([\w.-]+)\s*=\s*[\"']{uri}[\"']", 1)
-        tag = F.concat(F.lit("(</?)"), own, F.lit(":"))
-        return F.when((own == "") | (own == prefix), text).otherwise(
-            F.regexp_replace(text, tag, F.lit(f"$1{prefix}:"))
-        )
-
-    # One transform per namespace keeps the expression from multiplying.
-    state = F.array(x)
-    for prefix, uri in P.XML_NAMESPACES.items():
-        state = F.transform(state, partial(rewrite, prefix, uri))
-    return F.element_at(state, 1)
-
-
-def _joined(x: Column, name: str, separator: str) -> Column:
-    texts = F.xpath(x, F.lit(f"//*[name()='{name}']//text()"))
-    return F.array_join(texts, separator)
-
-
-def _field(x: Column, what: str) -> Column:
-    if what == "PII":
-        first = F.xpath_string(x, F.lit("//*[local-name()='pii']"))
-        return F.regexp_replace(first, "[^a-zA-Z0-9]", "")
-    if what == "Pages":
-        return F.concat_ws("-", _field(x, "FirstPage"), _field(x, "LastPage"))
-    return _joined(x, P.XML_FIELDS[what], " " if what == "Authors" else "")
+def _read_fields(x: str, what: Sequence[str]) -> tuple[str, ...] | None:
+    """The wanted fields of one document, or None when it cannot be read."""
+    try:
+        root = ElementTree.fromstring(x)
+    except ElementTree.ParseError:
+        return None
+    texts: dict[str, list[str]] = defaultdict(list)
+    for node in root.iter():
+        if isinstance(node.tag, str):
+            text = "".join(node.itertext())
+            texts[node.tag].append(text)
+            texts[node.tag.rpartition("}")[2]].append(text)
+
+    def one(name: str, separator: str = "") -> str:
+        prefix, local = P.XML_FIELDS[name].split(":")
+        return separator.join(texts[f"{{{P.XML_NAMESPACES[prefix]}}}{local}"])
+
+    values = []
+    for name in what:
+        if name == "PII":
+            if not texts["pii"]:
+                return None
+            values.append(re.sub("[^a-zA-Z0-9]", "", texts["pii"][0]))
+        elif name == "Pages":
+            values.append(f"{one('FirstPage')}-{one('LastPage')}")
+        else:
+            values.append(one(name, " " if name == "Authors" else ""))
+    return tuple(values)
 
 
 def extract_xml_fields(
-    files: DataFrame, what: Sequence[str] = P.XML_DEFAULT_FIELDS, x: str = "x"
+    files: DataFrame, what: Sequence[str] = P.XML_DEFAULT_FIELDS
 ) -> DataFrame:
-    """Pick metadata fields of each document; unreadable documents are skipped.
-
-    Several nodes of a field are concatenated, authors with a space. When the id is
-    asked for, a document without one counts as unreadable. A malformed document
-    would abort an XPath call, so every call is guarded by a parse that cannot fail.
+    """Pick metadata fields of each (file_name, x); unreadable documents are skipped.
+
+    Fields are named by namespace and local name at any depth, which the XPath
+    functions of Spark cannot do (they see no namespaces, parse the document once per
+    field, and abort on a malformed one). So each Arrow batch is parsed in Python, one
+    parse per document. Several nodes of a field are concatenated, authors with a
+    space. The id is the first `pii` of any namespace; when it is asked for, a document
+    without one is skipped.
     """
     unknown = set(what) - set(P.XML_FIELDS) - {"PII", "Pages"}
     if unknown:
         raise ValueError(f"no such field: {sorted(unknown)}")
-    parsed = F.from_xml(F.col(x), F.lit("_corrupt_record STRING"), {"mode": "PERMISSIVE"})
-    sound = files.withColumn(_CHECK, parsed).withColumn(
-        _CHECK, F.col(_CHECK).isNotNull() & F.col(f"{_CHECK}._corrupt_record").isNull()
-    )
-    ready = sound.withColumn(x, F.when(F.col(_CHECK), _canonical_prefixes(F.col(x))))
-    if "PII" in what:
-        has_id = F.when(
-            F.col(x).isNotNull(), F.xpath_boolean(F.col(x), F.lit("//*[local-name()='pii']"))
-        ).otherwise(F.lit(False))
-        ready = ready.withColumn(_CHECK, has_id)
-    picked = [
-        F.when(F.col(x).isNotNull(), _field(F.col(x), name)).alias(name) for name in what
-    ]
-    return ready.where(_CHECK).select("file_name", *picked)
+    names = tuple(what)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                (file_name, *fields)
+                for file_name, x in zip(batch["file_name"], batch["x"])
+                if x is not None and (fields := _read_fields(x, names)) is not None
+            ]
+            yield pd.DataFrame(found, columns=["file_name", *names])
+
+    schema = ", ".join(f"{name} string" for name in ("file_name", *names))
+    return files.select("file_name", "x").mapInPandas(read, schema)
