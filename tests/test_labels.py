@@ -1,0 +1,100 @@
+import pytest
+from conftest import tuples
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from lexiflow.operators import classify, labels
+
+
+@pytest.fixture
+def cats(spark):
+    rows = [
+        ("J", "1234-5678", "B"), ("J", "1234-5678", "A"), ("K", "2222-2222", "C"),
+        ("I", "2222-2222", "C2"), ("L", "3333-3333", "A"), ("M", "4444-444X", "A"),
+        ("M", "4444-444X", "A"),
+    ]
+    return spark.createDataFrame(rows, "journal string, issn string, category string")
+
+
+@pytest.fixture
+def docs(spark):
+    keys = ["33333333", "12345678", "99999999", "4444444X"]
+    rows = [(f"S{key}0{i}", [float(i), 1.0]) for i, key in enumerate(keys)]
+    return spark.createDataFrame(rows, "doc_id string, embedding array<double>")
+
+
+@pytest.fixture
+def index(cats):
+    return labels.category_index(cats)
+
+
+def test_index_and_names(cats, index):
+    assert tuples(index) == [("A", 0), ("B", 1), ("C", 2), ("C2", 3)]
+    assert ("22222222", "I") in tuples(labels.key_to_name(cats))
+
+
+def test_multi_hot(cats, index):
+    got = {r["issn"]: (r["categories"], r["hot"]) for r in labels.multi_hot(cats, index).collect()}
+    assert got["12345678"] == (["A", "B"], [1, 1, 0, 0])
+    assert got["4444444X"] == (["A", "A"], [1, 0, 0, 0])
+
+
+def test_unique_labels(docs, cats, index):
+    journals = labels.multi_hot(cats, index)
+    labelled = labels.label_unique(docs, journals, index)
+    # One category; several, unknown and twice the same share the catch-all.
+    assert tuples(labelled, "doc_id", "category") == [
+        ("S1234567801", 4), ("S3333333300", 0), ("S4444444X03", 4), ("S9999999902", 4)
+    ]
+    assert "0,0.0,1.0" in [r[0] for r in labels.label_lines(labelled).collect()]
+    assert "0,0.00,1.00" in [r[0] for r in labels.label_lines(labelled, 2).collect()]
+
+
+def test_all_labels(docs, cats, index):
+    got = labels.label_all(docs, labels.multi_hot(cats, index), index)
+    assert tuples(got, "doc_id", "category") == [
+        ("S1234567801", 0), ("S1234567801", 1), ("S3333333300", 0),
+        ("S4444444X03", 0), ("S4444444X03", 0),
+    ]
+
+
+def test_points(docs, spark):
+    targets = labels.target_index(docs)
+    points = labels.labeled_points(docs, targets)
+    rows = tuples(points.select("doc_id", "label", vector_to_array("features").alias("x")))
+    assert rows[0] == ("S1234567801", 0.0, [1.0, 1.0])
+    stored = spark.createDataFrame([("S3333333300", [2.0, 6.0])], "doc_id string, embedding array<double>")
+    older = labels.labeled_points(stored, targets, leading_count=True)
+    assert older.first()["features"].toArray().tolist() == [3.0]
+
+
+def test_groups_never_straddle(spark):
+    df = spark.range(3000).select((F.col("id") % 500).cast("string").alias("doc_id"), "id")
+    train, test = labels.split_groups(df)
+    assert train.join(test, "doc_id", "left_semi").count() == 0
+    assert train.count() + test.count() == 3000
+    assert 0.7 < train.count() / 3000 < 0.9
+    left, right = labels.split_rows(df)
+    assert left.count() + right.count() == 3000
+
+
+def test_export_lines(docs, spark):
+    issns = spark.createDataFrame([("S3333333300", "3333-3333")], "doc_id string, body string")
+    got = labels.export_vectors(docs, issns)
+    assert tuples(got) == [("3333-3333\t0.0\t1.0",)]
+
+
+def test_classifier_learns_and_reloads(spark, tmp_path):
+    n = F.col("id")
+    points = spark.range(300).select(
+        n.cast("string").alias("doc_id"),
+        (n % 3).cast("double").alias("label"),
+        array_to_vector(F.array((n % 3).cast("double"), ((n % 3) ** 2).cast("double"))).alias("features"),
+    )
+    train, test = labels.split_by_hash(points)
+    bundle = classify.train_and_predict(train, test, maxIter=30)
+    assert bundle.predictions.where("label <> prediction").count() == 0
+    classify.save_training(bundle, str(tmp_path / "m"))
+    model = classify.load_model(str(tmp_path / "m"))
+    assert tuples(classify.predict(model, test)) == tuples(bundle.predictions)
+    assert spark.read.parquet(str(tmp_path / "m/training-ids")).count() == train.count()

@@ -1,0 +1,115 @@
+import math
+
+import numpy as np
+import pytest
+from conftest import tuples
+from pyspark.sql import functions as F
+
+from lexiflow.operators import lsi, vectors
+
+
+def test_top_vocabulary(spark, terms):
+    df = spark.createDataFrame([("a", 3), ("c", 2), ("b", 2)], "term string, df long")
+    assert tuples(vectors.top_vocabulary(df, 1, terms("a"))) == [("b", 2, 0)]
+    assert tuples(vectors.top_vocabulary(df, 9), "term", "term_id") == [
+        ("a", 0), ("b", 1), ("c", 2)
+    ]
+
+
+@pytest.fixture
+def matrix(spark):
+    """Cells of a small document-term matrix; the last document is empty."""
+    dense = np.array([[1.0, 0, 2, 0], [0, 3, 0, 1], [2, 1, 0, 0], [0, 0, 1, 1], [0, 0, 0, 0]])
+    cells = [
+        (f"d{i}", j, float(dense[i, j])) for i in range(5) for j in range(4) if dense[i, j]
+    ]
+    df = spark.createDataFrame(cells, "doc_id string, term_id long, weight double")
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(5)], "doc_id string")
+    return dense, df, docs
+
+
+def test_term_vectors(spark):
+    weights = spark.createDataFrame(
+        [("d1", "a", 0.5), ("d1", "x", 0.1), ("d2", "x", 1.0)],
+        "doc_id string, term string, weight double",
+    )
+    vocabulary = spark.createDataFrame([("a", 7, 0)], "term string, df long, term_id long")
+    cells = vectors.term_vectors(weights, vocabulary)
+    assert tuples(cells) == [("d1", 0, 0.5)]
+    # Size as asked, and an empty vector for the document without a kept term.
+    sparse = vectors.sparse_vectors(cells, weights, 5).orderBy("doc_id").collect()
+    assert [(row["v"].size, row["v"].numNonzeros()) for row in sparse] == [(5, 1), (5, 0)]
+
+
+def test_svd_matches_numpy(spark, matrix):
+    dense, cells, docs = matrix
+    sparse = vectors.sparse_vectors(cells, docs, 4)
+    model = lsi.lsi(sparse, 4, 3)
+    u, s, vt = np.linalg.svd(dense, full_matrices=False)
+    assert model.singular_values == pytest.approx(list(s[:3]))
+    got = lsi.lsi_doc_vectors(cells, docs, model).orderBy("doc_id").collect()
+    ours = np.array([row["embedding"] for row in got])
+    assert np.allclose(np.abs(ours), np.abs(u[:, :3]), atol=1e-9)
+    vocabulary = spark.createDataFrame(
+        [(f"t{i}", 1, i) for i in range(4)], "term string, df long, term_id long"
+    )
+    rows = lsi.lsi_term_vectors(model, vocabulary).collect()
+    for row in rows:
+        assert math.isclose(sum(x * x for x in row["vec"]), 1.0)
+        expected = vt[:3, row["term_id"]] * s[:3]
+        assert np.allclose(np.abs(row["vec"]), np.abs(expected / np.linalg.norm(expected)))
+
+
+def test_rank_limits_the_dimension(matrix):
+    _, cells, docs = matrix
+    one = cells.where("doc_id = 'd0'")
+    assert lsi.lsi(vectors.sparse_vectors(one, docs, 4), 4, 3).dim == 1
+
+
+def test_term_without_weight_has_null_vector(spark, matrix):
+    _, cells, docs = matrix
+    model = lsi.lsi(vectors.sparse_vectors(cells, docs, 5), 5, 2)
+    vocabulary = spark.createDataFrame([("t", 0, 4)], "term string, df long, term_id long")
+    assert lsi.lsi_term_vectors(model, vocabulary).first()["vec"] == [None, None]
+
+
+def test_gramian(matrix):
+    dense, cells, docs = matrix
+    got = lsi.gramian(vectors.sparse_vectors(cells, docs, 4), 4).collect()
+    expected = dense.T @ dense
+    assert {(r["i"], r["j"]): r["value"] for r in got} == pytest.approx(
+        {(i, j): expected[i, j] for i in range(4) for j in range(i, 4) if expected[i, j]}
+    )
+    with pytest.raises(ValueError):
+        lsi.gramian(vectors.sparse_vectors(cells, docs, 4), lsi.MAX_GRAMIAN_SIDE + 1)
+
+
+def test_weighted_means(spark):
+    rows = spark.createDataFrame(
+        [("d1", 1.0, [0.0, 2.0]), ("d1", 3.0, [4.0, 2.0]), ("d2", 0.0, [1.0, 1.0])],
+        "doc_id string, weight double, vec array<float>",
+    )
+    got = dict(tuple(r) for r in vectors.doc_vectors_weighted(rows).collect())
+    assert got == {"d1": [3.0, 2.0], "d2": [None, None]}
+
+
+def test_plain_means(spark):
+    pairs = spark.createDataFrame(
+        [("a", "d1"), ("a", "d1"), ("b", "d1"), ("x", "d1")], "token string, doc_id string"
+    )
+    vecs = spark.createDataFrame([("a", [3.0]), ("b", [0.0])], "term string, vec array<float>")
+    assert tuples(vectors.doc_vectors_mean(pairs, vecs)) == [("d1", [2.0])]
+    stored = vectors.counted_sums(pairs, vecs)
+    assert tuples(stored) == [("d1", [3.0, 6.0])]
+    again = stored.select(vectors.divide_by_count(F.col("embedding")).alias("mean"))
+    assert tuples(again) == [([2.0],)]
+
+
+def test_word_vectors(spark):
+    rows = spark.createDataFrame([(["red", "blue", "rare"],)] + [(["red", "blue"],)] * 9, "terms array<string>")
+    exported = []
+    for _ in range(2):
+        model = vectors.train_word_vectors(rows, dim=4, partitions=1)
+        exported.append(tuples(vectors.export_word_vectors(model)))
+    assert [(term, len(vec)) for term, vec in exported[0]] == [("blue", 4), ("red", 4)]
+    assert exported[0] == exported[1]
