@@ -91,7 +91,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = _padded(F.col("s_suppkey"))
     journals = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0)
     placed = journals.join(
-        F.broadcast(table(spark, sf_dir, "nation")),
+        table(spark, sf_dir, "nation"),
         F.col("s_nationkey") == F.col("n_nationkey"),
     ).select(
         "s_suppkey",
@@ -104,7 +104,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).otherwise(F.array("n_regionkey"))
         ).alias("r_regionkey"),
     )
-    named = placed.join(F.broadcast(table(spark, sf_dir, "region")), "r_regionkey")
+    named = placed.join(table(spark, sf_dir, "region"), "r_regionkey")
     return named.select("journal", "issn", F.col("r_name").alias("category"))
 
 

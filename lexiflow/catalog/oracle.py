@@ -288,7 +288,7 @@ def _stem_sql() -> str:
             f"s{i} as (select term, case when length(term) < 3 then w else {step} end as w "
             f"from s{i - 1})"
         )
-    return ", " + ",\n".join(steps) + f"\nselect term, w as stem from s{len(steps) - 1}"
+    return ", " + ",\n".join(steps) + f", stems as (select term, w as stem from s{len(steps) - 1})\n"
 
 
 _CTES["letters"] = f"""
@@ -349,6 +349,11 @@ def build() -> dict[str, str]:
     )
     sql["scan_tsv_field"] = _with("corpus", f"select doc_id, {_ONE_LINE} as body from corpus")
     sql["scan_tsv_titles"] = _with("corpus", "select doc_id, 'On ' || source as body from corpus")
+    sql["scan_index_articles"] = _with(
+        "corpus",
+        f"select doc_id, 'On ' || source as title, {_KEY} as issn, source as journal, "
+        f"{_ONE_LINE} as abstract, lower(doc_id) as id_key from corpus",
+    )
     sql["scan_categories"] = _with("cats", "select * from cats")
     sql["scan_terms"] = (
         "select distinct term from (select unnest(string_split_regex(text, '\\s+')) as term "
@@ -467,12 +472,19 @@ def build() -> dict[str, str]:
         f'select doc_id, token, count(*) as "count" from ({pairs}) '
         "where length(token) > 3 group by all",
     )
-    sql["terms_stem"] = _with("corpus letters", _stem_sql())
+    sql["terms_stem"] = _with("corpus letters", _stem_sql() + "select * from stems")
     sql["pattern_term_counts"] = _with(
         "corpus words bag dictionary",
         'select doc_id, b.term, coalesce(n, 0) as "count" from corpus left join '
         "(select * from bag where term not in (select term from dictionary)) b using (doc_id)",
     )
+    sql["stemmed_term_counts"] = _with(
+        "corpus letters words bag dictionary",
+        _stem_sql() + ", stemmed as (select doc_id, stem as term, sum(n) as n from bag "
+        "join stems using (term) where stem not in (select term from dictionary) "
+        'group by all) select doc_id, term, cast(coalesce(n, 0) as bigint) as "count" '
+        "from corpus left join stemmed using (doc_id)",
+    )
     sql["ptb_tokens"] = _with("corpus treebank", "select doc_id, token from treebank")
     sql["token_shapes"] = _with(
         "corpus treebank",
@@ -487,6 +499,11 @@ def build() -> dict[str, str]:
                   from treebank) group by 1""",
     )
     sql["annotate_tokens"] = _with("corpus lexicon", _annotated("body", "corpus", "annotated"))
+    sql["annotation_lines"] = _with(
+        "corpus lexicon",
+        f", a as ({_annotated('body', 'corpus', 'annotated')}) "
+        "select concat(doc_id, chr(9), '1', chr(9), annotated) as value from a",
+    )
     sql["annotate_articles"] = _with(
         "corpus articles lexicon",
         f", a as ({_annotated('title', 'articles', 'title')}), "
@@ -549,15 +566,15 @@ def build() -> dict[str, str]:
     sql["join_vectors_weights"] = _with(
         _WEIGHTS + " ranked_terms wv",
         "select doc_id, round(weight, 6) as weight, "
-        "round(list_sum(list_transform(vec, lambda x: cast(x as double))), 6) as vec_sum "
+        "round(list_sum(list_transform(vec, lambda x: cast(x as double))), 6) + 0 as vec_sum "
         "from weighted join wv using (term)",
     )
     sql["doc_vectors_weighted"] = _with(
         _WEIGHTS + " ranked_terms wv wv_cells",
         "select doc_id, pos, round(sum(weight * cast(x as double)) / nullif(sum(weight), 0), 6) "
-        "as value from weighted join wv_cells using (term) group by all",
+        "+ 0 as value from weighted join wv_cells using (term) group by all",
     )
-    sql["doc_vectors_mean"] = _with(_MEANS, "select doc_id, pos, round(value, 6) as value from means")
+    sql["doc_vectors_mean"] = _with(_MEANS, "select doc_id, pos, round(value, 6) + 0 as value from means")
 
     # categories and labels
     sql["category_index"] = _with("cats cat_index", "select * from cat_index")
@@ -604,8 +621,9 @@ def build() -> dict[str, str]:
     sql["labeled_points"] = _with(
         _MEANS,
         f", t as ({targets}) select doc_id, cast(target as double) as label, pos, "
-        f"round(value, 6) as value from means join t on {_KEY} = issn",
+        f"round(value, 6) + 0 as value from means join t on {_KEY} = issn",
     )
+    sql["mean_from_sums"] = sql["doc_vectors_mean"]
     sql["export_vectors"] = _with(
         _MEANS,
         f"select concat({_KEY}, chr(9), string_agg({fixed}, chr(9) order by pos)) as value "

@@ -104,6 +104,11 @@ def scan_tsv_titles(spark, sf_dir):
     return tables.scan_tsv_field(spark, _article_file(spark, sf_dir), "title")
 
 
+@query
+def scan_index_articles(spark, sf_dir):
+    return search.scan_index_articles(spark, _article_file(spark, sf_dir))
+
+
 @query
 def scan_categories(spark, sf_dir):
     path = fresh_path(spark, "categories")
@@ -295,6 +300,12 @@ def pattern_term_counts(spark, sf_dir):
     return tokens.pattern_term_counts(I.by_id(spark, sf_dir), stop, stemmed=False)
 
 
+@query
+def stemmed_term_counts(spark, sf_dir):
+    stop = I.dictionary(spark, sf_dir)
+    return tokens.pattern_term_counts(I.by_id(spark, sf_dir), stop)
+
+
 @query
 def ptb_tokens(spark, sf_dir):
     return tokens.ptb_tokens(I.wide(spark, sf_dir))
@@ -312,6 +323,12 @@ def annotate_tokens(spark, sf_dir):
     return annotate.annotate_tokens(I.by_id(spark, sf_dir), I.lexicon(spark))
 
 
+@query
+def annotation_lines(spark, sf_dir):
+    annotated = annotate.annotate_tokens(I.by_id(spark, sf_dir), I.lexicon(spark))
+    return annotate.annotation_lines(annotated)
+
+
 @query
 def annotate_articles(spark, sf_dir):
     articles = I.articles(spark, sf_dir)
@@ -433,12 +450,13 @@ def doc_vectors_weighted(spark, sf_dir):
     return _coordinates(means, "embedding", "doc_id")
 
 
-def _mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs_and_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     freqs = stage(weights.doc_freq(I.term_bag(spark, sf_dir)), "doc-freq")
-    pairs = tokens.token_pairs(I.by_id(spark, sf_dir))
-    return vectors.doc_vectors_mean(
-        pairs, I.word_vectors(spark, sf_dir, freqs), I.VECTOR_DIM
-    )
+    return tokens.token_pairs(I.by_id(spark, sf_dir)), I.word_vectors(spark, sf_dir, freqs)
+
+
+def _mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.doc_vectors_mean(*_pairs_and_vectors(spark, sf_dir), I.VECTOR_DIM)
 
 
 @query
@@ -446,6 +464,14 @@ def doc_vectors_mean(spark, sf_dir):
     return _coordinates(_mean_vectors(spark, sf_dir), "embedding", "doc_id")
 
 
+@query
+def mean_from_sums(spark, sf_dir):
+    """The same means by way of the older stored form, count first."""
+    sums = vectors.counted_sums(*_pairs_and_vectors(spark, sf_dir), I.VECTOR_DIM)
+    means = sums.select("doc_id", vectors.divide_by_count(F.col("embedding")).alias("embedding"))
+    return _coordinates(means, "embedding", "doc_id")
+
+
 def _lsi_model(spark: SparkSession, sf_dir: str):
     vocabulary, cells, docs = _lsi_parts(spark, sf_dir, I.LSI_TERMS)
     sparse = vectors.sparse_vectors(cells, docs, I.LSI_TERMS)

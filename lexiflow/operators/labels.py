@@ -13,7 +13,11 @@ from lexiflow.operators.weights import hash_percent
 
 
 def _numbered(keys: DataFrame, column: str, name: str) -> DataFrame:
-    """Number distinct keys from 0 in order; keys are few (categories, journals)."""
+    """Number distinct keys from 0 in order.
+
+    The keys become the classes of a classifier, whose coefficients (classes x dim) live
+    on the driver, so one task can number them. Duplicates are dropped before that.
+    """
     rank = F.row_number().over(Window.orderBy(column)) - 1
     return keys.distinct().select(column, rank.cast("bigint").alias(name))
 
@@ -59,7 +63,7 @@ def label_unique(df: DataFrame, journals: DataFrame, index: DataFrame) -> DataFr
     single = journals.where(F.size("categories") == 1).select(
         "issn", F.get("categories", F.lit(0)).alias("category")
     )
-    classes = single.join(F.broadcast(index), "category").select("issn", "category_id")
+    classes = single.join(index, "category").select("issn", "category_id")
     catch_all = index.agg(F.count(F.lit(1))).scalar()
     return (
         lookup_join(_with_issn(df), classes, "issn", "left")
@@ -80,7 +84,7 @@ def label_all(df: DataFrame, journals: DataFrame, index: DataFrame) -> DataFrame
     """One row per document and category of its journal; unknown journals are dropped."""
     classes = (
         journals.select("issn", F.explode("categories").alias("category"))
-        .join(F.broadcast(index), "category")
+        .join(index, "category")
         .select("issn", F.col("category_id").alias("category"))
     )
     return lookup_join(_with_issn(df), classes, "issn").drop("issn")

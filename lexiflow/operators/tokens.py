@@ -11,6 +11,7 @@ from lexiflow.functions import patterns as P
 from lexiflow.functions import text as X
 from lexiflow.functions.stem import stem, stem_array
 from lexiflow.operators.joins import lookup_join
+from lexiflow.session import stage
 
 # A normaliser maps an array of tokens to an array of terms.
 Normalizer = Callable[[Column], Column]
@@ -93,7 +94,9 @@ def pattern_term_counts(
 ) -> DataFrame:
     """(doc_id, term, count) of a-z words; stop words are compared with the stems.
 
-    A document without a term stays as one row with a null term and count 0.
+    A document without a term stays as one row with a null term and count 0. For
+    stemming, the counts are stored first, so that texts are searched only once, and
+    each distinct word is stemmed once.
     """
     words = F.explode_outer(X.letter_terms(F.col("body"), min_length))
     counts = (
@@ -102,7 +105,9 @@ def pattern_term_counts(
         .agg(F.count("term").alias("count"))
     )
     if stemmed:
-        counts = stem_counts(counts, stem_vocabulary(counts))
+        counts = stage(counts, "word-counts")
+        stems = stage(stem_vocabulary(counts), "stems")
+        counts = stem_counts(counts, stems)
     if stop_words is None:
         return counts
     kept = lookup_join(
