@@ -21,7 +21,7 @@ LEXICON = [
     ("are", None, "VBP", "be"),
 ]
 VOCABULARY_SIZE = 10_000
-SEEDS_IN_PATTERN = 1_000
+SEEDS_IN_PATTERN = 100_000
 LSI_TERMS = 200
 LSI_DIM = 10
 VECTOR_DIM = 64
@@ -130,7 +130,7 @@ def chemical_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_pattern(spark: SparkSession, sf_dir: str) -> str:
     known = dictionary(spark, sf_dir)
-    kept = seeds.clean_seeds(chemical_seeds(spark, sf_dir), known, known.limit(0))
+    kept = seeds.clean_seeds(chemical_seeds(spark, sf_dir), known, known.where(F.lit(False)))
     return seeds.lexicon_pattern(seeds.seed_heads(kept), SEEDS_IN_PATTERN)
 
 

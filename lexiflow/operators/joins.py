@@ -30,22 +30,20 @@ def lookup_join(
     """Join rows to a lookup table on one key.
 
     A table measured to be small is broadcast. Otherwise the HOT_KEYS most frequent
-    keys of rows never enter the shuffle: their table entries are few by the limit,
-    so they are joined by broadcast, and the rest is shuffled by a key that no longer
-    dominates. Every row takes exactly one of the two ways.
+    keys of rows are looked up apart: their part of the table is measured too, and
+    broadcast, so they never enter the shuffle. All other keys are shuffled, and none of
+    them dominates. Every row takes exactly one of the two ways. When even the hot part
+    is large (a key with very many entries), the join is left to the skew handling of
+    adaptive execution, which splits a large partition wherever its rows come from.
     """
     if fits_broadcast(table, max_rows, max_bytes):
         return rows.join(F.broadcast(table), on, how)
-    hot = F.broadcast(
-        rows.where(F.col(on).isNotNull())
-        .groupBy(on)
-        .count()
-        .orderBy(F.desc("count"), on)
-        .limit(HOT_KEYS)
-        .select(on)
-    )
-    hot_rows = rows.join(hot, on, "left_semi")
-    cold_rows = rows.join(hot, on, "left_anti")
-    hot_table = table.join(hot, on, "left_semi")
-    by_broadcast = hot_rows.join(F.broadcast(hot_table), on, how)
-    return by_broadcast.unionByName(cold_rows.join(table, on, how))
+    counts = rows.where(F.col(on).isNotNull()).groupBy(on).count()
+    top = counts.orderBy(F.desc("count"), on).limit(HOT_KEYS).collect()
+    is_hot = F.coalesce(F.col(on).isin([row[on] for row in top]), F.lit(False))
+    hot_table = table.where(is_hot)
+    if not fits_broadcast(hot_table):
+        return rows.join(table, on, how)
+    by_broadcast = rows.where(is_hot).join(F.broadcast(hot_table), on, how)
+    by_shuffle = rows.where(~is_hot).join(table.where(~is_hot), on, how)
+    return by_broadcast.unionByName(by_shuffle)

@@ -46,7 +46,19 @@ def test_size_check(spark, table):
     assert not joins.fits_broadcast(table, max_bytes=100)
 
 
-def test_large_table_is_not_broadcast_whole(skewed, table):
+def test_large_table_is_split_by_key(skewed, table, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_KEYS", 1)
     plan = joins.lookup_join(skewed, table.hint("merge"), "k", "inner", max_rows=5)
     text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" in text and "GlobalLimit 1000" in text
+    assert "Union" in text and "(k#" in text and "= hot" in text
+
+
+def test_many_entries_of_a_hot_key_are_not_broadcast(spark, skewed, table, monkeypatch):
+    # A thousand entries of one key: neither the table nor its hot part fits.
+    extra = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
+    many = table.unionByName(extra)
+    plain = skewed.join(many, "k")
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *args: False)
+    got = joins.lookup_join(skewed, many, "k")
+    assert "broadcast" not in got._jdf.queryExecution().logical().toString()
+    assert got.count() == plain.count() == 1000 * 1001 + skewed.join(table, "k").count() - 1000
