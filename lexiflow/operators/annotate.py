@@ -30,7 +30,7 @@ def annotate_tokens(df: DataFrame, lexicon: DataFrame) -> DataFrame:
         F.lit("|0|0>"),
     )
     item = F.when(F.col("token").isNotNull(), F.struct("pos", text.alias("text")))
-    in_order = F.transform(F.sort_array(F.collect_list(item)), lambda t: t["text"])
+    in_order = F.sort_array(F.collect_list(item))["text"]
     return known.groupBy("doc_id").agg(F.array_join(in_order, " ").alias("annotated"))
 
 

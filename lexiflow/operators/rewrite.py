@@ -48,8 +48,14 @@ def filter_masked(
         P.PAREN_MASK,
     ),
 ) -> DataFrame:
-    """Documents that received a mask."""
-    return df.where(F.col("body").rlike("|".join(masks)))
+    """Documents that received a mask.
+
+    The generator keeps the filter above the rewriting of the body. Pushed below, it
+    would repeat all the rewriting for every row.
+    """
+    others = [name for name in df.columns if name != "body"]
+    once = df.select(*others, F.explode(F.array("body")).alias("body"))
+    return once.where(F.col("body").rlike("|".join(masks))).select(*df.columns)
 
 
 def extract_matches(df: DataFrame, pattern: str) -> DataFrame:

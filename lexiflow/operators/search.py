@@ -68,9 +68,9 @@ def build_postings(
             "term",
             "doc_id",
             F.size("o").cast("bigint").alias("freq"),
-            F.transform("o", lambda x: x["pos"]).alias("positions"),
-            F.transform(
-                "o", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
+            F.col("o.pos").alias("positions"),
+            F.arrays_zip(
+                F.col("o.start").alias("start"), F.col("o.end").alias("end")
             ).alias("offsets"),
             "doc_len",
         )
