@@ -47,10 +47,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     With keys: hash-partition once, so that every later grouping, window or join
     on those keys needs no exchange of its own. The rows moved are the texts, not
-    the many times larger exploded tokens. Without keys: only a scan with fewer
-    tasks than cores is widened; a large scan is left as it is.
+    the many times larger exploded tokens. The configured number of partitions is given
+    explicitly, because adaptive execution would merge them by the size of the texts and
+    not by that of the tokens. Without keys: only a scan with fewer tasks than cores is
+    widened; a large scan is left as it is.
     """
     if keys:
-        return df.repartition(*keys)
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(partitions, *keys)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
