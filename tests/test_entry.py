@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from lexiflow.catalog.oracle import build
+from lexiflow.catalog.queries import QUERIES
 
 SMALL = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
@@ -17,9 +19,8 @@ CHECKED = [
 
 
 def test_names_agree():
-    queries, sql = entry_points.queries(), entry_points.oracle_sql()
-    assert set(sql) <= set(queries)
-    assert set(queries) - set(sql) == {
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(QUERIES) - set(build()) == {
         "word2vec", "lsi_singular_values", "lsi_doc_vectors", "lsi_term_vectors",
         "predict_labels", "classify_by_word_vectors", "classify_by_lsi",
     }
