@@ -75,3 +75,29 @@ select d.doc_id, coalesce(r.n_lines, 0)::bigint as n_lines, coalesce(r.n_removed
   case when d.text is not null then r.text end as text
 from docs d left join rebuilt r using (row_no)
 """
+
+SQL["op7_archive"] = r"""
+with rows as (
+  select page_id, coalesce(html, '') as body, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes from pages),
+marked as (
+  select *, sha1(body) as payload_digest,
+    case when payload_bytes >= 1000 then max(page_id) over (partition by body) end as largest
+  from rows)
+select page_id, payload_bytes, payload_digest,
+  case when largest is not null and page_id is distinct from largest then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from largest then largest end as refers_to
+from marked
+"""
+
+SQL["op9_top_k"] = r"""
+with rows as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id,
+    list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score
+  from rows q join rows c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
+select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+from pairs qualify rank <= 5
+"""
