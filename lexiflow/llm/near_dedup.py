@@ -8,12 +8,16 @@ confirmed on the full sets.
 
 Buckets of any size are handled without emitting their pairs:
 
-1. each class is compared with the smallest class of each of its buckets; the closest one
-   that the estimate allows is confirmed, and the links give provisional components;
-2. inside a bucket, only classes of different components can still change the result. Such
-   pairs meet in a join on the bucket whose condition is the estimate, and are confirmed.
+1. The hub of a bucket is its class with the most company over all of its buckets, which
+   is the original where copies of it were edited. Each class joins the cluster of the hub
+   whose estimate is closest, and the two are compared.
+2. In a cluster, classes that are not linked to the hub are compared with all the others,
+   in blocks of about BLOCK classes a side that hold the full sets. A block returns a
+   spanning forest of its links at most.
+3. Classes that share a bucket but neither cluster nor, by now, component meet in a join on
+   the bucket whose condition is the estimate, and are compared.
 
-Pairs inside one component cannot change it, so every banded pair is accounted for.
+A pair inside one component cannot change it, so every banded pair is accounted for.
 
 Null or empty texts and texts without words have no shingles and are alone. Repeated rows
 fall in one class. A null doc_id never names a component that holds another id.
@@ -35,8 +39,10 @@ from lexiflow.session import stage
 WIDTH = 5
 SIMILAR = 75  # percent
 BANDS, ROWS = 32, 5
-SKETCH_BITS = 512
-MARGIN = 0.2  # about five standard deviations of the estimate
+SAMPLES = 320  # folded into the sketch; the first BANDS * ROWS make the bands
+SKETCH_BITS = 1024
+MARGIN = 0.13  # about five standard deviations of the estimate
+BLOCK = 256
 
 SIGNED = "doc_id long, n_shingles long, node binary, bands array<long>, sketch array<long>"
 
@@ -50,17 +56,16 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Fingerprints, band keys and odd sketches of non-empty sets."""
     values = np.concatenate(sets)
     starts = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    samples = BANDS * ROWS
-    least = np.empty((len(sets), samples), np.uint64)
-    for k, factor in enumerate(seeds(samples, 3)):
+    least = np.empty((len(sets), SAMPLES), np.uint64)
+    for k, factor in enumerate(seeds(SAMPLES, 3)):
         least[:, k] = np.minimum.reduceat(values * factor, starts)
     prints = np.empty((len(sets), 2), np.uint64)
     for k, seed in enumerate(seeds(2, 5)):
         prints[:, k] = np.add.reduceat(mix(values ^ seed), starts)
     rows = seeds(ROWS, 7)
-    keys = (least.reshape(len(sets), BANDS, ROWS) * rows).sum(axis=2, dtype=np.uint64)
+    keys = (least[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS) * rows).sum(axis=2, dtype=np.uint64)
     keys = mix(keys ^ seeds(BANDS, 9))
-    bits = (mix(least ^ seeds(samples, 11)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    bits = (mix(least ^ seeds(SAMPLES, 11)) % np.uint64(SKETCH_BITS)).astype(np.int64)
     bits += np.arange(len(sets))[:, None] * SKETCH_BITS
     odd = np.bincount(bits.ravel(), minlength=len(sets) * SKETCH_BITS) & 1
     sketch = np.packbits(odd.astype(np.uint8).reshape(len(sets), SKETCH_BITS), axis=1)
@@ -98,24 +103,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep texts that have the fingerprint asked for, as packed sets."""
+    """Packed sets of the texts that have the fingerprint asked for."""
     for batch in batches:
-        hubs, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for first, texts in pieces(batch.column(2).to_pylist()):
+        nodes = batch.column(0).to_pylist()
+        for first, texts in pieces(batch.column(1).to_pylist()):
             kept = []
             for i, found in enumerate(shingles(texts, WIDTH), first):
                 if not len(found):
                     continue
                 prints = np.array([mix(found ^ s).sum(dtype=np.uint64) for s in seeds(2, 5)])
                 if prints.tobytes() == nodes[i]:
-                    kept.append((hubs[i], nodes[i], found.tobytes()))
-            columns = zip(*kept) if kept else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.binary()) for c in columns], names=["hub", "node", "items"]
-            )
+                    kept.append((nodes[i], found.tobytes()))
+            columns = zip(*kept) if kept else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["node", "items"])
+
 
+def _similar(common, mine: int, other):
+    return 100 * common >= SIMILAR * (mine + other - common)
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         links, last, hub = [], None, np.zeros(0, np.uint64)
         for a, b, mine, other in zip(*(batch.column(k) for k in range(4))):
@@ -123,94 +130,140 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b != last:
                 last, hub = b, np.frombuffer(other.as_py(), np.uint64)
             at = np.minimum(np.searchsorted(hub, mine), len(hub) - 1)
-            common = int((hub[at] == mine).sum())
-            if 100 * common >= SIMILAR * (len(mine) + len(hub) - common):
+            if _similar(int((hub[at] == mine).sum()), len(mine), len(hub)):
                 links.append((a, b))
         columns = zip(*links) if links else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
 
 
-def confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose full sets are similar. Reads the texts of those classes only."""
-    wanted = (
-        pairs.select(F.col("a").alias("node"), F.col("b").alias("hub"))
-        .union(pairs.select(F.col("b").alias("node"), F.col("b").alias("hub")))
-        .distinct()
-        .join(classes.select("node", F.col("doc_id").alias("member")), "node")
-    )
-    wanted = stage(wanted, "wanted")
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("body"))
-    sets = (
-        texts.join(wanted, texts.doc_id.eqNullSafe(wanted.member))
-        .select("hub", "node", "body")
-        .mapInArrow(_sets, "hub binary, node binary, items binary")
-    )
-    sets = stage(sets, "sets")
-    hubs = sets.filter("hub = node").select("hub", F.col("items").alias("other"))
-    met = sets.filter("hub != node").join(hubs, "hub").select(F.col("node").alias("a"), F.col("hub").alias("b"), "items", "other")
-    return stage(met.mapInArrow(_confirm, "a binary, b binary").distinct(), "links")
+def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets (node, items) are similar."""
+    mine = sets.select(F.col("node").alias("a"), "items")
+    other = sets.select(F.col("node").alias("b"), F.col("items").alias("other"))
+    met = pairs.select("a", "b").join(mine, "a").join(other, "b").select("a", "b", "items", "other")
+    return stage(met.mapInArrow(_compare, "a binary, b binary"), "links")
+
+
+def _block_links(block: pa.Table) -> pa.Table:
+    """A spanning forest of the links between left classes and right classes of a block."""
+    nodes, linked = block.column("node").to_pylist(), block.column("linked").to_pylist()
+    left = block.column("left").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in block.column("items").to_pylist()]
+    rows = [i for i in range(len(nodes)) if not left[i]]
+    root = {nodes[i]: b"" if linked[i] else nodes[i] for i in range(len(nodes))}
+
+    def find(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    if rows:
+        values, places = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True)
+        sizes = np.array([len(sets[i]) for i in rows])
+        starts = np.cumsum(sizes) - sizes
+        for i in (i for i in range(len(nodes)) if left[i]):
+            at = np.minimum(np.searchsorted(values, sets[i]), len(values) - 1)
+            present = np.zeros(len(values), np.int64)
+            present[at[values[at] == sets[i]]] = 1
+            common = np.add.reduceat(present[places], starts)
+            for k in np.flatnonzero(_similar(common, len(sets[i]), sizes)):
+                a, b = find(nodes[i]), find(nodes[rows[k]])
+                if a != b:
+                    child, parent = (a, b) if a else (b, a)
+                    root[child] = parent
+                    links.append((nodes[i], nodes[rows[k]]))
+    columns = zip(*links) if links else ((), ())
+    return pa.Table.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
+
+
+def cluster_links(sets: DataFrame, clusters: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of classes not linked to their hub with the other classes of their cluster.
+
+    clusters: (a, b), a class and its hub; links: those of them that are confirmed.
+    """
+    rows = clusters.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+    rows = stage(rows.select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked")), "cluster_rows")
+    counts = rows.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("open"))
+    counts = counts.filter("open > 0 and n > 1")
+    many, few = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("open") / BLOCK).cast("int")
+    counts = stage(counts.select("b", many.alias("rights"), few.alias("lefts")), "cluster_sizes")
+    placed = stage(rows.join(counts, "b").join(sets.select(F.col("node").alias("a"), "items"), "a"), "cluster_sets")
+    spot = F.xxhash64("a")
+
+    def dealt(kept: DataFrame, left: bool) -> DataFrame:
+        own, others = ("lefts", "rights") if left else ("rights", "lefts")
+        mine = F.pmod(spot, F.col(own)).cast("int")
+        across = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        pair = (mine.alias("l"), across.alias("r")) if left else (across.alias("l"), mine.alias("r"))
+        return kept.select("b", *pair, F.col("a").alias("node"), "linked", F.lit(left).alias("left"), "items")
+
+    met = dealt(placed.filter(~F.col("linked")), True).union(dealt(placed, False).select("b", "l", "r", "node", "linked", "left", "items"))
+    return stage(met.groupBy("b", "l", "r").applyInArrow(_block_links, "a binary, b binary"), "block_links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("body"))
     signed = stage(texts.mapInArrow(_sign, SIGNED), "signed")
-    classes = stage(
-        signed.filter("node is not null")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "classes",
-    )
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")]
+    classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *firsts)
+    classes = stage(classes, "classes")
+
     banded = classes.select("node", F.explode("bands").alias("key"))
-    hubs = stage(
-        banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).filter("members > 1"),
-        "hubs",
-    )
-    members = stage(banded.join(hubs.select("key", "hub"), "key"), "members")
-    most = most_differing_bits(BANDS * ROWS, SKETCH_BITS, SIMILAR / 100 - MARGIN)
-
-    def differing(left: str, right: str):
-        parts = [F.bit_count(F.col(left)[i].bitwiseXOR(F.col(right)[i])) for i in range(SKETCH_BITS // 64)]
-        return sum(parts[1:], parts[0])
-
-    sketches = classes.select("node", "sketch")
-    stars = members.filter("node != hub").select("node", "hub").distinct()
-    closest = (
-        stars.join(sketches, "node")
-        .join(sketches.select(F.col("node").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub")
-        .withColumn("differing", differing("sketch", "hub_sketch"))
-        .filter(F.col("differing") <= most)
-        .groupBy(F.col("node").alias("a"))
-        .agg(F.min_by("hub", F.struct("differing", "hub")).alias("b"))
-    )
-    links = confirm(docs, classes, stage(closest, "closest"))
+    shared = stage(banded.groupBy("key").agg(F.count("*").alias("company")).filter("company > 1"), "shared")
+    members = stage(banded.join(shared, "key"), "members")
+    company = stage(members.groupBy("node").agg(F.sum("company").alias("company")), "company")
+    most_met = F.max_by("node", F.struct("company", "node")).alias("hub")
+    hubs = stage(members.select("key", "node").join(company, "node").groupBy("key").agg(most_met), "hubs")
+
+    wanted = company.select("node").join(classes.select("node", F.col("doc_id").alias("member")), "node")
+    sets = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(F.col("member"))).select("node", "body")
+    sets = stage(sets.mapInArrow(_sets, "node binary, items binary").dropDuplicates(["node"]), "sets")
+
+    most = most_differing_bits(SAMPLES, SKETCH_BITS, SIMILAR / 100 - MARGIN)
+    sketches = classes.select("node", "n_shingles", "sketch")
+
+    def promising(left: str, right: str):
+        """Sizes allow the similarity, and so does the estimate."""
+        words = [F.bit_count(F.col(f"{left}sketch")[i].bitwiseXOR(F.col(f"{right}sketch")[i])) for i in range(SKETCH_BITS // 64)]
+        low, high = F.least(f"{left}n_shingles", f"{right}n_shingles"), F.greatest(f"{left}n_shingles", f"{right}n_shingles")
+        return (low * 100 >= high * SIMILAR) & (sum(words[1:], words[0]) <= most), sum(words[1:], words[0])
+
+    stars = members.select("key", "node").join(hubs, "key").filter("node != hub").select("node", "hub").distinct()
+    hub_rows = sketches.select(F.col("node").alias("hub"), F.col("n_shingles").alias("h_n_shingles"), F.col("sketch").alias("h_sketch"))
+    fit, differing = promising("", "h_")
+    met = stars.join(sketches, "node").join(hub_rows, "hub").filter(fit).select("node", "hub", differing.alias("differing"))
+    closest = met.groupBy(F.col("node").alias("a")).agg(F.min_by("hub", F.struct("differing", "hub")).alias("b"))
+    closest = stage(closest, "closest")
+    links = confirm(sets, closest)
+    links = links.union(cluster_links(sets, closest, links))
     joined = components(links)
 
-    placed = members.select("key", "node").join(joined, "node", "left")
-    placed = placed.select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = (
-        placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-    )
+    placed = members.select("key", "node").join(joined, "node", "left").join(closest.withColumnsRenamed({"a": "node", "b": "hub"}), "node", "left")
+    placed = placed.select("key", "node", F.coalesce("root", "node").alias("root"), "hub")
+    placed = stage(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     open_rows = stage(placed.join(mixed.select("key"), "key").join(sketches, "node"), "open")
-    left, right = open_rows.alias("l"), open_rows.alias("r")
-    met = left.join(
-        right,
+    fit, _ = promising("l.", "r.")
+    met = open_rows.alias("l").join(
+        open_rows.alias("r"),
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.node") > F.col("r.node"))
         & (F.col("l.root") != F.col("r.root"))
-        & (differing("l.sketch", "r.sketch") <= most),
+        & ~F.coalesce(F.col("l.hub") == F.col("r.hub"), F.lit(False))
+        & fit,
     )
     more = stage(met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "pairs")
     if not more.isEmpty():
-        found = confirm(docs, classes, more)
-        joined = components(stage(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found), "links"))
+        found = confirm(sets, more)
+        joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
     rooted = classes.select("node", "doc_id").join(joined, "node", "left")
     rooted = stage(rooted.select("node", "doc_id", F.coalesce("root", "node").alias("root")), "rooted")
     least = stage(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     named = stage(rooted.join(least, "root").select("node", "component_id"), "named")
-    alone = F.col("node").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     return (
         signed.select("doc_id", "n_shingles", "node")
         .join(named, "node", "left")
