@@ -9,8 +9,8 @@ confirmed on the full sets.
 Buckets of any size are handled without emitting their pairs:
 
 1. The hub of a bucket is its class with the most company over all of its buckets, which
-   is the original where copies of it were edited. Each class joins the cluster of the hub
-   whose estimate is closest, and the two are compared.
+   is the original where copies of it were edited. Of the hubs that its estimates allow,
+   each class joins the cluster of the one with the most company, and the two are compared.
 2. In a cluster, classes that are not linked to the hub are compared with all the others,
    in blocks of about BLOCK classes a side that hold the full sets. A block returns a
    spanning forest of its links at most.
@@ -103,19 +103,29 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed sets of the texts that have the fingerprint asked for."""
+    """Packed sets of the texts that have the fingerprint asked for, once per class.
+
+    The rows of an id follow each other, so repeated rows are seen by their id.
+    """
+    last, done = None, set()
     for batch in batches:
-        nodes = batch.column(0).to_pylist()
-        for first, texts in pieces(batch.column(1).to_pylist()):
-            kept = []
+        ids, nodes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for first, texts in pieces(batch.column(4).to_pylist()):
+            kept, items = [], []
             for i, found in enumerate(shingles(texts, WIDTH), first):
-                if not len(found):
+                if ids[i] != last:
+                    last, done = ids[i], set()
+                if not len(found) or nodes[i] in done:
                     continue
                 prints = np.array([mix(found ^ s).sum(dtype=np.uint64) for s in seeds(2, 5)])
                 if prints.tobytes() == nodes[i]:
-                    kept.append((nodes[i], found.tobytes()))
-            columns = zip(*kept) if kept else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["node", "items"])
+                    done.add(nodes[i])
+                    kept.append(i)
+                    items.append(found.tobytes())
+            rows = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(1), rows.column(2), rows.column(3), pa.array(items, pa.binary())], names=["node", "hub", "is_hub", "items"]
+            )
 
 
 def _similar(common, mine: int, other):
@@ -136,12 +146,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
 
 
-def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes whose full sets (node, items) are similar."""
-    mine = sets.select(F.col("node").alias("a"), "items")
-    other = sets.select(F.col("node").alias("b"), F.col("items").alias("other"))
-    met = pairs.select("a", "b").join(mine, "a").join(other, "b").select("a", "b", "items", "other")
-    return stage(met.mapInArrow(_compare, "a binary, b binary"), "links")
+def confirm(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of met (a, b, items, other) whose full sets are similar."""
+    return stage(met.select("a", "b", "items", "other").mapInArrow(_compare, "a binary, b binary"), "links")
 
 
 def _block_links(block: pa.Table) -> pa.Table:
@@ -177,18 +184,20 @@ def _block_links(block: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, pa.binary()) for c in columns], names=["a", "b"])
 
 
-def cluster_links(sets: DataFrame, clusters: DataFrame, links: DataFrame) -> DataFrame:
+def cluster_links(sets: DataFrame, links: DataFrame) -> DataFrame:
     """Links of classes not linked to their hub with the other classes of their cluster.
 
-    clusters: (a, b), a class and its hub; links: those of them that are confirmed.
+    sets: (node, hub, items) of all classes with a hub; links: (a, b) of those linked to it.
     """
-    rows = clusters.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+    rows = sets.select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    rows = rows.join(links.withColumn("linked", F.lit(True)), ["a", "b"], "left")
     rows = stage(rows.select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked")), "cluster_rows")
     counts = rows.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.when(~F.col("linked"), 1).otherwise(0)).alias("open"))
     counts = counts.filter("open > 0 and n > 1")
     many, few = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil(F.col("open") / BLOCK).cast("int")
     counts = stage(counts.select("b", many.alias("rights"), few.alias("lefts")), "cluster_sizes")
-    placed = stage(rows.join(counts, "b").join(sets.select(F.col("node").alias("a"), "items"), "a"), "cluster_sets")
+    rows = stage(rows.join(counts, "b"), "open_rows")
+    placed = stage(rows.join(sets.select(F.col("node").alias("a"), "items"), "a"), "cluster_sets")
     spot = F.xxhash64("a")
 
     def dealt(kept: DataFrame, left: bool) -> DataFrame:
@@ -217,10 +226,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     most_met = F.max_by("node", F.struct("company", "node")).alias("hub")
     hubs = stage(members.select("key", "node").join(company, "node").groupBy("key").agg(most_met), "hubs")
 
-    wanted = company.select("node").join(classes.select("node", F.col("doc_id").alias("member")), "node")
-    sets = texts.join(wanted.hint("merge"), texts.doc_id.eqNullSafe(F.col("member"))).select("node", "body")
-    sets = stage(sets.mapInArrow(_sets, "node binary, items binary").dropDuplicates(["node"]), "sets")
-
     most = most_differing_bits(SAMPLES, SKETCH_BITS, SIMILAR / 100 - MARGIN)
     sketches = classes.select("node", "n_shingles", "sketch")
 
@@ -228,35 +233,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         """Sizes allow the similarity, and so does the estimate."""
         words = [F.bit_count(F.col(f"{left}sketch")[i].bitwiseXOR(F.col(f"{right}sketch")[i])) for i in range(SKETCH_BITS // 64)]
         low, high = F.least(f"{left}n_shingles", f"{right}n_shingles"), F.greatest(f"{left}n_shingles", f"{right}n_shingles")
-        return (low * 100 >= high * SIMILAR) & (sum(words[1:], words[0]) <= most), sum(words[1:], words[0])
+        return (low * 100 >= high * SIMILAR) & (sum(words[1:], words[0]) <= most)
 
     stars = members.select("key", "node").join(hubs, "key").filter("node != hub").select("node", "hub").distinct()
-    hub_rows = sketches.select(F.col("node").alias("hub"), F.col("n_shingles").alias("h_n_shingles"), F.col("sketch").alias("h_sketch"))
-    fit, differing = promising("", "h_")
-    met = stars.join(sketches, "node").join(hub_rows, "hub").filter(fit).select("node", "hub", differing.alias("differing"))
-    closest = met.groupBy(F.col("node").alias("a")).agg(F.min_by("hub", F.struct("differing", "hub")).alias("b"))
-    closest = stage(closest, "closest")
-    links = confirm(sets, closest)
-    links = links.union(cluster_links(sets, closest, links))
+    hub_rows = sketches.join(company, "node").select(
+        F.col("node").alias("hub"), F.col("n_shingles").alias("h_n_shingles"), F.col("sketch").alias("h_sketch"), "company"
+    )
+    met = stars.join(sketches, "node").join(hub_rows, "hub").filter(promising("", "h_"))
+    clusters = stage(met.groupBy("node").agg(F.max_by("hub", F.struct("company", "hub")).alias("hub")), "clusters")
+
+    wanted = company.select("node").join(classes.select("node", F.col("doc_id").alias("member")), "node")
+    wanted = wanted.join(clusters, "node", "left")
+    is_hub = clusters.select(F.col("hub").alias("node")).distinct().withColumn("is_hub", F.lit(True))
+    wanted = wanted.join(is_hub, "node", "left").select("member", "node", "hub", F.coalesce("is_hub", F.lit(False)).alias("is_hub"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("body"))
+    met = texts.join(stage(wanted, "wanted").hint("merge"), texts.doc_id.eqNullSafe(F.col("member")))
+    met = met.select("doc_id", "node", "hub", "is_hub", "body")
+    sets = stage(met.mapInArrow(_sets, "node binary, hub binary, is_hub boolean, items binary"), "sets")
+
+    mine = sets.filter("hub is not null").select("hub", F.col("node").alias("a"), "items")
+    hub_sets = sets.filter("is_hub").select(F.col("node").alias("b"), F.col("items").alias("other"))
+    links = confirm(mine.join(hub_sets, mine.hub == hub_sets.b))
+    links = links.union(cluster_links(sets.filter("hub is not null"), links))
     joined = components(links)
 
-    placed = members.select("key", "node").join(joined, "node", "left").join(closest.withColumnsRenamed({"a": "node", "b": "hub"}), "node", "left")
+    placed = members.select("key", "node").join(joined, "node", "left").join(clusters, "node", "left")
     placed = placed.select("key", "node", F.coalesce("root", "node").alias("root"), "hub")
     placed = stage(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     open_rows = stage(placed.join(mixed.select("key"), "key").join(sketches, "node"), "open")
-    fit, _ = promising("l.", "r.")
     met = open_rows.alias("l").join(
         open_rows.alias("r"),
         (F.col("l.key") == F.col("r.key"))
         & (F.col("l.node") > F.col("r.node"))
         & (F.col("l.root") != F.col("r.root"))
         & ~F.coalesce(F.col("l.hub") == F.col("r.hub"), F.lit(False))
-        & fit,
+        & promising("l.", "r."),
     )
     more = stage(met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct(), "pairs")
     if not more.isEmpty():
-        found = confirm(sets, more)
+        mine = sets.select(F.col("node").alias("a"), "items")
+        other = sets.select(F.col("node").alias("b"), F.col("items").alias("other"))
+        found = confirm(more.join(mine, "a").join(other, "b"))
         joined = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
     rooted = classes.select("node", "doc_id").join(joined, "node", "left")
