@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.functions import patterns as P
 from lexiflow.functions import text as X
 from lexiflow.operators import seeds, tokens, vectors, weights
+from lexiflow.operators.ranks import number_rows
 from lexiflow.session import spread, stage
 
 # The word lexicon of the entity and annotation queries.
@@ -21,9 +24,8 @@ LEXICON = [
     ("are", None, "VBP", "be"),
 ]
 VOCABULARY_SIZE = 10_000
-SEEDS_IN_PATTERN = 100_000
-LSI_TERMS = 200
-LSI_DIM = 10
+LSI_TERMS = 10_000
+LSI_DIM = 100
 VECTOR_DIM = 64
 
 
@@ -36,7 +38,7 @@ def _padded(number: Column) -> Column:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, body, source, lang); the id holds the journal key.
+    """(doc_id, body, source, lang); the id holds the journal key, of every eleventh an unknown one.
 
     Every seventh text ends with quantities, a comparison and a chemical name.
     """
@@ -50,7 +52,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(number % 7 == 0, F.concat("text", extra, name, F.lit(" ."))).otherwise(
         F.col("text")
     )
-    key = _padded(F.regexp_extract("source", "[0-9]+", 0))
+    source = F.regexp_extract("source", "[0-9]+", 0).cast("bigint")
+    key = _padded(F.when(number % 11 == 0, source + 5_000_000).otherwise(source))
     return table(spark, sf_dir, "documents").select(
         F.concat(F.lit("S"), key, _padded(number)).alias("doc_id"),
         body.alias("body"),
@@ -86,10 +89,10 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(journal, issn, category): suppliers as journals, regions as categories.
 
-    Every fourth journal has a second category; journals in debt are not listed.
+    Every fourth journal has a second category.
     """
     key = _padded(F.col("s_suppkey"))
-    journals = table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 0)
+    journals = table(spark, sf_dir, "supplier")
     placed = journals.join(
         table(spark, sf_dir, "nation"),
         F.col("s_nationkey") == F.col("n_nationkey"),
@@ -114,8 +117,18 @@ def lexicon(spark: SparkSession) -> DataFrame:
     )
 
 
-def entity_lexicon(spark: SparkSession) -> DataFrame:
-    return lexicon(spark).where(F.col("type").isNotNull()).select("term", "type")
+def entity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, type): chemical names, long words and word pairs of the benchmark, a term in brackets."""
+    named = lexicon(spark).where(F.col("type").isNotNull()).select("term", "type")
+    texts = table(spark, sf_dir, "benchmark")
+
+    def found(pattern: str, kind: str) -> DataFrame:
+        terms = texts.select(F.explode(X.matches(F.col("text"), pattern)).alias("term"))
+        return terms.distinct().select("term", F.lit(kind).alias("type"))
+
+    marked = spark.createDataFrame([("(n=7)", "MARKED")], "term string, type string")
+    parts = (found("[a-z]{9,}", "WORD"), found("[a-z]+ [a-z]+", "PAIR"), marked)
+    return reduce(DataFrame.unionByName, parts, named)
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +141,17 @@ def chemical_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.mine_seeds(wide(spark, sf_dir))
 
 
-def name_pattern(spark: SparkSession, sf_dir: str) -> str:
+def word_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mined seeds together with the words of the corpus, so dictionary words occur."""
+    words = wide(spark, sf_dir).select(F.explode(X.plain_words(F.col("body"))).alias("seed"))
+    return chemical_seeds(spark, sf_dir).unionByName(words.distinct())
+
+
+def name_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(head): the first letters of all seeds and words that the dictionary does not hold."""
     known = dictionary(spark, sf_dir)
-    kept = seeds.clean_seeds(chemical_seeds(spark, sf_dir), known, known.where(F.lit(False)))
-    return seeds.lexicon_pattern(seeds.seed_heads(kept), SEEDS_IN_PATTERN)
+    kept = seeds.clean_seeds(word_seeds(spark, sf_dir), known, known.where(F.lit(False)))
+    return stage(seeds.seed_heads(kept), "name-heads")
 
 
 def term_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +169,7 @@ def term_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 def word_vectors(spark: SparkSession, sf_dir: str, freqs: DataFrame) -> DataFrame:
     """(term, vec): the given embeddings, handed to terms by rank."""
-    top = vectors.top_vocabulary(freqs, VOCABULARY_SIZE)
+    top = number_rows(freqs, "term_id", F.desc("df"), F.asc("term"))
     given = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("term_id"), F.col("embedding").alias("vec")
     )
@@ -168,7 +188,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = X.journal_key(F.col("doc_id"))
     return spread(joined, "doc_id").select(
         "doc_id",
-        F.coalesce("page_title", F.substring("body", 1, 60)).alias("title"),
+        F.coalesce("page_title", F.concat(F.lit("On "), "source")).alias("title"),
         F.concat(F.substring(key, 1, 4), F.lit("-"), F.substring(key, 5, 4)).alias("issn"),
         F.col("source").alias("journal"),
         F.col("body").alias("abstract"),

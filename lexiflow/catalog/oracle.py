@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiflow.catalog import inputs as I
+from lexiflow.catalog.inputs import LEXICON
 from lexiflow.functions import patterns as P
 
 _CTES: dict[str, str] = {}
@@ -16,7 +16,7 @@ def _text(value: str) -> str:
 def _with(names: str, select: str) -> str:
     """The named common table expressions, in order, before a select."""
     parts = [f"{name} as ({_CTES[name]})" for name in names.split()]
-    return "with " + ",\n".join(parts) + "\n" + select
+    return "with recursive " + ",\n".join(parts) + "\n" + select
 
 
 def _rules(column: str, rules) -> str:
@@ -48,7 +48,8 @@ _HASH = "cast('0x' || substr(md5({}), 1, 8) as bigint) % 100"
 _STOP = ", ".join(_text(word) for word in P.SEARCH_STOP_WORDS)
 
 _CTES["corpus"] = """
-    select concat('S', lpad(regexp_extract(source, '[0-9]+', 0), 8, '0'),
+    select concat('S', lpad(cast(cast(regexp_extract(source, '[0-9]+', 0) as bigint)
+                                 + case when doc_id % 11 = 0 then 5000000 else 0 end as varchar), 8, '0'),
                   lpad(cast(doc_id as varchar), 8, '0')) as doc_id,
            case when doc_id % 7 = 0
                 then concat(text, ' (n=7) gave 12.5 % and p < 0.05 for 3 mg/l of 2,4-',
@@ -62,7 +63,7 @@ _CTES["cats"] = """
     with listed as (
         select s_name as journal, n_regionkey, s_suppkey,
                lpad(cast(s_suppkey as varchar), 8, '0') as padded
-        from supplier join nation on s_nationkey = n_nationkey where s_acctbal > 0),
+        from supplier join nation on s_nationkey = n_nationkey),
     placed as (
         select *, n_regionkey as place from listed
         union all
@@ -76,7 +77,7 @@ _CTES["dictionary"] = f"""
 _CTES["lexicon"] = "select * from (values {}) t(term, type, penn_tag, lemma)".format(
     ", ".join(
         "({})".format(", ".join("null" if v is None else _text(v) for v in row))
-        for row in I.LEXICON
+        for row in LEXICON
     )
 )
 _CTES["shapes"] = rf"""
@@ -90,14 +91,22 @@ _CTES["word_seeds"] = f"""
     select seed from mined
     union all
     select distinct lower(w) from (select unnest({_plain("body")}) as w from corpus)"""
+_CTES["name_heads"] = f"""
+    select distinct substr(seed, 1, 10) as head from word_seeds
+    where seed not in (select term from dictionary)
+      and not regexp_matches(seed, {_text(P.NOT_LATIN_GREEK)})"""
+_CTES["name_runs"] = f"""
+    select distinct doc_id, regexp_extract(substr(shape, p, 10), {_text("^" + P.LETTER + "+")}, 0) as run
+    from (select doc_id, shape, unnest(range(2, length(regexp_extract(shape, {_text("^" + P.LOCANT_HEADER)}, 0)) + 2)) as p
+          from (select distinct doc_id, unnest({_all("body", P.NAME_SHAPE)}) as shape from corpus))
+    where regexp_matches(substr(shape, p, 1), {_text(P.LETTER)})"""
 _CTES["name_pattern"] = f"""
-    select {_text(P.LOCANT_HEADER + "(?:(?:")} || string_agg(head, '|' order by head)
+    select doc_id, {_text(P.LOCANT_HEADER + "(?:(?:")} || string_agg(distinct head, '|' order by head)
            || {_text(")[a-zA-Z]*)" + P.LOCANT_TRAILER)} as pattern
-    from (select distinct substr(seed, 1, 10) as head from mined
-          where seed not in (select term from dictionary)
-            and not regexp_matches(seed, {_text(P.NOT_LATIN_GREEK)})
-          order by head limit {I.SEEDS_IN_PATTERN})"""
-_NAMES = "corpus shapes mined dictionary name_pattern"
+    from (select doc_id, substr(run, 1, n) as head
+          from (select doc_id, run, unnest(range(1, length(run) + 1)) as n from name_runs))
+    where head in (select head from name_heads) group by doc_id"""
+_NAMES = "corpus shapes mined dictionary word_seeds name_heads name_runs name_pattern"
 _CTES["words"] = f"""
     select doc_id, w as term
     from (select doc_id, unnest({_runs("lower(body)")}) as w from corpus)
@@ -113,8 +122,7 @@ _CTES["ranked_terms"] = """
     select term, df, row_number() over (order by df desc, term) - 1 as term_id from freqs"""
 _WEIGHTS = "corpus words bag freqs weighted"
 _CTES["wv"] = f"""
-    select term, embedding as vec from ranked_terms join embeddings on term_id = vec_id
-    where term_id < {I.VOCABULARY_SIZE}"""
+    select term, embedding as vec from ranked_terms join embeddings on term_id = vec_id"""
 _CTES["wv_cells"] = """
     select term, unnest(range(len(vec))) as pos, unnest(vec) as x from wv"""
 _CTES["pair_counts"] = f"""
@@ -134,7 +142,7 @@ _CTES["single"] = """
     where len(categories) = 1"""
 _CTES["articles"] = f"""
     select doc_id,
-           coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), substr(body, 1, 60))
+           coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), concat('On ', source))
                as title,
            concat(substr({_KEY}, 1, 4), '-', substr({_KEY}, 5, 4)) as issn,
            source as journal, body as abstract
@@ -204,19 +212,62 @@ _CTES["treebank"] = f"""
     from (select doc_id, {_rules("concat(' ', line, ' ')", _TREEBANK_SQL)} as line
           from (select doc_id, unnest(string_split(body, chr(10))) as line from corpus))"""
 
-_ENTITY = "(^|[^\\p{L}\\p{Nd}_])(dinitrophenol|dichlorobenzene|dimethylfuran)($|[^\\p{L}\\p{Nd}_])"
-_CTES["entity_hits"] = rf"""
-    select doc_id, body, token, cast(stop - length(token) as integer) as "start",
-           cast(stop as integer) as "end", lexicon.type
-    from (select doc_id, body, token,
+_CTES["entity_terms"] = """
+    select term, type from lexicon where type is not null
+    union all select distinct unnest(regexp_extract_all(text, '[a-z]{9,}', 0)), 'WORD' from benchmark
+    union all select distinct unnest(regexp_extract_all(text, '[a-z]+ [a-z]+', 0)), 'PAIR' from benchmark"""
+_CTES["word_spans"] = rf"""
+    select doc_id, token, stop - length(token) as start, stop,
+           lead(token) over w as next_token, lead(stop) over w as next_stop
+    from (select doc_id, token, pos,
                  sum(gap + length(token)) over (partition by doc_id order by pos) as stop
-          from (select doc_id, body, unnest(hits) as token, generate_subscripts(hits, 1) as pos,
+          from (select doc_id, unnest(hits) as token, generate_subscripts(hits, 1) as pos,
                        unnest(list_transform(gaps[1:len(hits)], lambda g: length(g))) as gap
-                from (select doc_id, body, {_runs("body")} as hits,
-                             string_split_regex(body, {_text(P.WORD_RUN)}) as gaps
-                      from corpus)))
-    join lexicon on lower(token) = lexicon.term
-    where lexicon.type is not null"""
+                from (select doc_id, {_runs("body")} as hits,
+                             string_split_regex(body, {_text(P.WORD_RUN)}) as gaps from corpus)))
+    window w as (partition by doc_id order by pos)"""
+_CTES["entity_tags"] = r"""
+    select doc_id, start, stop, type from word_spans join entity_terms on lower(token) = term
+    union all
+    select doc_id, start, next_stop, type
+    from word_spans join corpus using (doc_id)
+    join entity_terms on concat(lower(token), ' ', lower(next_token)) = term
+    where next_stop - length(next_token) = stop + 1 and substr(body, cast(stop + 1 as bigint), 1) = ' '
+    union all
+    select doc_id, at, at + 5, 'MARKED'
+    from (select doc_id, sum(length(gap) + 5) over (partition by doc_id order by pos) - 5 as at,
+                 pos, parts
+          from (select doc_id, unnest(gaps) as gap, generate_subscripts(gaps, 1) as pos,
+                       len(gaps) as parts
+                from (select doc_id, string_split_regex(body, '\(n=7\)') as gaps from corpus)))
+    where pos < parts"""
+_CTES["longest_tags"] = """
+    select doc_id, start, stop, type from entity_tags
+    qualify row_number() over (partition by doc_id, start order by stop desc) = 1"""
+_CTES["linked_tags"] = """
+    select t.*, o.start as next_start, row_number() over (partition by t.doc_id order by t.start) as n
+    from longest_tags t asof left join longest_tags o on t.doc_id = o.doc_id and t.stop <= o.start"""
+_CTES["chosen_tags"] = """
+    select doc_id, start, stop, type, next_start from linked_tags where n = 1
+    union all
+    select l.doc_id, l.start, l.stop, l.type, l.next_start
+    from chosen_tags c join linked_tags l on c.doc_id = l.doc_id and c.next_start = l.start"""
+_CTES["entity_hits"] = """
+    select doc_id, body, substr(body, cast(start + 1 as bigint), cast(stop - start as bigint)) as token,
+           cast(start as integer) as "start", cast(stop as integer) as "end", type
+    from chosen_tags join corpus using (doc_id)"""
+_ENTITIES = (
+    "corpus lexicon entity_terms word_spans entity_tags longest_tags linked_tags chosen_tags "
+    "entity_hits"
+)
+_CTES["replaced"] = """
+    select doc_id, coalesce(new_body, body) as body
+    from corpus left join (
+        select doc_id, concat(string_agg(substr(body, before + 1, "start" - before), ' maskentity '
+                                         order by "start"), ' maskentity ',
+                              substr(any_value(body), max("end") + 1)) as new_body
+        from (select *, coalesce(lag("end") over (partition by doc_id order by "start"), 0) as before
+              from entity_hits) group by doc_id) using (doc_id)"""
 
 # The stemmer, step by step; C, V and the measures are those of the published rules.
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
@@ -296,7 +347,7 @@ _CTES["letters"] = f"""
     where regexp_full_match(w, '[a-z]+')"""
 
 _MASKED_OLD = (
-    f"regexp_replace({_rules('regexp_replace(body, pattern, ' + _text(P.ENTITY_MASK) + ', ' + _text('g') + ')', P.LEXICON_MASK_RULES)}"
+    f"regexp_replace({_rules('case when pattern is null then body else regexp_replace(body, pattern, ' + _text(P.ENTITY_MASK) + ', ' + _text('g') + ') end', P.LEXICON_MASK_RULES)}"
     f", {_text(P.PAREN)}, '', 'g')"
 )
 
@@ -398,7 +449,7 @@ def build() -> dict[str, str]:
     masked = _rules("body", P.MASK_RULES)
     sql["mask_patterns"] = _with("corpus", f"select doc_id, {masked} as body from corpus")
     sql["mask_lexicon"] = _with(
-        _NAMES, f"select doc_id, {_MASKED_OLD} as body from corpus, name_pattern"
+        _NAMES, f"select doc_id, {_MASKED_OLD} as body from corpus left join name_pattern using (doc_id)"
     )
     sql["filter_masked"] = _with(
         "corpus",
@@ -435,9 +486,9 @@ def build() -> dict[str, str]:
     sql["lexicon_matches"] = _with(
         _NAMES,
         "select distinct unnest(regexp_extract_all(body, pattern, 0)) as match "
-        "from corpus, name_pattern",
+        "from corpus join name_pattern using (doc_id)",
     )
-    entity = "corpus lexicon entity_hits"
+    entity = _ENTITIES
     sql["tag_entities"] = _with(
         entity,
         'select doc_id, "start", "end", token as text, type '
@@ -449,8 +500,7 @@ def build() -> dict[str, str]:
         'least("start", 10)) as "before", token as text, '
         'substr(body, "end" + 1, 5) as "after" from entity_hits',
     )
-    replaced = f"regexp_replace(body, '(?i){_ENTITY}', '\\1 maskentity \\3', 'g')"
-    sql["replace_entities"] = _with("corpus", f"select doc_id, {replaced} as body from corpus")
+    sql["replace_entities"] = _with(_ENTITIES + " replaced", "select doc_id, body from replaced")
 
     # tokens
     sql["tokenize_sentences"] = _with("corpus", _sentence_rows("corpus"))
@@ -472,6 +522,28 @@ def build() -> dict[str, str]:
         f'select doc_id, token, count(*) as "count" from ({pairs}) '
         "where length(token) > 3 group by all",
     )
+    sql["token_freq_all"] = _with(
+        "corpus", f'select doc_id, token, count(*) as "count" from ({pairs}) group by all'
+    )
+    turns = "select cast(conv_id as varchar) as doc_id, text as body from conversations"
+    turn_words = _CTES["words"].replace("from corpus", "from turns")
+    sql["turn_term_counts"] = (
+        f"with turns as ({turns}), words as ({turn_words}), dictionary as ({_CTES['dictionary']}), "
+        "bag as (select doc_id, term, count(*) as n from words "
+        "where term not in (select term from dictionary) group by all) "
+        'select doc_id, term, coalesce(n, 0) as "count" '
+        "from (select distinct doc_id from turns) left join bag using (doc_id)"
+    )
+    sql["sentence_stems"] = (
+        f"with turns as ({turns}), numbered as (select row_number() over () as place, doc_id, s "
+        f"from (select doc_id, unnest({_all('body', P.SENTENCE)}) as s from turns)), "
+        f"cut as (select place, doc_id, {_tokens('lower(s)')} as hits from numbered), "
+        "pieces as (select place, doc_id, unnest(hits) as term, generate_subscripts(hits, 1) as pos "
+        "from cut), letters as (select term from pieces)"
+        + _stem_sql()
+        + "select doc_id, string_agg(stem, ' ' order by pos) as terms from pieces join stems "
+        "using (term) group by place, doc_id"
+    )
     sql["terms_stem"] = _with("corpus letters", _stem_sql() + "select * from stems")
     sql["pattern_term_counts"] = _with(
         "corpus words bag dictionary",
@@ -554,15 +626,19 @@ def build() -> dict[str, str]:
     sql["term_vectors"] = _with(
         _WEIGHTS + " ranked_terms",
         "select doc_id, term_id, round(weight, 6) as weight from weighted "
-        f"join ranked_terms using (term) where term_id < {I.VOCABULARY_SIZE}",
+        f"join ranked_terms using (term) where term_id < 10000",
     )
     sql["cooccurrence"] = _with(
         _WEIGHTS + " ranked_terms",
         ", c as (select doc_id, term_id, weight from weighted join ranked_terms using (term) "
-        "where term_id < 100 and weight <> 0) select a.term_id as i, b.term_id as j, "
+        "where term_id < 10000 and weight <> 0) select a.term_id as i, b.term_id as j, "
         "round(sum(a.weight * b.weight), 6) as value "
         "from c a join c b on a.doc_id = b.doc_id and a.term_id <= b.term_id group by all",
     )
+    turn_lower = _TURN_TOKENS.replace("unnest(", "lower(unnest(").replace(" as term", ") as term")
+    sql["word2vec_vocabulary"] = (
+        f"select term, 100 as dim from (select term, count(*) as n from ({turn_lower}) group by term) where n >= 5"
+    )
     sql["join_vectors_weights"] = _with(
         _WEIGHTS + " ranked_terms wv",
         "select doc_id, round(weight, 6) as weight, "
@@ -651,7 +727,9 @@ def build() -> dict[str, str]:
         _INDEX,
         ", one as (select 0 as query_id, 'the station of anderhe, and ing' as text)"
         + _scored("one", "title")
-        + "select doc_id, score from scored order by score desc, doc_id limit 20",
+        + "select doc_id, score, title, issn, journal, abstract, "
+        "(select count(*) from scored) as total from scored join articles using (doc_id) "
+        "order by score desc, doc_id limit 20",
     )
     batch = ", many as (select item_id as query_id, text from benchmark)" + _scored(
         "many", "abstract"
@@ -669,15 +747,15 @@ def build() -> dict[str, str]:
     )
 
     # composite jobs
-    mined = _rules(f"lower_mask({replaced})", P.MASK_RULES).replace("lower_mask", "")
+    mined = _rules("body", P.MASK_RULES)
     mined_bag = (
-        f", mined_docs as (select doc_id, {mined} as body from corpus), "
+        f", mined_docs as (select doc_id, {mined} as body from replaced), "
         f"mined_bag as (select doc_id, term, count(*) as n from (select doc_id, "
         f"lower(unnest({_tokens('body')})) as term from mined_docs) group by all), "
         "mined_df as (select term, count(*) as df from mined_bag group by term)"
     )
     sql["mined_tfidf"] = _with(
-        "corpus",
+        _ENTITIES + " replaced",
         mined_bag + "select doc_id, term, round(n / sum(n) over (partition by doc_id) "
         "* ln((select cast(count(distinct doc_id) as double) from mined_bag) / df), 6) as weight "
         "from mined_bag join mined_df using (term)",
@@ -688,7 +766,7 @@ def build() -> dict[str, str]:
         f"select term, count(distinct doc_id) as df from (select doc_id, "
         f"unnest({_tokens('body')}) as term from ({plain_masked})) group by term",
     )
-    old = f", old as (select doc_id, {_MASKED_OLD} as body from corpus, name_pattern)"
+    old = f", old as (select doc_id, {_MASKED_OLD} as body from corpus left join name_pattern using (doc_id))"
     sql["masked_sentence_terms"] = _with(
         _NAMES, old + f" select terms from ({_sentence_rows('old')})"
     )

@@ -177,9 +177,8 @@ def mask_patterns(spark, sf_dir):
 
 @query
 def mask_lexicon(spark, sf_dir):
-    pattern = I.name_pattern(spark, sf_dir)
     docs = I.wide(spark, sf_dir).select("doc_id", "body")
-    return rewrite.mask_lexicon_and_patterns(docs, pattern)
+    return seeds.mask_lexicon_and_patterns(docs, I.name_heads(spark, sf_dir))
 
 
 @query
@@ -206,50 +205,43 @@ def mine_seeds(spark, sf_dir):
     return I.chemical_seeds(spark, sf_dir)
 
 
-def _word_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mined seeds together with the words of the corpus, so dictionary words occur."""
-    words = I.wide(spark, sf_dir).select(F.explode(X.plain_words(F.col("body"))).alias("seed"))
-    return I.chemical_seeds(spark, sf_dir).unionByName(words.distinct())
-
-
 @query
 def clean_seeds(spark, sf_dir):
     known = I.dictionary(spark, sf_dir)
     accepted = known.where(F.length("term") > 8)
-    return seeds.clean_seeds(_word_seeds(spark, sf_dir), known, accepted)
+    return seeds.clean_seeds(I.word_seeds(spark, sf_dir), known, accepted)
 
 
 @query
 def seeds_in_dictionary(spark, sf_dir):
-    return seeds.seeds_in_dictionary(_word_seeds(spark, sf_dir), I.dictionary(spark, sf_dir))
+    return seeds.seeds_in_dictionary(I.word_seeds(spark, sf_dir), I.dictionary(spark, sf_dir))
 
 
 @query
 def seed_heads(spark, sf_dir):
-    return seeds.seed_heads(_word_seeds(spark, sf_dir), 6)
+    return seeds.seed_heads(I.word_seeds(spark, sf_dir), 6)
 
 
 @query
 def lexicon_matches(spark, sf_dir):
-    pattern = I.name_pattern(spark, sf_dir)
-    return seeds.lexicon_matches(I.wide(spark, sf_dir), pattern)
+    return seeds.lexicon_matches(I.wide(spark, sf_dir), I.name_heads(spark, sf_dir))
 
 
 @query
 def tag_entities(spark, sf_dir):
-    tagged = entities.tag_entities(I.by_id(spark, sf_dir), I.entity_lexicon(spark))
+    tagged = entities.tag_entities(I.wide(spark, sf_dir), I.entity_lexicon(spark, sf_dir))
     return tagged.select("doc_id", F.inline_outer("tags"))
 
 
 @query
 def entity_context(spark, sf_dir):
-    tagged = entities.tag_entities(I.by_id(spark, sf_dir), I.entity_lexicon(spark))
+    tagged = entities.tag_entities(I.wide(spark, sf_dir), I.entity_lexicon(spark, sf_dir))
     return entities.entity_context(tagged, 10, 5)
 
 
 @query
 def replace_entities(spark, sf_dir):
-    tagged = entities.tag_entities(I.by_id(spark, sf_dir), I.entity_lexicon(spark))
+    tagged = entities.tag_entities(I.wide(spark, sf_dir), I.entity_lexicon(spark, sf_dir))
     return entities.replace_entities(tagged).select("doc_id", "body")
 
 
@@ -287,6 +279,24 @@ def token_freq_per_doc(spark, sf_dir):
     return tokens.token_freq_per_doc(I.by_id(spark, sf_dir), longer_than=3)
 
 
+@query
+def token_freq_all(spark, sf_dir):
+    return tokens.token_freq_per_doc(I.by_id(spark, sf_dir))
+
+
+@query
+def sentence_stems(spark, sf_dir):
+    sentences = tokens.tokenize_sentences(I.turns(spark, sf_dir), "lower_stem")
+    return sentences.select("doc_id", _words("terms"))
+
+
+@query
+def turn_term_counts(spark, sf_dir):
+    """Several rows per id, stop words out."""
+    stop = I.dictionary(spark, sf_dir)
+    return tokens.pattern_term_counts(I.turns(spark, sf_dir), stop, stemmed=False)
+
+
 @query
 def terms_stem(spark, sf_dir):
     """Every a-z word of the corpus with its stem."""
@@ -421,19 +431,25 @@ def term_vectors(spark, sf_dir):
 
 @query
 def cooccurrence(spark, sf_dir):
-    _, cells, docs = _lsi_parts(spark, sf_dir, 100)
-    sparse = vectors.sparse_vectors(cells, docs, 100)
-    return lsi.gramian(sparse, 100).select("i", "j", _rounded("value"))
+    _, cells, _ = _lsi_parts(spark, sf_dir, I.VOCABULARY_SIZE)
+    return lsi.gramian(cells).select("i", "j", _rounded("value"))
 
 
 @query
 def word2vec(spark, sf_dir):
     sentences = spread(tokens.tokenize_sentences(I.wide(spark, sf_dir), "lower"))
-    model = vectors.train_word_vectors(sentences, dim=20, partitions=8)
-    found = vectors.export_word_vectors(model)
+    found = vectors.export_word_vectors(vectors.train_word_vectors(sentences))
     return found.select("term", F.size("vec").cast("bigint").alias("dim"), _words("vec"))
 
 
+@query
+def word2vec_vocabulary(spark, sf_dir):
+    """The words that have a vector, and its length."""
+    sentences = spread(tokens.tokenize_sentences(I.turns(spark, sf_dir), "lower"))
+    found = vectors.export_word_vectors(vectors.train_word_vectors(sentences))
+    return found.select("term", F.size("vec").cast("bigint").alias("dim"))
+
+
 @query
 def join_vectors_weights(spark, sf_dir):
     weighted, freqs = I.term_weights(spark, sf_dir)
@@ -607,10 +623,9 @@ def export_vectors(spark, sf_dir):
 # --- search ---------------------------------------------------------------------------
 
 
-def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _index(spark: SparkSession, sf_dir: str) -> search.SearchIndex:
     documents = search.index_documents(I.articles(spark, sf_dir))
-    postings = search.build_postings(documents)
-    return search.save_postings(postings, fresh_path(spark, "postings"))
+    return search.save_index(documents, fresh_path(spark, "index"))
 
 
 @query
@@ -630,8 +645,7 @@ def index_size(spark, sf_dir):
 
 @query
 def lookup_id(spark, sf_dir):
-    documents = search.index_documents(I.articles(spark, sf_dir))
-    return search.lookup_id(documents, "s0000000300000003")
+    return search.lookup_id(_index(spark, sf_dir).documents, "s0000000300000003")
 
 
 @query
@@ -664,7 +678,7 @@ def mined_tfidf(spark, sf_dir):
         fresh_path(spark, "mined"),
         I.corpus(spark, sf_dir),
         MiningSettings(tag_entities=True, normalizer="lower"),
-        I.entity_lexicon(spark),
+        I.entity_lexicon(spark, sf_dir),
     )
     return mined.weights.select("doc_id", "term", _rounded("weight"))
 
@@ -684,9 +698,8 @@ def mined_again(spark, sf_dir):
 @query
 def masked_sentence_terms(spark, sf_dir):
     docs = I.corpus(spark, sf_dir).select("doc_id", "body")
-    pattern = I.name_pattern(spark, sf_dir)
     terms = text_mining.mask_and_tokenize(
-        spark, fresh_path(spark, "masked-terms"), docs, pattern
+        spark, fresh_path(spark, "masked-terms"), docs, I.name_heads(spark, sf_dir)
     )
     return terms.select(_words("terms"))
 
@@ -701,9 +714,7 @@ def classify_by_word_vectors(spark, sf_dir):
         fresh_path(spark, "by-word-vectors"),
         I.corpus(spark, sf_dir),
         issns,
-        dim=16,
         settings=MiningSettings(normalizer="lower"),
-        partitions=8,
         maxIter=10,
     )
     return bundle.predictions

@@ -55,6 +55,10 @@ GREEK = "α-ωΑ-Ω"
 LOCANT_HEADER = rf"[\d(\[][-\d()\[\]{{}},= {GREEK}]*"
 LOCANT_TRAILER = rf"(?:[-/\d()\[\]{{}},={GREEK}]+[a-zA-Z]*)*"
 
+LETTER = f"[a-zA-Z{GREEK}]"
+# A locant header and the letters after it: wherever a name can begin.
+NAME_SHAPE = rf"{LOCANT_HEADER}{LETTER}*"
+
 # --- tokens ----------------------------------------------------------------------
 WORD_RUN = r"[\p{L}\p{Nd}_]+"
 NOT_AFTER_WORD = r"(?<![\p{L}\p{Nd}_])"

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.session import stage
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 * 1024 * 1024
-HOT_KEYS = 1_000
 
 
 def fits_broadcast(
     table: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure at most max_rows + 1 rows of the table."""
+    """Whether the table is within both bounds.
+
+    Rows and bytes are summed where they lie; only the sums of each task are moved.
+    """
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
-    rows, total = table.limit(max_rows + 1).agg(F.count("*"), size).first()
+    rows, total = table.agg(F.count("*"), size).first()
     return rows <= max_rows and (total or 0) <= max_bytes
 
 
@@ -29,21 +33,11 @@ def lookup_join(
 ) -> DataFrame:
     """Join rows to a lookup table on one key.
 
-    A table measured to be small is broadcast. Otherwise the HOT_KEYS most frequent
-    keys of rows are looked up apart: their part of the table is measured too, and
-    broadcast, so they never enter the shuffle. All other keys are shuffled, and none of
-    them dominates. Every row takes exactly one of the two ways. When even the hot part
-    is large (a key with very many entries), the join is left to the skew handling of
-    adaptive execution, which splits a large partition wherever its rows come from.
+    A table measured to be within the bounds is broadcast. Any other is stored, and the
+    two sides are shuffled: both exchanges then stand directly under the join, so adaptive
+    execution splits the partition of a frequent key wherever its rows come from. The
+    rows are read once in either case, by the join itself.
     """
     if fits_broadcast(table, max_rows, max_bytes):
         return rows.join(F.broadcast(table), on, how)
-    counts = rows.where(F.col(on).isNotNull()).groupBy(on).count()
-    top = counts.orderBy(F.desc("count"), on).limit(HOT_KEYS).collect()
-    is_hot = F.coalesce(F.col(on).isin([row[on] for row in top]), F.lit(False))
-    hot_table = table.where(is_hot)
-    if not fits_broadcast(hot_table):
-        return rows.join(table, on, how)
-    by_broadcast = rows.where(is_hot).join(F.broadcast(hot_table), on, how)
-    by_shuffle = rows.where(~is_hot).join(table.where(~is_hot), on, how)
-    return by_broadcast.unionByName(by_shuffle)
+    return rows.join(stage(table, "lookup").hint("merge"), on, how)

@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import journal_key
 from lexiflow.operators.joins import lookup_join
+from lexiflow.operators.ranks import number_rows
 from lexiflow.operators.vectors import divide_by_count
 from lexiflow.operators.weights import hash_percent
 
 
 def _numbered(keys: DataFrame, column: str, name: str) -> DataFrame:
-    """Number distinct keys from 0 in order.
-
-    The keys become the classes of a classifier, whose coefficients (classes x dim) live
-    on the driver, so one task can number them. Duplicates are dropped before that.
-    """
-    rank = F.row_number().over(Window.orderBy(column)) - 1
-    return keys.distinct().select(column, rank.cast("bigint").alias(name))
+    """Number distinct keys from 0 in order."""
+    return number_rows(keys.select(column).distinct(), name, column)
 
 
 def _bare_issn(issn: Column) -> Column:
@@ -39,16 +35,16 @@ def key_to_name(cats: DataFrame) -> DataFrame:
 
 
 def multi_hot(cats: DataFrame, index: DataFrame) -> DataFrame:
-    """(issn, categories, hot): category names, duplicates kept, and a 0/1 array.
-
-    The driver sees the names of the categories, one per position of the array.
-    """
-    names = [row["category"] for row in index.orderBy("category_id").collect()]
-    grouped = cats.groupBy(_bare_issn(F.col("issn")).alias("issn")).agg(
-        F.sort_array(F.collect_list("category")).alias("categories")
+    """(issn, categories, hot): category names, duplicates kept, and a 0/1 array."""
+    places = lookup_join(cats, index, "category")
+    grouped = places.groupBy(_bare_issn(F.col("issn")).alias("issn")).agg(
+        F.sort_array(F.collect_list("category")).alias("categories"),
+        F.collect_set("category_id").alias("ids"),
     )
-    hot = F.array(*[F.array_contains("categories", n).cast("smallint") for n in names])
-    return grouped.select("issn", "categories", hot.alias("hot"))
+    last = index.agg(F.max("category_id")).scalar()
+    rows = grouped.withColumn("every", F.sequence(F.lit(0).cast("bigint"), last))
+    hot = F.transform("every", lambda i: F.array_contains("ids", i).cast("smallint"))
+    return rows.select("issn", "categories", hot.alias("hot"))
 
 
 def _with_issn(df: DataFrame) -> DataFrame:

@@ -22,20 +22,13 @@ def mask_patterns(
     return df.withColumn("body", X.rewrite(F.col("body"), rules))
 
 
-def mask_lexicon_and_patterns(
-    df: DataFrame, lexicon: str, paren_replacement: str = ""
-) -> DataFrame:
-    """The older masking: names of a lexicon pattern first, then the number rules.
+def mask_numbers_after_names(df: DataFrame, paren_replacement: str = "") -> DataFrame:
+    """The older number rules, for bodies in which names are already masked.
 
     Text glued to the front of a name mask is dropped; white space is left alone.
     `paren_replacement` may be a mask instead of nothing.
     """
-    rules = (
-        (lexicon, P.ENTITY_MASK),
-        *P.LEXICON_MASK_RULES,
-        (P.PAREN, paren_replacement),
-    )
-    return mask_patterns(df, rules)
+    return mask_patterns(df, (*P.LEXICON_MASK_RULES, (P.PAREN, paren_replacement)))
 
 
 def filter_masked(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,11 +12,14 @@ from lexiflow.functions import patterns as P
 from lexiflow.functions import text as X
 from lexiflow.operators.entities import token_spans
 from lexiflow.operators.joins import lookup_join
+from lexiflow.session import stage
 from lexiflow.sources.tables import ARTICLE_FIELDS
 
 TEXT_FIELDS = ("title", "journal", "abstract")
 # Scores are compared at about single precision, so that equal texts tie and go by id.
 SCORE_DIGITS = 6
+# More asked terms than this are joined instead of listed in the filter of the scan.
+TERMS_IN_FILTER = 2_000
 
 
 def scan_index_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -87,15 +91,37 @@ def build_postings(
     return words.unionByName(issn)
 
 
-def save_postings(postings: DataFrame, path: str) -> DataFrame:
-    """Stored by field; every file is sorted by term, so row groups are skipped by term.
+@dataclass(frozen=True)
+class SearchIndex:
+    documents: DataFrame  # stored originals by folded id
+    postings: DataFrame
+    doc_freqs: DataFrame  # field, term, df
+    stats: DataFrame  # field, docs, total_len
 
-    Each task writes the postings of its own documents, like the segments of an
-    inverted index: nothing is shuffled, and a frequent term is spread by document.
+
+def save_index(documents: DataFrame, path: str) -> SearchIndex:
+    """Store documents, postings, document frequencies and field statistics.
+
+    Documents lie in ranges of their id, postings in ranges of field, term and id: a lookup
+    opens the few files whose statistics hold the key, and the postings of a frequent
+    term are spread over several files.
     """
-    ordered = postings.sortWithinPartitions("field", "term", "doc_id")
-    ordered.write.partitionBy("field").parquet(path)
-    return postings.sparkSession.read.parquet(path)
+    spark = documents.sparkSession
+    documents.repartitionByRange("id_key").sortWithinPartitions("id_key").write.parquet(f"{path}/documents")
+    stored = spark.read.schema(documents.schema).parquet(f"{path}/documents")
+    postings = build_postings(stored)
+    ordered = postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
+    ordered.write.partitionBy("field").parquet(f"{path}/postings")
+    saved = spark.read.parquet(f"{path}/postings")
+    freqs = saved.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    freqs.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/doc-freqs")
+    field_stats(saved).coalesce(1).write.parquet(f"{path}/stats")
+    return load_index(spark, path)
+
+
+def load_index(spark: SparkSession, path: str) -> SearchIndex:
+    tables = (spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "doc-freqs", "stats"))
+    return SearchIndex(*tables)
 
 
 def field_stats(postings: DataFrame) -> DataFrame:
@@ -126,61 +152,64 @@ def query_terms(queries: DataFrame, stop_words: Sequence[str] = P.SEARCH_STOP_WO
     )
 
 
+def _asked(index_table: DataFrame, wanted: DataFrame, field: str) -> DataFrame:
+    """Rows of the field that hold an asked term; few terms become a filter of the scan."""
+    listed = index_table.where(F.col("field") == field)
+    terms = [row.term for row in wanted.select("term").distinct().limit(TERMS_IN_FILTER + 1).collect()]
+    if len(terms) <= TERMS_IN_FILTER:
+        return listed.where(F.col("term").isin(terms))
+    return listed
+
+
 def score(
-    postings: DataFrame,
-    queries: DataFrame,
-    field: str,
-    stats: DataFrame | None = None,
-    k1: float = P.BM25_K1,
-    b: float = P.BM25_B,
+    index: SearchIndex, queries: DataFrame, field: str, k1: float = P.BM25_K1, b: float = P.BM25_B
 ) -> DataFrame:
     """(query_id, doc_id, score) of every document with at least one query term: BM25."""
-    listed = postings.where(F.col("field") == field)
-    stats = field_stats(listed) if stats is None else stats.where(F.col("field") == field)
-    docs = stats.select(F.col("docs").cast("double")).scalar()
-    mean_len = stats.select(F.col("total_len") / F.col("docs")).scalar()
-
-    wanted = query_terms(queries)
-    doc_freqs = (
-        lookup_join(listed.select("term"), wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    stats = index.stats.where(F.col("field") == field).first()
+    if stats is None:
+        return queries.select("query_id", F.lit("").alias("doc_id"), F.lit(0.0).alias("score")).where(F.lit(False))
+    docs, mean_len = float(stats.docs), stats.total_len / stats.docs
+    wanted = stage(query_terms(queries), "query-terms")
+    freqs = _asked(index.doc_freqs, wanted, field)
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rated = wanted.join(doc_freqs, "term").select(
+    rated = wanted.join(freqs.select("term", "df"), "term").select(
         "query_id", "term", (F.col("qtf") * idf).alias("boost")
     )
     length_part = 1 - b + b * F.col("doc_len") / mean_len
     tf = F.col("freq") * (k1 + 1) / (F.col("freq") + k1 * length_part)
-    hits = lookup_join(listed.select("term", "doc_id", "freq", "doc_len"), rated, "term")
+    listed = _asked(index.postings, wanted, field)
+    hits = lookup_join(listed.select("term", "doc_id", "freq", "doc_len"), stage(rated, "rated"), "term")
     total = F.round(F.sum(F.col("boost") * tf), SCORE_DIGITS)
     return hits.groupBy("query_id", "doc_id").agg(total.alias("score"))
 
 
-def search_batch(
-    postings: DataFrame, queries: DataFrame, field: str, n: int, stats: DataFrame | None = None
-) -> DataFrame:
+def search_batch(index: SearchIndex, queries: DataFrame, field: str, n: int) -> DataFrame:
     """(query_id, rank, doc_id, score): the n best documents of each query."""
-    scored = score(postings, queries, field, stats)
+    scored = score(index, queries, field)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
 
 
-def search(
-    postings: DataFrame, field: str, text: str, n: int, stats: DataFrame | None = None
-) -> DataFrame:
-    """(doc_id, score): the n best documents for one text."""
-    query = postings.sparkSession.createDataFrame([(0, text)], "query_id bigint, text string")
-    scored = score(postings, query, field, stats)
-    return scored.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(n)
+def search(index: SearchIndex, field: str, text: str, n: int) -> DataFrame:
+    """(doc_id, score, title, issn, journal, abstract, total): the n best documents for one text.
+
+    total is the number of documents that match. Only the n best meet the stored originals.
+    """
+    query = index.postings.sparkSession.createDataFrame([(0, text)], "query_id bigint, text string")
+    scored = stage(score(index, query, field).select("doc_id", "score"), "scored")
+    best = scored.orderBy(F.desc("score"), "doc_id").limit(n)
+    ids = [row.doc_id.lower() for row in best.collect()]  # n at most
+    stored = index.documents.where(F.col("id_key").isin(ids)).drop("id_key")
+    total = scored.agg(F.count(F.lit(1))).scalar().alias("total")
+    return best.join(F.broadcast(stored), "doc_id").select("doc_id", "score", "title", "issn", "journal", "abstract", total)
 
 
-def search_hits(postings: DataFrame, queries: DataFrame, field: str) -> DataFrame:
+def search_hits(index: SearchIndex, queries: DataFrame, field: str) -> DataFrame:
     """(query_id, hits): how many documents match each query, 0 included."""
-    listed = postings.where(F.col("field") == field).select("term", "doc_id")
-    wanted = query_terms(queries).select("query_id", "term")
-    pairs = lookup_join(listed, wanted, "term").select("query_id", "doc_id").distinct()
+    wanted = stage(query_terms(queries).select("query_id", "term"), "query-terms")
+    listed = _asked(index.postings, wanted, field)
+    pairs = lookup_join(listed.select("term", "doc_id"), wanted, "term").select("query_id", "doc_id").distinct()
     counts = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     return (
         queries.select("query_id")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions import patterns as P
 from lexiflow.functions import text as X
-from lexiflow.operators.rewrite import extract_matches
+from lexiflow.operators.joins import lookup_join
+from lexiflow.operators.rewrite import extract_matches, mask_numbers_after_names
 
 
 def mine_seeds(df: DataFrame, min_length: int = 4) -> DataFrame:
@@ -45,16 +44,55 @@ def seed_heads(seeds: DataFrame, length: int = 10) -> DataFrame:
     return seeds.select(F.substring("seed", 1, length).alias("head")).distinct()
 
 
-def lexicon_pattern(heads: DataFrame, n_seeds: int) -> str:
-    """The name pattern for at most n_seeds heads, in alphabetical order.
+def name_patterns(df: DataFrame, heads: DataFrame, length: int = 10) -> DataFrame:
+    """(doc_id, pattern): the name pattern made of the heads that can match in a document.
 
-    The pattern is a literal of the plan, so n_seeds bounds what the driver holds.
+    A head can only begin inside or right after a locant header, so one fixed pattern finds
+    the places; the first letters there, at every length, meet the heads in a join. The
+    number of heads is not bounded, and documents without one have no row.
     """
-    rows = heads.orderBy("head").limit(n_seeds).collect()
-    heads_part = "|".join(re.escape(row["head"]) for row in rows)
-    return f"{P.LOCANT_HEADER}(?:(?:{heads_part})[a-zA-Z]*){P.LOCANT_TRAILER}"
+    shapes = df.select(
+        "doc_id", F.explode(F.array_distinct(X.matches(F.col("body"), P.NAME_SHAPE))).alias("shape")
+    )
+    header_end = F.length(F.regexp_extract("shape", f"^{P.LOCANT_HEADER}", 0))
+    begins = F.filter(
+        F.sequence(F.lit(2), header_end + 1), lambda p: F.substr("shape", p, F.lit(1)).rlike(P.LETTER)
+    )
+    runs = F.transform(
+        begins, lambda p: F.regexp_extract(F.substr("shape", p, F.lit(length)), f"^{P.LETTER}+", 0)
+    )
+    run = shapes.select("doc_id", F.explode(F.array_distinct(runs)).alias("run"))
+    first = F.transform(F.sequence(F.lit(1), F.length("run")), lambda n: F.substr("run", F.lit(1), n))
+    candidates = run.select("doc_id", F.explode(first).alias("head")).distinct()
+    found = lookup_join(candidates, heads.select("head").distinct(), "head", "left_semi")
+    quoted = F.transform(
+        F.sort_array(F.collect_list("head")), lambda h: F.concat(F.lit("\\Q"), h, F.lit("\\E"))
+    )
+    pattern = F.concat(
+        F.lit(f"{P.LOCANT_HEADER}(?:(?:"),
+        F.array_join(quoted, "|"),
+        F.lit(f")[a-zA-Z]*){P.LOCANT_TRAILER}"),
+    )
+    return found.groupBy("doc_id").agg(pattern.alias("name_pattern"))
+
+
+def lexicon_matches(df: DataFrame, heads: DataFrame, length: int = 10) -> DataFrame:
+    """Distinct names found in the corpus."""
+    rows = df.select("doc_id", "body").join(name_patterns(df, heads, length), "doc_id")
+    found = F.explode(F.regexp_extract_all("body", "name_pattern", F.lit(0)))
+    return rows.select(found.alias("match")).distinct()
+
+
+def mask_names(df: DataFrame, heads: DataFrame, length: int = 10) -> DataFrame:
+    """df with every name in body replaced by the entity mask."""
+    rows = df.join(name_patterns(df, heads, length), "doc_id", "left")
+    masked = F.regexp_replace("body", F.col("name_pattern"), F.lit(P.ENTITY_MASK))
+    kept = F.when(F.col("name_pattern").isNull(), F.col("body")).otherwise(masked)
+    return rows.withColumn("body", kept).drop("name_pattern")
 
 
-def lexicon_matches(df: DataFrame, pattern: str) -> DataFrame:
-    """Distinct names the pattern finds in the corpus."""
-    return extract_matches(df, pattern).select("match").distinct()
+def mask_lexicon_and_patterns(
+    df: DataFrame, heads: DataFrame, paren_replacement: str = "", length: int = 10
+) -> DataFrame:
+    """The older masking: names first, then the number rules."""
+    return mask_numbers_after_names(mask_names(df, heads, length), paren_replacement)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import patterns as P
 from lexiflow.functions import text as X
-from lexiflow.functions.stem import stem, stem_array
+from lexiflow.functions.stem import stem
 from lexiflow.operators.joins import lookup_join
 from lexiflow.session import stage
 
@@ -19,13 +19,16 @@ Normalizer = Callable[[Column], Column]
 NORMALIZERS: dict[str, Normalizer] = {
     "none": lambda terms: terms,
     "lower": lambda terms: F.transform(terms, F.lower),
-    "stem": stem_array,
-    "lower_stem": lambda terms: stem_array(F.transform(terms, F.lower)),
 }
 
 
 def normalize_terms(sentences: DataFrame, normalizer: str | Normalizer = "none") -> DataFrame:
-    """Rewrite the terms of each sentence, by name or by a function of the array."""
+    """Rewrite the terms of each sentence, by name or by a function of the array.
+
+    `stem` and `lower_stem` go by the vocabulary; the sentences then need a doc_id.
+    """
+    if normalizer in ("stem", "lower_stem"):
+        return stem_sentences(sentences, lower=normalizer == "lower_stem")
     chosen = NORMALIZERS[normalizer] if isinstance(normalizer, str) else normalizer
     return sentences.withColumn("terms", chosen(F.col("terms")))
 
@@ -74,6 +77,21 @@ def stem_vocabulary(terms: DataFrame) -> DataFrame:
     return known.select("term", stem(F.col("term")).alias("stem"))
 
 
+def stem_sentences(sentences: DataFrame, lower: bool = False) -> DataFrame:
+    """(doc_id, terms) with every term stemmed by way of the vocabulary.
+
+    Words are numbered within their sentence, meet the stems in a join, and are put
+    together again; each distinct word is stemmed once.
+    """
+    terms = F.transform("terms", F.lower) if lower else F.col("terms")
+    rows = sentences.select("doc_id", F.monotonically_increasing_id().alias("sentence"), terms.alias("terms"))
+    rows = stage(rows, "sentences").select("doc_id", "sentence", F.posexplode("terms").alias("pos", "term"))
+    stems = stage(stem_vocabulary(rows), "stems")
+    words = F.sort_array(F.collect_list(F.struct("pos", "stem")))["stem"]
+    joined = lookup_join(rows, stems, "term")
+    return joined.groupBy("sentence", "doc_id").agg(words.alias("terms")).select("doc_id", "terms")
+
+
 def stem_counts(counts: DataFrame, stems: DataFrame) -> DataFrame:
     """Replace terms by stems in a long count table and add up what falls together.
 
@@ -94,7 +112,8 @@ def pattern_term_counts(
 ) -> DataFrame:
     """(doc_id, term, count) of a-z words; stop words are compared with the stems.
 
-    A document without a term stays as one row with a null term and count 0. For
+    A document without a term stays as one row with a null term and count 0; an id may
+    have several rows. Stop words are flagged in the counts, so the texts are read once. For
     stemming, the counts are stored first, so that texts are searched only once, and
     each distinct word is stemmed once.
     """
@@ -108,19 +127,24 @@ def pattern_term_counts(
         counts = stage(counts, "word-counts")
         stems = stage(stem_vocabulary(counts), "stems")
         counts = stem_counts(counts, stems)
-    if stop_words is None:
-        return counts
-    kept = lookup_join(
-        counts.where(F.col("term").isNotNull()),
-        stop_words.select("term").distinct(),
-        "term",
-        "left_anti",
-    )
-    return (
-        df.select("doc_id")
-        .join(kept, "doc_id", "left")
-        .withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
+    if stop_words is not None:
+        stops = stop_words.select("term").distinct().withColumn("is_stop", F.lit(True))
+        flagged = lookup_join(counts, stops, "term", "left")
+        counts = flagged.select(
+            "doc_id", F.when(F.col("is_stop").isNull(), F.col("term")).alias("term"), "count"
+        )
+    return _without_empty(counts)
+
+
+def _without_empty(counts: DataFrame) -> DataFrame:
+    """Null terms out, but for one row with count 0 of a document that has no other."""
+    of_doc = Window.partitionBy("doc_id")
+    marked = counts.withColumn("terms", F.count("term").over(of_doc)).withColumn(
+        "place", F.row_number().over(of_doc.orderBy("term"))
     )
+    kept = F.col("term").isNotNull() | ((F.col("terms") == 0) & (F.col("place") == 1))
+    count = F.when(F.col("term").isNull(), F.lit(0)).otherwise(F.col("count")).cast("bigint")
+    return marked.where(kept).select("doc_id", "term", count.alias("count"))
 
 
 def ptb_tokens(df: DataFrame) -> DataFrame:

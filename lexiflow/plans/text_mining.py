@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.operators import entities, rewrite, tokens, vectors, weights
-from lexiflow.session import spread
+from lexiflow.operators import entities, rewrite, seeds, tokens, vectors, weights
+from lexiflow.session import fingerprint, spread
 from lexiflow.settings import MiningSettings
 from lexiflow.sources.sinks import materialize
 from lexiflow.sources.tables import scan_terms
@@ -26,6 +27,7 @@ class MinedTables:
     vocabulary: DataFrame | None = None  # term, df, term_id
     cells: DataFrame | None = None  # doc_id, term_id, weight
     log: list[tuple[str, str]] = field(default_factory=list)
+    base: str = ""  # folder of the stages
 
 
 def stop_word_table(spark: SparkSession, settings: MiningSettings) -> DataFrame | None:
@@ -44,6 +46,21 @@ def stop_word_table(spark: SparkSession, settings: MiningSettings) -> DataFrame
     return table.distinct()
 
 
+def stage_folder(
+    directory: str, settings: MiningSettings, corpus: DataFrame, *others: DataFrame | None
+) -> str:
+    """The folder of the stages of these settings over these tables."""
+    prints = [fingerprint(table) for table in (corpus, *others) if table is not None]
+    digest = hashlib.sha256("/".join([settings.digest(), *prints]).encode()).hexdigest()[:16]
+    return f"{directory.rstrip('/')}/{digest}"
+
+
+def remove_stages(spark: SparkSession, base: str) -> None:
+    """Delete the stages of one folder, as named in MinedTables.base."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mine_text(
     spark: SparkSession,
     directory: str,
@@ -53,10 +70,10 @@ def mine_text(
 ) -> MinedTables:
     """Tag, replace, mask, tokenise, count, weight; each saved stage is read back.
 
-    The folder carries a digest of the settings, so a run with other settings builds
-    its own stages. `directory` stands for the corpus.
+    The folder carries a digest of the settings and fingerprints of the corpus and the
+    lexicon, so a run with other ones builds its own stages. `remove_stages` clears them.
     """
-    base = f"{directory.rstrip('/')}/{settings.digest()}"
+    base = stage_folder(directory, settings, corpus.select("doc_id", "body"), lexicon)
     log: list[tuple[str, str]] = []
 
     def stage(name, build):
@@ -69,8 +86,8 @@ def mine_text(
     if settings.tag_entities:
         if lexicon is None:
             raise ValueError("tagging needs a lexicon")
-        by_id = spread(corpus.select("doc_id", "body"), "doc_id")
-        tagged = stage("tagged", lambda: entities.tag_entities(by_id, lexicon))
+        texts = source
+        tagged = stage("tagged", lambda: entities.tag_entities(texts, lexicon))
         source = entities.replace_entities(tagged, settings.entity_mask)
     masked = stage("masked", lambda: rewrite.mask_patterns(source, settings.mask_rules))
     sentences = stage(
@@ -80,7 +97,9 @@ def mine_text(
     doc_freq = stage("doc-freq", lambda: weights.doc_freq(bag))
     num_docs = stage("num-docs", lambda: weights.doc_count(bag))
     weighted = stage("tfidf", lambda: weights.tfidf(bag, doc_freq, num_docs))
-    result = MinedTables(masked, sentences, bag, doc_freq, num_docs, weighted, tagged, log=log)
+    result = MinedTables(
+        masked, sentences, bag, doc_freq, num_docs, weighted, tagged, log=log, base=base
+    )
     if settings.build_vectors:
         stop = stop_word_table(spark, settings)
         result.vocabulary = stage(
@@ -93,13 +112,13 @@ def mine_text(
 
 
 def mask_and_tokenize(
-    spark: SparkSession, directory: str, corpus: DataFrame, lexicon: str
+    spark: SparkSession, directory: str, corpus: DataFrame, heads: DataFrame
 ) -> DataFrame:
     """The older job: names and numbers masked and saved, then sentence terms saved."""
     masked = materialize(
         spark,
         f"{directory}/replacement",
-        lambda: rewrite.mask_lexicon_and_patterns(spread(corpus), lexicon).select(
+        lambda: seeds.mask_lexicon_and_patterns(spread(corpus), heads).select(
             "doc_id", "body"
         ),
     )

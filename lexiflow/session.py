@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 
@@ -49,11 +50,23 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     on those keys needs no exchange of its own. The rows moved are the texts, not
     the many times larger exploded tokens. The configured number of partitions is given
     explicitly, because adaptive execution would merge them by the size of the texts and
-    not by that of the tokens. Without keys: only a scan with fewer tasks than cores is
-    widened; a large scan is left as it is.
+    not by that of the tokens. Without keys: only a scan of fewer bytes than one task reads
+    for each core is widened, by the planner's estimate; a large scan is left as it is.
     """
     if keys:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return df.repartition(partitions, *keys)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    task_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df if int(str(estimate)) >= cores * task_bytes else df.repartition(cores)
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Rows and contents of a table, whatever the order of its rows."""
+    high, low = F.xxhash64(*df.columns), F.hash(*df.columns)
+    sums = F.sum(high.cast("decimal(38,0)")), F.sum(low.cast("bigint")), F.bit_xor(high)
+    return "/".join(str(x) for x in df.agg(F.count(F.lit(1)), *sums).first())

@@ -3,6 +3,7 @@ from conftest import tuples
 from pyspark.sql import functions as F
 
 from lexiflow.operators import joins
+from lexiflow.session import spread
 
 
 @pytest.fixture
@@ -20,10 +21,9 @@ def table(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
-def test_both_ways_give_the_plain_join(skewed, table, how, monkeypatch):
+def test_both_ways_give_the_plain_join(skewed, table, how):
     plain = skewed.join(table, "k", how)
     small = joins.lookup_join(skewed, table, "k", how)
-    monkeypatch.setattr(joins, "HOT_KEYS", 3)
     large = joins.lookup_join(skewed, table, "k", how, max_rows=5)
 
     def rows(df):
@@ -46,19 +46,39 @@ def test_size_check(spark, table):
     assert not joins.fits_broadcast(table, max_bytes=100)
 
 
-def test_large_table_is_split_by_key(skewed, table, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_KEYS", 1)
-    plan = joins.lookup_join(skewed, table.hint("merge"), "k", "inner", max_rows=5)
-    text = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "Union" in text and "(k#" in text and "= hot" in text
+def logical(df):
+    return df._jdf.queryExecution().logical().toString()
 
 
-def test_many_entries_of_a_hot_key_are_not_broadcast(spark, skewed, table, monkeypatch):
-    # A thousand entries of one key: neither the table nor its hot part fits.
+def test_bounds_of_the_caller_hold(skewed, table):
+    assert "broadcast" in logical(joins.lookup_join(skewed, table, "k"))
+    for bounds in ({"max_rows": 2}, {"max_bytes": 50}):
+        assert "broadcast" not in logical(joins.lookup_join(skewed, table, "k", **bounds))
+
+
+def test_many_entries_of_a_hot_key(spark, skewed, table):
     extra = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
     many = table.unionByName(extra)
-    plain = skewed.join(many, "k")
-    monkeypatch.setattr(joins, "fits_broadcast", lambda *args: False)
-    got = joins.lookup_join(skewed, many, "k")
-    assert "broadcast" not in got._jdf.queryExecution().logical().toString()
-    assert got.count() == plain.count() == 1000 * 1001 + skewed.join(table, "k").count() - 1000
+    got = joins.lookup_join(skewed, many, "k", max_rows=100)
+    assert got.count() == skewed.join(many, "k").count()
+
+
+def test_rows_are_read_by_the_join_only(spark, skewed, table):
+    """Planning runs a measuring job, and a storing one beyond the bound; none reads the rows."""
+    failing = skewed.withColumn("id", F.raise_error(F.lit("read too early")))
+    for bound in ({}, {"max_rows": 5}):
+        spark.sparkContext.setJobGroup(f"planning {bound}", "")
+        joins.lookup_join(failing, table, "k", **bound)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"planning {bound}")
+        assert len(jobs) <= 3
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_spread_runs_no_job(spark, skewed):
+    shuffled = skewed.groupBy("k").count()
+    spark.sparkContext.setJobGroup("spreading", "")
+    assert spread(shuffled).count() == shuffled.count()
+    spark.sparkContext.setJobGroup("spreading 2", "")
+    spread(shuffled)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("spreading 2")
+    spark.sparkContext.setJobGroup("", "")

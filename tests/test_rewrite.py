@@ -34,14 +34,32 @@ def test_other_masks_can_be_given(corpus):
 
 
 def test_older_masks_keep_their_quirks(corpus):
-    pattern = seeds.lexicon_pattern(corpus("phenol").selectExpr("body as head"), 10)
-    masked = rewrite.mask_lexicon_and_patterns(corpus("x-2,4-phenols (y) 5 < 6 %"), pattern)
+    heads = corpus("phenol").selectExpr("body as head")
+    masked = seeds.mask_lexicon_and_patterns(corpus("x-2,4-phenols (y) 5 < 6 %"), heads)
     # The name keeps no glued prefix, `5 <` is a plain number, parentheses vanish.
     assert bodies(masked) == ["maskentity  masknum  < maskpct "]
-    kept = rewrite.mask_lexicon_and_patterns(corpus("a (y) b"), pattern, " maskparen ")
+    kept = seeds.mask_lexicon_and_patterns(corpus("a (y) b"), heads, " maskparen ")
     assert bodies(kept) == ["a  maskparen  b"]
 
 
+def test_no_heads_mask_no_name(corpus):
+    heads = corpus("x").selectExpr("body as head").where("false")
+    text = "about 12 mice (n=7)"
+    assert bodies(seeds.mask_names(corpus(text), heads)) == [text]
+    assert bodies(seeds.mask_lexicon_and_patterns(corpus(text), heads)) == ["about masknum  mice "]
+
+
+def test_names_agree_with_one_pattern_of_all_heads(corpus):
+    words = ["phenol", "βcar", "foo", "a", "gamma"]
+    heads = corpus(*words).selectExpr("body as head")
+    texts = ["(foo)-2-phenol", "2αβcarotene (x foo) 3-", "(R)-gamma 1,2-xfoo", "7) a b [n.b] (n.b", "2-Phenol", "", "1α-γβcarα2b"]
+    one = "|".join(re.escape(w) for w in sorted(words))
+    pattern = f"{P.LOCANT_HEADER}(?:(?:{one})[a-zA-Z]*){P.LOCANT_TRAILER}"
+    wanted = [re.sub(pattern, P.ENTITY_MASK, t) for t in texts]
+    got = {r.doc_id: r.body for r in seeds.mask_names(corpus(*texts), heads).collect()}
+    assert [got[f"d{i + 1}"] for i in range(len(texts))] == wanted
+
+
 def test_unglue_heading(corpus):
     df = corpus("AbstractThe cat", "Abstractthe", "AbstractΑlpha", "The Cat")
     assert bodies(rewrite.unglue_heading(df)) == ["The cat", "Abstractthe", "Αlpha", "The Cat"]
@@ -98,6 +116,5 @@ def test_seeds_in_dictionary(terms):
 def test_heads_pattern_and_matches(corpus, terms):
     heads = seeds.seed_heads(terms("dinitrophenol", "dinitrophenyl", name="seed"), 10)
     assert tuples(heads) == [("dinitrophe",)]
-    pattern = seeds.lexicon_pattern(heads, 5)
-    found = seeds.lexicon_matches(corpus("2,4-dinitrophenols and 1-dinitrophenyl-3"), pattern)
+    found = seeds.lexicon_matches(corpus("2,4-dinitrophenols and 1-dinitrophenyl-3"), heads)
     assert tuples(found) == [("1-dinitrophenyl-3",), ("2,4-dinitrophenols",)]

@@ -43,18 +43,34 @@ def bm25(n, df, freq, length, mean):
 
 
 def test_scores(documents, tmp_path):
-    postings = search.save_postings(search.build_postings(documents), str(tmp_path / "index"))
-    got = search.search(postings, "title", "Red the DOG", 5).collect()
+    index = search.save_index(documents, str(tmp_path / "index"))
+    got = search.search(index, "title", "Red the DOG", 5).collect()
     red = [bm25(2, 2, 1, length, 3) for length in (2, 4)]
     dog = bm25(2, 1, 2, 4, 3)
     assert [r["doc_id"] for r in got] == ["S2", "S1"]
     assert [r["score"] for r in got] == pytest.approx([red[1] + dog, red[0]], abs=1e-6)
-    assert search.search(postings, "title", "red", 1).count() == 1
-    assert search.search(postings, "title", "unseen", 5).count() == 0
+    assert [tuple(r)[2:] for r in got] == [
+        ("A blue dog and the red dog", "2222-2222", "Dog", "a", 2),
+        ("The red fox", "1111-1111", "Fox News", "red red dog", 2),
+    ]
+    assert search.search(index, "title", "red", 1).first().total == 2
+    assert search.search(index, "title", "unseen", 5).count() == 0
+    assert search.search(search.load_index(index.postings.sparkSession, str(tmp_path / "index")), "title", "red", 1).count() == 1
+
+
+def test_terms_are_a_filter_of_one_scan(spark, documents, tmp_path, monkeypatch):
+    index = search.save_index(documents, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "red dog")], "query_id long, text string")
+    plan = search.score(index, queries, "title")._jdf.queryExecution().executedPlan().toString()
+    scans = [part for part in plan.split("FileScan parquet")[1:] if "positions" in part or "doc_len" in part]
+    assert len(scans) == 1 and "In(term, [dog,red])" in scans[0].replace("red,dog", "dog,red")
+    best = tuples(search.search_batch(index, queries, "title", 5))
+    monkeypatch.setattr(search, "TERMS_IN_FILTER", 1)
+    assert tuples(search.search_batch(index, queries, "title", 5)) == best
 
 
-def test_batch_and_hits(spark, documents):
-    postings = search.build_postings(documents)
+def test_batch_and_hits(spark, documents, tmp_path):
+    postings = search.save_index(documents, str(tmp_path / "index"))
     queries = spark.createDataFrame(
         [(1, "red"), (2, "blue red"), (3, "none")], "query_id long, text string"
     )
@@ -64,9 +80,10 @@ def test_batch_and_hits(spark, documents):
     assert tuples(best, "query_id", "rank", "doc_id") == [(1, 1, "S1"), (2, 1, "S2")]
 
 
-def test_equal_scores_go_by_id(spark):
+def test_equal_scores_go_by_id(spark, tmp_path):
     rows = [(f"S{i}", "same text", "1", "j", "b") for i in (3, 1, 2)]
     names = "doc_id string, title string, issn string, journal string, abstract string"
-    postings = search.build_postings(search.index_documents(spark.createDataFrame(rows, names)))
-    got = search.search(postings, "title", "text", 2).collect()
+    documents = search.index_documents(spark.createDataFrame(rows, names))
+    index = search.save_index(documents, str(tmp_path / "index"))
+    got = search.search(index, "title", "text", 2).collect()
     assert [r["doc_id"] for r in got] == ["S1", "S2"]

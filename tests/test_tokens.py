@@ -175,3 +175,21 @@ def test_samples(spark):
 def test_letter_terms_are_whole_words(corpus):
     df = corpus("abc_d abc éabc abcé abc1 ABCDE ab")
     assert df.select(X.letter_terms(F.col("body"), 3)).first()[0] == ["abc", "abcde"]
+
+
+def test_stop_words_with_several_rows_of_one_id(corpus, terms):
+    df = corpus("cat cat", "dog the", "the", "", ids=["d1", "d1", "d2", "d3"])
+    got = tokens.pattern_term_counts(df, terms("the"), stemmed=False)
+    assert tuples(got) == [("d1", "cat", 2), ("d1", "dog", 1), ("d2", None, 0), ("d3", None, 0)]
+
+
+def test_stop_words_cost_no_second_reading(corpus, terms):
+    df = corpus("cat cat the")
+    plan = tokens.pattern_term_counts(df, terms("the"), stemmed=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_sentences_stemmed_by_vocabulary(corpus):
+    df = corpus("The cats ran. CATS running!", "ponies")
+    got = tokens.tokenize_sentences(df, "lower_stem")
+    assert tuples(got) == [("d1", ["cat", "run", "!"]), ("d1", ["the", "cat", "ran", "."]), ("d2", ["poni"])]

@@ -63,7 +63,7 @@ def test_svd_matches_numpy(spark, matrix):
 def test_rank_limits_the_dimension(matrix):
     _, cells, docs = matrix
     one = cells.where("doc_id = 'd0'")
-    assert lsi.lsi(vectors.sparse_vectors(one, docs, 4), 4, 3).dim == 1
+    assert lsi.lsi(vectors.sparse_vectors(one, docs, 4), 4, 3, r_cond=1e-7).dim == 1
 
 
 def test_term_without_weight_has_null_vector(spark, matrix):
@@ -75,13 +75,18 @@ def test_term_without_weight_has_null_vector(spark, matrix):
 
 def test_gramian(matrix):
     dense, cells, docs = matrix
-    got = lsi.gramian(vectors.sparse_vectors(cells, docs, 4), 4).collect()
+    got = lsi.gramian(cells).collect()
     expected = dense.T @ dense
     assert {(r["i"], r["j"]): r["value"] for r in got} == pytest.approx(
         {(i, j): expected[i, j] for i in range(4) for j in range(i, 4) if expected[i, j]}
     )
-    with pytest.raises(ValueError):
-        lsi.gramian(vectors.sparse_vectors(cells, docs, 4), lsi.MAX_GRAMIAN_SIDE + 1)
+
+
+def test_too_many_words_for_the_driver_are_refused(spark, monkeypatch):
+    rows = spark.createDataFrame([(["a", "b"],)] * 5, "terms array<string>")
+    monkeypatch.setattr(vectors, "MAX_WORD_VECTOR_CELLS", 7)
+    with pytest.raises(ValueError, match="2 words x 4"):
+        vectors.train_word_vectors(rows, dim=4)
 
 
 def test_weighted_means(spark):
