@@ -208,22 +208,22 @@ def main_text(page: str, template: np.ndarray) -> str:
 
 
 def subtrees(page: str) -> tuple[int, set[int]]:
-    """Digest of the main content, and those of all subtrees outside of it."""
+    """Digest of the main content (of all text, without an article), and those of the subtrees outside."""
     root = parse(page)
     _hash(root)
     parts = _main_parts(root)
     own = {id(p) for p in parts}
-    found, longest, todo = set(), "", [root]
+    found, texts, todo = set(), [], [root]
     while todo:
         element = todo.pop()
         for child in element.children:
             if isinstance(child, str):
-                longest = max(longest, child, key=len) if element.tag not in FURNITURE else longest
+                texts.append(" ".join(child.split()))
             elif id(child) not in own:
                 todo.append(child)
                 if child.tag not in ("html", "body", "head") and not (parts and _holds(child, own)):
                     found.add(child.digest)
-    content = "".join(str(p.digest) for p in parts) or longest
+    content = " ".join(str(p.digest) for p in parts) or " ".join(sorted(texts))
     return xxhash.xxh64_intdigest(content) >> 1, found
 
 
@@ -275,7 +275,7 @@ def _page_templates(keyed: DataFrame, templates: DataFrame) -> DataFrame:
 
     found = keyed.select("page", "host", "body").mapInArrow(run, "page long, host string, digest long")
     met = found.join(templates, ["host", "digest"])
-    return stage(met.groupBy("page", "host").agg(F.collect_set("digest").alias("template")), "page_templates")
+    return stage(met.groupBy("page", "host").agg(F.sort_array(F.collect_set("digest")).alias("template")), "page_templates")
 
 
 def _host():

@@ -40,7 +40,7 @@ def test_templates_go_where_they_recur(spark):
     rows = site(30, "a.example") + site(3, "b.example")
     got = {(r.url, r.text) for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert ("http://a.example/7", "Own text 7\nSecond 7") in got
-    assert ("http://b.example/1", "Welcome to b.example Slogan\nOwn text 1\nSecond 1") in got
+    assert ("http://b.example/1", "Welcome to b.exampleSlogan\nOwn text 1\nSecond 1") in got
 
 
 def test_few_and_many_templates_give_the_same(spark):
