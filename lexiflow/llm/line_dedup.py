@@ -72,7 +72,7 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFram
     again = hits.join(first, ["high", "low"]).filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
     drops = stage(again.groupBy(F.col("row").alias("drop_row")).agg(F.collect_set("at").alias("drop")), "drops")
     keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    met = keyed.join(drops, F.col("_row") == F.col("drop_row"), "left")
+    met = keyed.join(drops.hint("merge"), F.col("_row") == F.col("drop_row"), "left")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("drop", i))
     full = F.size(F.filter(parts, lambda x: F.trim(x) != ""))
