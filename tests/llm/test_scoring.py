@@ -8,10 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiflow.llm.language import held_out
-from lexiflow.llm.scoring import BUCKETS, count_grams, learn_weights, score
+from lexiflow.llm.scoring import BUCKETS, corpus_size, count_grams, learn_weights, score
 
 SCHEMA = "doc_id long, text string, counts string, block int"
-BASE = 3
 
 
 def tokens(text):
@@ -74,8 +73,7 @@ def test_agrees_with_dictionaries(spark, order):
     rows = documents(150) + [(500, None, None, None), (500, None, None, None), (None, "\x0b A\x1cb ", "x", 1), (7, "w1 " * 40_000, "x", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
     counted = count_grams(docs, ~held_out(10), order)
-    total, distinct = counted.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("n_distinct")).first()
-    weights = learn_weights(counted, order, total, distinct)
+    weights = learn_weights(counted, order, *corpus_size(counted))
     got = sorted((tuple(r) for r in score(docs, ~held_out(10), order).collect()), key=str)
     for mine, other in zip(got, sorted(brute_force(rows, order, weights), key=str), strict=True):
         assert mine[:5] == other[:5]
