@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +33,34 @@ from lexiflow.session import stage
 
 ORDER = 2
 BLOCK_CHARS = 8_000_000
+HELD_BYTES = 16 << 20  # of texts in a task before they are sent to their blocks
+PACK_TOKENS = 200_000
 ROUNDS = 12
 BUCKETS = 40
 DELETED = 10  # every tenth block is held out for the weights
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that leading zeros compress away."""
+    columns = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize)
+    return zstandard.ZstdCompressor(level=3).compress(columns.T.tobytes())
+
+
+def unsqueeze(data: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).ravel()
+
+
+def squeeze_sorted(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unsqueeze_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(data, np.uint64), dtype=np.uint64)
+
+
 class Grams:
     """n-gram hashes of a block of texts, by position."""
 
@@ -84,102 +107,141 @@ def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
+PACKED = "block int, doc_id array<long>, trained array<boolean>, sizes array<int>, bodies binary"
 ASK = "question int, part int, block int, keys binary, counts binary"
 ANSWER = "question int, part int, block int, counts binary, n_distinct long"
+COUNTED = (
+    "doc_id array<long>, trained array<boolean>, sizes array<long>, counts binary, deleted binary, "
+    "n_deleted long, n_distinct long, n_trained long"
+)
+
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of a task by block, compressed together."""
+    kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
+    held: dict[int, list] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        rows = []
+        for block, docs in held.items():
+            ids, trained, bodies = zip(*docs)
+            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(bodies))
+            rows.append((block, ids, trained, [len(b) for b in bodies], packed))
+        held.clear()
+        columns = zip(*rows) if rows else ((),) * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_names(PACKED))
+
+    for batch in batches:
+        for doc_id, trained, body, block in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            held.setdefault(block, []).append((doc_id, trained, body))
+            size += len(body)
+            if size >= HELD_BYTES:
+                yield flush()
+                size = 0
+    yield flush()
+
+
+def _unpack(packs: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
+    """Ids, training marks and texts of a block."""
+    ids, trained, bodies = [], [], []
+    for pack_ids, marks, sizes, data in zip(*(packs.column(c).to_pylist() for c in ("doc_id", "trained", "sizes", "bodies"))):
+        text, at = zstandard.ZstdDecompressor().decompress(data), 0
+        for size in sizes:
+            bodies.append(text[at : at + size])
+            at += size
+        ids += pack_ids
+        trained += marks
+    return ids, np.array(trained, bool), bodies
 
 
 def _ask(order: int, ranges: int):
-    def run(block: pa.Table) -> pa.Table:
-        number = block.column("block")[0].as_py()
-        grams = Grams(block.column("body").to_pylist(), block.column("trained").to_numpy(), order)
+    def run(packs: pa.Table) -> pa.Table:
+        number = packs.column("block")[0].as_py()
+        _, trained, bodies = _unpack(packs)
         rows = []
-        for question, (keys, _, counts) in enumerate(grams.asked()):
+        for question, (keys, _, counts) in enumerate(Grams(bodies, trained, order).asked()):
             edges = _bounds(keys, ranges)
             for part in range(ranges):
                 a, b = edges[part], edges[part + 1]
                 if b > a:
-                    rows.append((question, part, number, keys[a:b].tobytes(), counts[a:b].tobytes()))
+                    rows.append((question, part, number, squeeze_sorted(keys[a:b]), squeeze(counts[a:b])))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         columns = zip(*rows) if rows else ((),) * 5
-        names = ["question", "part", "block", "keys", "counts"]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_names(ASK))
 
     return run
 
 
 def _answer(asked: pa.Table) -> pa.Table:
     """Total counts of the keys of one range, in the packing they came in."""
-    keys = [np.frombuffer(k.as_py(), np.uint64) for k in asked.column("keys")]
-    counts = np.concatenate([np.frombuffer(c.as_py(), np.uint32) for c in asked.column("counts")])
+    keys = [unsqueeze_sorted(k) for k in asked.column("keys").to_pylist()]
+    counts = np.concatenate([unsqueeze(c, np.uint32) for c in asked.column("counts").to_pylist()])
     sizes = np.cumsum([len(k) for k in keys])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, counts).astype(np.int64)
-    back = total[at].astype(np.uint32)
-    parts = [p.tobytes() for p in np.split(back, sizes[:-1])]
+    total = np.bincount(at, counts)
+    parts = [squeeze(p) for p in np.split(total[at].astype(np.uint32), sizes[:-1])]
     distinct = [int((total > 0).sum())] + [0] * (len(parts) - 1)
-    return pa.Table.from_arrays(
-        [asked.column("question"), asked.column("part"), asked.column("block"), pa.array(parts, pa.binary()),
-         pa.array(distinct, pa.int64())],
-        names=["question", "part", "block", "counts", "n_distinct"],
-    )
-
-
-COUNTED = "doc_id long, held_out boolean, n_tokens long, counts binary, deleted binary, n_deleted long, n_distinct long"
+    columns = [asked.column("question"), asked.column("part"), asked.column("block")]
+    columns += [pa.array(parts, pa.binary()), pa.array(distinct, pa.int64())]
+    return pa.Table.from_arrays(columns, names=_names(ANSWER))
 
 
 def _collect(order: int, ranges: int):
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "counts", "deleted", "n_deleted", "n_distinct"]
-        trained = block.column("trained").to_numpy()
-        grams = Grams(block.column("body").to_pylist(), trained, order)
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, trained, bodies = _unpack(packs)
+        grams = Grams(bodies, trained, order)
         got = {
-            (q, p): np.frombuffer(c, np.uint32)
+            (q, p): unsqueeze(c, np.uint32)
             for q, p, c in zip(*(answers.column(x).to_pylist() for x in ("question", "part", "counts")))
         }
         distinct = sum(n for q, n in zip(*(answers.column(x).to_pylist() for x in ("question", "n_distinct"))) if q == 0)
-        learn = block.column("block")[0].as_py() % DELETED == 0
         counts, deleted = [], []
         for question, (_, at, own) in enumerate(grams.asked()):
             total = np.concatenate([got[question, p] for p in range(ranges) if (question, p) in got])
             counts.append(total[at])
             deleted.append((total - own)[at])
         counts, deleted = np.stack(counts), np.stack(deleted)
-        edges = np.append(grams.first, len(grams.tokens))
-        spans = list(zip(edges[:-1], edges[1:]))
+        learn = packs.column("block")[0].as_py() % DELETED == 0
         own_tokens = int(grams.trained.sum())
-        rows = [
-            block.column("doc_id"),
-            pa.array(~trained),
-            pa.array(grams.sizes),
-            pa.array([counts[:, a:b].tobytes() for a, b in spans], pa.binary()),
-            pa.array([deleted[:, a:b].tobytes() if learn and t else None for (a, b), t in zip(spans, trained)], pa.binary()),
-            pa.array([own_tokens] * len(spans), pa.int64()),
-            pa.array([distinct] + [0] * (len(spans) - 1), pa.int64()),
-        ]
-        return pa.Table.from_arrays(rows, names=names)
+        ends = grams.first + grams.sizes
+        rows, begin = [], 0
+        while begin < len(ids):
+            end = max(begin + 1, int(np.searchsorted(ends, grams.first[begin] + PACK_TOKENS, side="right")))
+            a, b = grams.first[begin], ends[end - 1]
+            kept = np.repeat(trained[begin:end], grams.sizes[begin:end])
+            rows.append((
+                ids[begin:end], trained[begin:end], grams.sizes[begin:end], squeeze(counts[:, a:b]),
+                squeeze(deleted[:, a:b][:, kept]) if learn and kept.any() else None,
+                own_tokens, 0 if begin else distinct, int(kept.sum()),
+            ))
+            begin = end
+        kinds = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary()] + [pa.int64()] * 3
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_names(COUNTED))
 
     return run
 
 
 def count_grams(docs: DataFrame, trained, order: int = ORDER, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """For each row of docs, the training counts of its n-grams of every order, packed by position."""
+    """Packs of documents with the training counts of their n-grams of every order, by position."""
     body = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(16, -(-size // block_chars))
-    dealt = docs.select(
-        F.col("doc_id").cast("long"),
-        trained.alias("trained"),
-        body.alias("body"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"),
-    )
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long"), trained.alias("trained"), body.alias("body"), block.alias("block"))
+    dealt = rows.mapInArrow(_pack, PACKED)
     asked = dealt.groupBy("block").applyInArrow(_ask(order, blocks), ASK)
     answered = asked.groupBy("question", "part").applyInArrow(_answer, ANSWER)
     met = dealt.groupBy("block").cogroup(answered.groupBy("block"))
     return stage(met.applyInArrow(_collect(order, blocks), COUNTED), "gram_counts")
 
 
-def _estimates(counts: np.ndarray, total: float, distinct: int) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates at each position of a text, uniform first, and the weight set of its context.
+def _estimates(counts: np.ndarray, sizes: np.ndarray, total: float, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates at each position of some texts, uniform first, and the weight set of its context.
 
     counts: one row per order. A context is the n-gram that ended one word before; before
     the first word it is the begin token, as frequent as the end token.
@@ -189,9 +251,12 @@ def _estimates(counts: np.ndarray, total: float, distinct: int) -> tuple[np.ndar
     estimates[0] = 1 / (distinct + 1)
     if total > 0:
         estimates[1] = counts[0] / total
+    last = np.cumsum(sizes) - 1
+    first = last + 1 - sizes
     for n in range(1, order):
         context = np.empty(size)
-        context[1:], context[0] = counts[n - 1, :-1], counts[0, -1]
+        context[1:] = counts[n - 1, :-1]
+        context[first] = counts[0, last]
         seen = context > 0
         estimates[n + 1, seen] = counts[n, seen] / context[seen]
         bucket[seen] = n * BUCKETS + np.minimum(np.log2(context[seen]).astype(np.int64), BUCKETS - 1)
@@ -200,7 +265,8 @@ def _estimates(counts: np.ndarray, total: float, distinct: int) -> tuple[np.ndar
 
 def learn_weights(counted: DataFrame, order: int, total: int, distinct: int, rounds: int = ROUNDS) -> np.ndarray:
     """Mixture weights (bucket, uniform and orders) by expectation-maximisation on deleted counts."""
-    held = counted.filter("deleted is not null").select("deleted", "n_deleted")
+    kept = F.transform(F.filter(F.arrays_zip("sizes", "trained"), lambda x: x["trained"]), lambda x: x["sizes"])
+    held = counted.filter("deleted is not null").select("deleted", "n_deleted", kept.alias("sizes"))
     weights = np.full((order * BUCKETS, order + 1), 1 / (order + 1))
     for _ in range(rounds):
         shared = counted.sparkSession.sparkContext.broadcast(weights)
@@ -208,9 +274,9 @@ def learn_weights(counted: DataFrame, order: int, total: int, distinct: int, rou
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             current, sums = shared.value, np.zeros((order * BUCKETS, order + 1))
             for batch in batches:
-                for packed, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    counts = np.frombuffer(packed, np.uint32).reshape(order, -1)
-                    estimates, bucket = _estimates(counts, total - own, distinct)
+                for packed, own, sizes in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    counts = unsqueeze(packed, np.uint32).reshape(order, -1)
+                    estimates, bucket = _estimates(counts, np.array(sizes), total - own, distinct)
                     share = current[bucket].T * estimates
                     share /= share.sum(axis=0)
                     for n in range(order + 1):
@@ -234,27 +300,31 @@ SCORED = (
 )
 
 
+def corpus_size(counted: DataFrame) -> tuple[int, int]:
+    """Training tokens, and distinct ones."""
+    sums = counted.agg(F.sum("n_trained"), F.sum("n_distinct")).first()
+    return sums[0] or 0, sums[1] or 0
+
+
 def score(docs: DataFrame, trained, order: int = ORDER, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Scores of each row of docs; trained: the column that marks the rows to learn from."""
     counted = count_grams(docs, trained, order, block_chars)
-    sums = counted.agg(F.sum(F.when(~F.col("held_out"), F.col("n_tokens"))), F.sum("n_distinct")).first()
-    total, distinct = sums[0] or 0, sums[1] or 0
+    total, distinct = corpus_size(counted)
     shared = docs.sparkSession.sparkContext.broadcast(learn_weights(counted, order, total, distinct))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
         for batch in batches:
-            known, base, scores = [], [], []
-            for packed in batch.column(3).to_pylist():
-                counts = np.frombuffer(packed, np.uint32).reshape(order, -1)
-                estimates, bucket = _estimates(counts, total, distinct)
-                known.append(int((counts[0] > 0).sum()))
-                base.append(float(np.log10((counts[0] + 0.1) / (total + 0.1 * (distinct + 1))).sum()))
-                scores.append(float(np.log10((weights[bucket].T * estimates).sum(axis=0)).sum()))
-            columns = [batch.column(i) for i in range(3)]
-            columns += [pa.array(known, pa.int64()), pa.array([total] * len(known), pa.int64())]
-            columns += [pa.array(base, pa.float64()), pa.array(scores, pa.float64())]
-            names = [part.split()[0] for part in SCORED.split(", ")]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return counted.select("doc_id", "held_out", "n_tokens", "counts").mapInArrow(run, SCORED)
+            for ids, marks, sizes, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                sizes = np.array(sizes)
+                counts = unsqueeze(packed, np.uint32).reshape(order, -1)
+                estimates, bucket = _estimates(counts, sizes, total, distinct)
+                first = np.cumsum(sizes) - sizes
+                base = np.log10((counts[0] + 0.1) / (total + 0.1 * (distinct + 1)))
+                mixed = np.log10((weights[bucket].T * estimates).sum(axis=0))
+                columns = [pa.array(ids, pa.int64()), pa.array([not m for m in marks]), pa.array(sizes)]
+                columns += [pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), first)), pa.array([total] * len(ids), pa.int64())]
+                columns += [pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(mixed, first))]
+                yield pa.RecordBatch.from_arrays(columns, names=_names(SCORED))
+
+    return counted.select("doc_id", "trained", "sizes", "counts").mapInArrow(run, SCORED)
