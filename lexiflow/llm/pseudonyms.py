@@ -6,7 +6,7 @@ document, and nobody without the key can go back. A value outside the wanted set
 permuted again until it falls inside (cycle walking), which keeps it a permutation.
 
 Kinds: payment cards (Luhn), IBANs (mod 97), telephone numbers, dates, IPv4 addresses,
-mail addresses (the local part) and access keys. Separators, letter case and field widths
+mail addresses (the local part), access keys, and values named as a password, token or key. Separators, letter case and field widths
 stay. A number that does not validate as any kind stays as it is.
 
 Null texts stay null with 0 replacements.
@@ -31,6 +31,7 @@ ROUNDS = 8
 VALUE = re.compile(
     r"""(?P<mail>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
     |(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)
+    |(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|(?:api|access|auth|private)[_-]?key)["']?[ ]?[:=][ ]?["']?)(?P<secret>[A-Za-z0-9_+/.-]{8,})
     |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
     |(?P<date>(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-]|\.\d))
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
@@ -173,7 +174,11 @@ def access_key(text: str, key: bytes) -> str:
     return text[:4] + _characters(text[4:], key, "key")
 
 
-REPLACE = {"mail": mail, "key": access_key, "iban": iban, "date": date, "ip": ip, "card": card, "phone": phone}
+def secret(text: str, key: bytes) -> str:
+    return _characters(text, key, "secret")
+
+
+REPLACE = {"mail": mail, "key": access_key, "secret": secret, "iban": iban, "date": date, "ip": ip, "card": card, "phone": phone}
 
 
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]]]:
@@ -182,11 +187,13 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int,
         return text, []
     out, spans, done = [], [], 0
     for match in VALUE.finditer(text):
-        new = REPLACE[match.lastgroup](match.group(), key)
+        kind = match.lastgroup
+        new = REPLACE[kind](match.group(kind), key)
         if new is not None:
-            out += [text[done : match.start()], new]
-            done = match.end()
-            spans.append((match.lastgroup, match.start(), match.end()))
+            start, end = match.span(kind)
+            out += [text[done:start], new]
+            done = end
+            spans.append((kind, start, end))
     return "".join([*out, text[done:]]), spans
 
 

@@ -66,6 +66,13 @@ def test_texts(spark):
     assert pseudonymise_texts(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_named_secrets():
+    text = 'api_key = "a1b2c3d4e5f6a7b8c9d0" password=9f8e7d6c5b4a secretary: 12345678'
+    new, spans = pseudonymise(text)
+    assert [(k, text[a:b]) for k, a, b in spans] == [("secret", "a1b2c3d4e5f6a7b8c9d0"), ("secret", "9f8e7d6c5b4a")]
+    assert new.startswith('api_key = "') and " password=" in new and "a1b2" not in new and new.endswith("secretary: 12345678")
+
+
 def test_spans_point_into_the_old_text():
     text = "x 10.0.0.1 y a@b.cd z"
     _, spans = pseudonymise(text)
