@@ -15,7 +15,7 @@ def _text(value: str) -> str:
 
 def _with(names: str, select: str) -> str:
     """The named common table expressions, in order, before a select."""
-    parts = [f"{name} as ({_CTES[name]})" for name in names.split()]
+    parts = [f"{name} as materialized ({_CTES[name]})" for name in names.split()]
     return "with recursive " + ",\n".join(parts) + "\n" + select
 
 
@@ -234,8 +234,8 @@ _CTES["entity_tags"] = r"""
     join entity_terms on concat(lower(token), ' ', lower(next_token)) = term
     where next_stop - length(next_token) = stop + 1 and substr(body, cast(stop + 1 as bigint), 1) = ' '
     union all
-    select doc_id, at, at + 5, 'MARKED'
-    from (select doc_id, sum(length(gap) + 5) over (partition by doc_id order by pos) - 5 as at,
+    select doc_id, begun, begun + 5, 'MARKED'
+    from (select doc_id, sum(length(gap) + 5) over (partition by doc_id order by pos) - 5 as begun,
                  pos, parts
           from (select doc_id, unnest(gaps) as gap, generate_subscripts(gaps, 1) as pos,
                        len(gaps) as parts
@@ -637,7 +637,7 @@ def build() -> dict[str, str]:
     )
     turn_lower = _TURN_TOKENS.replace("unnest(", "lower(unnest(").replace(" as term", ") as term")
     sql["word2vec_vocabulary"] = (
-        f"select term, 100 as dim from (select term, count(*) as n from ({turn_lower}) group by term) where n >= 5"
+        f"select term, cast(100 as bigint) as dim from (select term, count(*) as n from ({turn_lower}) group by term) where n >= 5"
     )
     sql["join_vectors_weights"] = _with(
         _WEIGHTS + " ranked_terms wv",
