@@ -4,17 +4,12 @@ Texts are sequences of words (ASCII letters in lower case, ASCII punctuation as
 document holds an item when some window of as many words as the item (the whole document,
 if it is shorter) is within `EDITS` times the item's length of it in edit distance.
 
-Candidates come from locality-sensitive hashing. A window is embedded by a random walk:
-at each step the current word is written out, and a coin that depends on step and word
-says whether to move on. Close word sequences stay in step most of the time, so their
-embeddings are close in Hamming distance. A few positions of the embedding are sampled and
-hashed together; that is repeated with other coins and positions until the target recall
-is met. Every candidate is verified by the exact edit distance.
-
-Window lengths are few (LADDER): an item uses the longest length that leaves room for all
-starts of a stride, so documents are probed every `length // 4` words only, while items
-are stored at every shift. A window with more words outside the benchmark vocabulary than
-the allowed edits is skipped, which loses nothing.
+Candidates are exact. An item that may have k edits is cut into k + 1 runs of words, as
+equal in length as they get. Edits are k at most, so one run at least is whole in every
+matching window, and not further than k words from its place. Every run of a document that
+is a run of an item gives a candidate. A candidate whose surroundings hold too few words of
+the item is left out, which loses nothing; the others are verified by the exact edit
+distance. So all matches are found, wherever the edits fall.
 
 The benchmark is the small side: it is read in blocks of bounded size, each broadcast on
 its own, and documents stay where they are. Null or empty texts and items match nothing;
@@ -33,9 +28,8 @@ from pyspark.sql import functions as F
 from lexiflow.llm.words import mix, pieces, seeds, words
 
 EDITS = 0.2
-WALKS, SAMPLES, SAMPLED = 6, 6, 4  # 36 repetitions: recall of at least 0.98 at the largest distance
 BLOCK_BYTES = 8 << 20  # of item texts broadcast at a time
-LADDER = [1, 2, 3, 4, 6, 8] + [int(8 * 1.5**k) for k in range(1, 24)]
+LIKELY_BITS = 20  # of a key in the table of those that occur
 # Fixed: capital letters go to small ones, punctuation and control characters to a space.
 FOLD = bytes(
     c + 32 if 65 <= c <= 90 else 32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c for c in range(256)
@@ -46,12 +40,6 @@ def fold(text: bytes | None) -> bytes:
     return (text or b"").translate(FOLD)
 
 
-def window_length(n: int) -> tuple[int, int]:
-    """Longest (length, stride) of the ladder for items of n words."""
-    fit = [c for c in LADDER if c + max(1, c // 4) - 1 <= n]
-    return fit[-1], max(1, fit[-1] // 4)
-
-
 def edit_distance(a: list[int], b: list[int]) -> int:
     """Levenshtein distance, one bit per word of a."""
     if not a:
@@ -71,38 +59,31 @@ def edit_distance(a: list[int], b: list[int]) -> int:
     return distance
 
 
-def best_window(item: list[int], doc: list[int], start: int, most: int) -> tuple[int, int] | None:
-    """(distance, start) of the closest window that begins within `most` words of start."""
-    n, last = len(item), max(0, len(doc) - len(item))
-    start = min(max(start, 0), last)
-    here = edit_distance(item, doc[start : start + n])
-    if here > 3 * most:  # moving a window by one word changes the distance by two at most
-        return None
-    near = range(max(0, start - most), min(last, start + most) + 1)
-    found = min((here if s == start else edit_distance(item, doc[s : s + n]), s) for s in near)
+def best_window(item: list[int], doc: list[int], starts: list[int], most: int) -> tuple[int, int] | None:
+    """(distance, start) of the closest window that begins within `most` words of one of the starts."""
+    n, last, known = len(item), max(0, len(doc) - len(item)), {}
+
+    def distance(start: int) -> int:
+        if start not in known:
+            known[start] = edit_distance(item, doc[start : start + n])
+        return known[start]
+
+    for start in {min(max(start, 0), last) for start in starts}:
+        if distance(start) <= 3 * most:  # moving a window by one word changes the distance by two at most
+            for near in range(max(0, start - most), min(last, start + most) + 1):
+                distance(near)
+    found = min((d, start) for start, d in known.items())
     return found if found[0] <= most else None
 
 
-def _keys(hashes: np.ndarray, starts: np.ndarray, length: int) -> Iterator[np.ndarray]:
-    """Keys of the windows hashes[start:start + length], once per repetition."""
-    padded = np.concatenate([hashes, np.zeros(length + 1, np.uint64)])
-    draw = np.random.Generator(np.random.PCG64(length))
-    for walk in range(WALKS):
-        picks = [np.sort(draw.choice(2 * length, min(SAMPLED, 2 * length), replace=False)) for _ in range(SAMPLES)]
-        needed = {int(j) for p in picks for j in p}
-        at, end, seen = starts.copy(), starts + length, {}
-        for step in range(max(needed) + 1):
-            if step % 64 == 0:
-                coins = mix(padded ^ seeds(1, 1_000_000 * (walk + 1) + step)[0])
-            inside = at < end
-            if step in needed:
-                seen[step] = np.where(inside, padded[at], np.uint64(0))
-            at = at + ((coins[at] >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64) * inside
-        for number, pick in enumerate(picks):
-            key = np.full(len(starts), length * 1000 + walk * SAMPLES + number, np.uint64)
-            for step in pick:
-                key = mix(key ^ seen[int(step)]) + np.uint64(1)
-            yield key
+def _run_keys(hashes: np.ndarray, lengths: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length, the keys of all runs of so many words, by their first word."""
+    longest = max(lengths)
+    factors, sums = seeds(longest, 31), np.zeros(len(hashes), np.uint64)
+    for length in range(1, min(longest, len(hashes)) + 1):
+        sums = sums[: len(hashes) - length + 1] + hashes[length - 1 :] * factors[length - 1]
+        if length in lengths:
+            yield length, mix(sums)
 
 
 class Index:
@@ -121,27 +102,22 @@ class Index:
         self.member = np.zeros((len(self.items), len(self.vocabulary) + 1), bool)
         for number, (_, hashes, _) in enumerate(self.items):
             self.member[number, np.searchsorted(self.vocabulary, np.array(hashes, np.uint64))] = True
-        groups: dict[tuple[int, int], list[int]] = {}
-        for number, (_, hashes, _) in enumerate(self.items):
-            groups.setdefault(window_length(len(hashes)), []).append(number)
-        for (length, stride), numbers in groups.items():
-            owner, shift, tables = [], [], [[] for _ in range(WALKS * SAMPLES)]
-            for number in numbers:
-                hashes = np.array(self.items[number][1], np.uint64)
-                shifts = np.arange(stride)
-                owner.append(np.full(stride, number))
-                shift.append(shifts)
-                for table, key in zip(tables, _keys(hashes, shifts, length)):
-                    table.append(key)
-            sorted_tables = []
-            for table in tables:
-                keys = np.concatenate(table)
-                order = np.argsort(keys, kind="stable")
-                likely = np.zeros(1 << 16, bool)
-                likely[keys >> np.uint64(48)] = True
-                sorted_tables.append((keys[order], order, likely))
-            most = max(self.items[number][2] for number in numbers)
-            self.classes[length, stride] = (np.concatenate(owner), np.concatenate(shift), sorted_tables, most)
+        runs: dict[int, list[tuple[int, int, np.uint64]]] = {}
+        for number, (_, hashes, most) in enumerate(self.items):
+            n = len(hashes)
+            places: dict[int, list[int]] = {}
+            for k in range(most + 1):
+                begin, end = n * k // (most + 1), n * (k + 1) // (most + 1)
+                places.setdefault(end - begin, []).append(begin)
+            for length, keys in _run_keys(np.array(hashes, np.uint64), set(places)):
+                runs.setdefault(length, []).extend((number, begin, keys[begin]) for begin in places[length])
+        self.runs = {}
+        for length, found in runs.items():
+            owner, place, keys = (np.array(x) for x in zip(*found))
+            order = np.argsort(keys, kind="stable")
+            likely = np.zeros(1 << LIKELY_BITS, bool)
+            likely[keys >> np.uint64(64 - LIKELY_BITS)] = True
+            self.runs[length] = (keys[order], owner[order], place[order], likely)
 
     def search(self, texts: list[bytes | None]) -> Iterator[list[tuple[int | None, int, int, int]]]:
         """For each text, its (item_id, distance, first word, words) hits."""
@@ -152,58 +128,35 @@ class Index:
             for i in range(len(piece)):
                 best: dict[int, tuple[int, int]] = {}
                 doc = hashes[bounds[i] : bounds[i + 1]].tolist() if i in candidates else []
-                for number, start in sorted(candidates.get(i, ())):
+                for number, starts in candidates.get(i, {}).items():
                     _, item, most = self.items[number]
-                    found = best_window(item, doc, start, most)
-                    if found and found < best.get(number, (len(item) + 1, 0)):
+                    if found := best_window(item, doc, starts, most):
                         best[number] = found
                 yield [(self.items[k][0], d, s, len(self.items[k][1])) for k, (d, s) in sorted(best.items())]
 
-    def _candidates(self, bounds: np.ndarray, hashes: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """(item, first word) to verify for each text."""
+    def _candidates(self, bounds: np.ndarray, hashes: np.ndarray) -> dict[int, dict[int, list[int]]]:
+        """First words to verify for each text and item."""
         slot = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         slot = np.where(self.vocabulary[slot] == hashes, slot, len(self.vocabulary))
-        known = np.concatenate([[0], np.cumsum(slot < len(self.vocabulary))])
-        found: dict[int, set[tuple[int, int]]] = {}
-        sizes = np.diff(bounds)
-        for (length, stride), (owner, shift, tables, most) in self.classes.items():
-            per_text = -(-sizes // stride)
-            text = np.repeat(np.arange(len(sizes)), per_text)
-            first = np.repeat(np.cumsum(per_text) - per_text, per_text)
-            start = bounds[text] + (np.arange(len(text)) - first) * stride
-            end = np.minimum(start + length, bounds[text + 1])
-            fit = known[end] - known[start] >= length - most
-            text, start = text[fit], start[fit]
-            if not len(start):
-                continue
-            # Windows cut by the end of their text read on into the next one; verification decides.
-            pairs = []
-            for key, (keys, order, likely) in zip(_keys(hashes, start, length), tables):
-                met = np.flatnonzero(likely[key >> np.uint64(48)])
-                low = np.searchsorted(keys, key[met])
-                same = keys[np.minimum(low, len(keys) - 1)] == key[met]
-                met, low = met[same], low[same]
-                many = np.searchsorted(keys, key[met], side="right") - low
-                window = np.repeat(met, many)
-                place = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
-                pairs.append(window * len(owner) + order[np.repeat(low, many) + place])
-            window, entry = np.divmod(np.unique(np.concatenate(pairs)), len(owner))
-            at = text[window]
-            begin = start[window] - bounds[at] - shift[entry]
-            for t, number, b in self._possible(bounds, slot, at, owner[entry], begin):
-                found.setdefault(t, set()).add((number, b))
-        return found
-
-    def _possible(self, bounds, slot, text, number, begin) -> list[tuple[int, int, int]]:
-        """Candidates whose window, with room to move, holds enough words of the item."""
-        _, once = np.unique(np.stack([text, number, begin]), axis=1, return_index=True)
-        out = []
-        for t, item, b in zip(text[once], number[once], begin[once]):
+        found = [np.zeros((3, 0), np.int64)]
+        for length, key in _run_keys(hashes, set(self.runs)):
+            keys, owner, place, likely = self.runs[length]
+            met = np.flatnonzero(likely[key >> np.uint64(64 - LIKELY_BITS)])
+            low = np.searchsorted(keys, key[met])
+            text = np.searchsorted(bounds, met, side="right") - 1
+            same = (keys[np.minimum(low, len(keys) - 1)] == key[met]) & (met + length <= bounds[text + 1])
+            met, low, text = met[same], low[same], text[same]
+            many = np.searchsorted(keys, key[met], side="right") - low
+            entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            begin = np.repeat(met - bounds[text], many) - place[entry]
+            found.append(np.stack([np.repeat(text, many), owner[entry], begin]))
+        out: dict[int, dict[int, list[int]]] = {}
+        for t, item, b in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
             n, most = self.lengths[item], self.items[item][2]
             a = max(bounds[t], bounds[t] + b - most)
             near = slot[a : min(bounds[t + 1], bounds[t] + b + n + most)]
             if self.member[item, near].sum() >= min(n, bounds[t + 1] - bounds[t]) - most:
-                out.append((int(t), int(item), int(b)))
+                out.setdefault(t, {}).setdefault(item, []).append(b)
         return out
 
 

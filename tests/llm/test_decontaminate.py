@@ -101,3 +101,30 @@ def test_target_recall_at_the_largest_distance():
                 index = Index([(1, " ".join(item).encode())])
                 found += bool(next(index.search([" ".join(text).encode()])))
     assert tried > 60 and found >= 0.95 * tried
+
+
+def test_clumped_edits_are_always_found():
+    draw = random.Random(5)
+    for n in (5, 10, 16, 31, 48, 72, 100):
+        most = n // 5
+        for trial in range(100):
+            item = [f"v{draw.randrange(2000)}" for _ in range(n)]
+            at, passage = draw.randint(0, n - most), list(item)
+            passage[at : at + most] = [f"new{draw.randrange(999)}" for _ in range(most)]
+            before = [f"start{draw.randrange(2000)}" for _ in range(draw.randint(0, 50))]
+            index = Index([(1, " ".join(item).encode())])
+            hits = next(index.search([" ".join([*before, *passage, *["end"] * 50]).encode()]))
+            assert [h[0] for h in hits] == [1] and hits[0][1] <= most, (n, trial, at)
+
+
+def test_all_pairs_within_a_fifth_are_found():
+    draw = random.Random(6)
+    items = [(i, " ".join(f"v{draw.randrange(9)}" for _ in range(draw.randint(1, 16)))) for i in range(12)]
+    docs = []
+    for i in range(30):
+        item = draw.choice(items)[1].split()
+        text = [f"v{draw.randrange(9)}" for _ in range(draw.randint(0, 9))] + edited(draw, item, len(item) // 5)
+        docs.append((i, " ".join(text + [f"v{draw.randrange(9)}" for _ in range(draw.randint(0, 9))])))
+    index = Index([(i, text.encode()) for i, text in items])
+    found = index.search([text.encode() for _, text in docs])
+    assert {(i, *hit) for (i, _), hits in zip(docs, found) for hit in hits} == brute_force(docs, items)
