@@ -7,7 +7,9 @@ permuted again until it falls inside (cycle walking), which keeps it a permutati
 
 Kinds: payment cards (Luhn), IBANs (mod 97), telephone numbers, dates, IPv4 addresses,
 mail addresses (the local part), access keys, and values named as a password, token or key. Separators, letter case and field widths
-stay. A number that does not validate as any kind stays as it is.
+stay. A number that does not validate as any kind stays as it is: of a card or IBAN that runs
+on into further groups the longest valid start counts, and the search goes on within what did
+not validate, but takes no part of it for a telephone number unless it is several numbers.
 
 Null texts stay null with 0 replacements.
 """
@@ -28,6 +30,9 @@ ADDED = "n_replaced long, replaced array<struct<kind: string, start: int, end: i
 KEY = b"lexiflow: replace by a secret of your own"
 ROUNDS = 8
 # Fixed formats.
+PHONE = re.compile(
+    r"(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|-\d)", re.VERBOSE | re.ASCII
+)
 VALUE = re.compile(
     r"""(?P<mail>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)
     |(?P<key>\b(?:AKIA|ASIA)[A-Z0-9]{16}\b)
@@ -36,10 +41,15 @@ VALUE = re.compile(
     |(?P<date>(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w-]|\.\d))
     |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
     |(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|-\d))
-    |(?P<phone>(?<![\w])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|-\d))""",
+    |(?P<phone>"""
+    + PHONE.pattern
+    + ")",
     re.VERBOSE | re.ASCII,
 )
-LIKELY = re.compile(r"[0-9@]")
+# Every value holds one of these.
+LIKELY = re.compile(r"[0-9@:=]|AKIA|ASIA")
+# Digits grouped like those of a card are one number, valid or not.
+CARD_GROUPS = re.compile(r"(?<!\d)\d{4}([ -])(?:\d{4}\1\d{4}\1\d{1,4}|\d{6}\1\d{4,5})(?!\d)", re.ASCII)
 
 
 def permute(value: int, size: int, key: bytes, kind: str, valid: Callable[[int], bool] = lambda _: True) -> int:
@@ -181,18 +191,41 @@ def secret(text: str, key: bytes) -> str:
 REPLACE = {"mail": mail, "key": access_key, "secret": secret, "iban": iban, "date": date, "ip": ip, "card": card, "phone": phone}
 
 
+def _valid_start(kind: str, found: str, key: bytes) -> tuple[str, int] | None:
+    """The replacement of the longest valid start of a card or IBAN, up to a space, and its length."""
+    for space in reversed([i for i, c in enumerate(found) if c == " "] if kind in ("card", "iban") else []):
+        start = found[:space]
+        if kind == "card" and sum(c.isdigit() for c in start) < 13:
+            return None
+        if (new := REPLACE[kind](start, key)) is not None:
+            return new, space
+    return None
+
+
 def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with every validated value replaced, and (kind, start, end) of each in the old text."""
     if not LIKELY.search(text):
         return text, []
     out, spans, done = [], [], 0
-    for match in VALUE.finditer(text):
+    at = one_number = 0  # where the search goes on; the end of the last number that did not validate
+    while match := VALUE.search(text, at):
         kind = match.lastgroup
+        start, end = match.span(kind)
+        at = match.start() + 1
+        if kind == "phone" and start < one_number:
+            continue
         new = REPLACE[kind](match.group(kind), key)
+        if new is None:
+            if shorter := _valid_start(kind, match.group(kind), key):
+                new, end = shorter[0], start + shorter[1]
+            elif kind != "card" or CARD_GROUPS.search(match.group(kind)):
+                one_number = max(one_number, end)
+            elif start >= one_number and (number := PHONE.match(text, start)):
+                kind, end = "phone", number.end()
+                new = phone(number.group(), key)
         if new is not None:
-            start, end = match.span(kind)
             out += [text[done:start], new]
-            done = end
+            at = done = end
             spans.append((kind, start, end))
     return "".join([*out, text[done:]]), spans
 
