@@ -4,9 +4,9 @@ Every element's subtree (tag, class, id, text and children) has a hash. Spark co
 host, on how many different pages a subtree occurs; pages with the same main content count
 once. Subtrees on MIN_PAGES of them or more are the site's template and are deleted, as are
 elements whose tag, role, class or id marks them as menu, header, footer, sidebar, notice,
-advert, form, script, style or reader comments. What lies inside an article (or, without
-one, the main element) is never taken for template: its repeated passages are text. The
-text of a page is that of its articles, else of its main element, else of its body.
+advert, form, script, style or reader comments. Inside an article (or, without one, the main
+element) only containers (CONTAINERS) are taken for template: headings, paragraphs and other
+passages of its own are text, however often they recur. The text of a page is that of its articles, else of its main element, else of its body.
 
 Blocks are separated by one line feed; white space inside a block is one space. Character
 references are decoded. Tags may be left open, misnested or broken; a comment or script
@@ -39,6 +39,7 @@ BLOCK = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+CONTAINERS = frozenset("details div dl fieldset figure ol section table ul".split())
 FURNITURE = frozenset(
     "head nav footer aside form script style noscript template iframe button select textarea title menu dialog svg canvas "
     "object audio video datalist noembed noframes".split()
@@ -180,7 +181,7 @@ def text_of(parts: list[Element], inside: bool, template: np.ndarray) -> str:
             words.append(node)
         elif node.tag == "br":
             words.append(" ")
-        elif is_furniture(node, inside) or not inside and len(template) and _among(template, node.digest):
+        elif is_furniture(node, inside) or len(template) and _may_recur(node, inside) and _among(template, node.digest):
             words.append(" ")
         else:
             block = node.tag in BLOCK or node.tag == "#page"
@@ -192,6 +193,11 @@ def text_of(parts: list[Element], inside: bool, template: np.ndarray) -> str:
     return "\n".join(blocks)
 
 
+def _may_recur(element: Element, inside: bool) -> bool:
+    """Whether an element that recurs is template: any one outside the main part, a container inside it."""
+    return not inside or element.tag in CONTAINERS
+
+
 def _among(template: np.ndarray, digest: int) -> bool:
     at = int(np.searchsorted(template, digest))
     return at < len(template) and int(template[at]) == digest
@@ -200,15 +206,13 @@ def _among(template: np.ndarray, digest: int) -> bool:
 def main_text(page: str, template: np.ndarray) -> str:
     root = parse(page)
     parts = _main_parts(root)
-    if parts:
-        return text_of(parts, True, template)
-    if len(template):
-        _hash(root)
-    return text_of([root], False, template)
+    for part in (parts or [root]) if len(template) else []:
+        _hash(part)
+    return text_of(parts or [root], bool(parts), template)
 
 
 def subtrees(page: str) -> tuple[int, set[int]]:
-    """Digest of the main content (of all text, without an article), and those of the subtrees outside."""
+    """Digest of the main content (of all text, without an article), and those of the subtrees that may be template."""
     root = parse(page)
     _hash(root)
     parts = _main_parts(root)
@@ -223,6 +227,13 @@ def subtrees(page: str) -> tuple[int, set[int]]:
                 todo.append(child)
                 if child.tag not in ("html", "body", "head") and not (parts and _holds(child, own)):
                     found.add(child.digest)
+    todo = list(parts)
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, Element):
+                todo.append(child)
+                if _may_recur(child, True):
+                    found.add(child.digest)
     content = " ".join(str(p.digest) for p in parts) or " ".join(sorted(texts))
     return xxhash.xxh64_intdigest(content) >> 1, found
 

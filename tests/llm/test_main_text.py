@@ -63,3 +63,15 @@ def test_odd_rows(spark):
     got = sorted(map(str, extract(spark.createDataFrame(rows, SCHEMA)).select("page_id", "n_chars", "text").collect()))
     assert len(got) == 5 and got[0] == got[1] == "Row(page_id=1, n_chars=1, text='a')" and "n_chars=200000" in got[3]
     assert extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_templates_inside_the_main_part(spark):
+    box = "<div class='x9'><b>Read on</b><ul><li>First<li>Second</ul></div>"
+    common = f"<h2>Summary</h2><p>Shared words</p>{box}<section><p>Own {{0}}</p></section><table><tr><td>Call us</table>"
+    pages = [f"<article>{common}</article>", f"<main>{common}</main>"]
+    rows = [(i, f"http://{h}.example/{i}", pages[h == "m"].format(i), "t", 0) for h, n in (("a", 20), ("m", 20), ("few", 5)) for i in range(n)]
+    for most in (1_000_000, 0):
+        got = {(r.url, r.text) for r in extract(spark.createDataFrame(rows, SCHEMA), most_broadcast=most).collect()}
+        for host in "am":
+            assert (f"http://{host}.example/3", "Summary\nShared words\nOwn 3") in got
+        assert ("http://few.example/3", "Summary\nShared words\nRead on\nFirst\nSecond\nOwn 3\nCall us") in got
