@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import archive, decontaminate, language, line_dedup, main_text, mixing, near_dedup, pseudonyms, scoring, top_k
 
+SCORE_ORDER = 3
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,7 +28,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score(_table(spark, sf_dir, "documents"), ~language.held_out(10))
+    return scoring.score(_table(spark, sf_dir, "documents"), ~language.held_out(10), order=SCORE_ORDER)
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

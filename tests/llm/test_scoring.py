@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from lexiflow.llm.catalog import op4_scoring
 from lexiflow.llm.language import held_out
 from lexiflow.llm.scoring import BUCKETS, corpus_size, count_grams, learn_weights, score
 
@@ -101,3 +102,12 @@ def test_nothing_to_learn_from(spark):
     assert score(spark.createDataFrame([], SCHEMA), ~held_out(10)).count() == 0
     alone = score(spark.createDataFrame([(1, "a b", "x", 1)], SCHEMA), F.lit(False)).first()
     assert (alone.n_known, alone.train_tokens, alone.base_score, alone.score) == (0, 0, 0.0, pytest.approx(alone.score)) and alone.score < 0
+
+
+def test_the_query_uses_trigrams(spark, tmp_path):
+    docs = spark.createDataFrame(documents(60), SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.score) for r in op4_scoring(spark, str(tmp_path)).collect())
+    wanted = sorted((r.doc_id, r.score) for r in score(docs, ~held_out(10), order=3).collect())
+    assert [i for i, _ in got] == [i for i, _ in wanted]
+    assert [x for _, x in got] == pytest.approx([x for _, x in wanted], rel=1e-9)
