@@ -26,7 +26,7 @@ def fits_broadcast(
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
-    on: str,
+    on: str | list[str],
     how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
