@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm import archive, decontaminate, language, line_dedup, main_text, mixing, near_dedup, pseudonyms, scoring, top_k
+from lexiflow.llm import (
+    archive,
+    decontaminate,
+    divergence,
+    hard_negatives,
+    language,
+    line_dedup,
+    main_text,
+    mixing,
+    near_dedup,
+    packing,
+    pseudonyms,
+    scoring,
+    top_k,
+)
 
 SCORE_ORDER = 3
 
@@ -67,6 +81,24 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components as floor(256 x); labels of ids divisible by 7 are the next one's."""
+    finite = F.forall("embedding", lambda x: F.abs(x) < float("inf")) & F.forall("embedding", lambda x: ~F.isnan(x))
+    vector = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long")).alias("vector")
+    label = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label")
+    rows = _table(spark, sf_dir, "embeddings").filter(finite).select(F.col("vec_id").cast("long").alias("vec_id"), label, vector)
+    anchors = rows.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "anchor_id")
+    return hard_negatives.hard_negatives(anchors, rows)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mixing": op2_mixing,
@@ -78,4 +110,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_top_k": op9_top_k,
     "op10_main_text": op10_main_text,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_divergence": op12_divergence,
+    "op13_packing": op13_packing,
 }

@@ -101,3 +101,58 @@ pairs as (
 select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
 from pairs qualify rank <= 5
 """
+
+SQL["op11_hard_negatives"] = r"""
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+    coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])), 0)::bigint as score
+  from rows a join rows c on a.vec_id % 50 = 0 and len(a.v) = len(c.v)),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from pairs where same and anchor_id <> vec_id
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id,
+  (row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id))::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives p join pairs n on p.anchor_id = n.anchor_id and not n.same
+  and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+SQL["op12_divergence"] = r"""
+with docs as (
+  select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text from documents),
+words as (
+  select id, lang, source, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from docs),
+kept as (select lang, term from words group by all having count(distinct id) >= 10),
+cells as (select lang, source, term, count(*) as n from words join kept using (lang, term) group by all),
+langs as (
+  select lang, count(*) as v, coalesce((select sum(n) from cells c where c.lang = l.lang), 0) as total
+  from kept l group by lang),
+groups as (
+  select g.lang, g.source, coalesce(v, 0) as v, l.total as lang_total,
+    coalesce((select sum(n) from cells c where c.lang = g.lang and c.source = g.source), 0) as total
+  from (select distinct lang, source from docs) g left join langs l on g.lang = l.lang),
+shares as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 
+    (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v))::bigint as p,
+    (1 + (1000000000::hugeint * (sum(coalesce(c.n, 0)) over (partition by g.lang, k.term) + 2)) // (g.lang_total + 2 * g.v))::bigint as q
+  from groups g join kept k on g.lang = k.lang left join cells c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pair_sums as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pair_sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all
+  select lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint from shares where n > 0 and p > q),
+ranked as (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from found)
+select * from ranked where part = 'pair' or rank <= 10
+"""

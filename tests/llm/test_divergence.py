@@ -1,0 +1,101 @@
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from lexiflow.llm import divergence as D
+
+DOCS = "doc_id long, text string, lang string, source string, k int, term string, value double"
+TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def brute_force(docs, min_docs, top):
+    texts = [(lang or "", source or "", TERM.findall((text or "").translate(LOWER))) for _, text, lang, source, *_ in docs]
+    out = []
+    for lang in {t[0] for t in texts}:
+        own = [(source, words) for one, source, words in texts if one == lang]
+        spread = Counter(w for _, words in own for w in set(words))
+        kept = sorted(w for w, n in spread.items() if n >= min_docs)
+        counts = defaultdict(Counter)
+        for source, words in own:
+            counts[source].update(w for w in words if w in set(kept))
+        every = sum(counts.values(), Counter())
+
+        def shares(n, kept=kept):
+            total = sum(n[t] for t in kept) + 2 * len(kept)
+            return {t: 1 + 10**9 * (n[t] + 2) // total for t in kept}
+
+        def gap(p, q):
+            return (p - q) ** 2 // (p + q)
+
+        q = shares(every)
+        p = {s: shares(n) for s, n in counts.items()}
+        for s in counts:
+            pairs = [(o, sum(gap(p[s][t], p[o][t]) for t in kept)) for o in counts if o != s]
+            terms = [(t, gap(p[s][t], q[t])) for t in kept if counts[s][t] and p[s][t] > q[t]]
+            for part, items, most in (("pair", pairs, len(pairs)), ("term", terms, top)):
+                ranked = sorted(items, key=lambda x: (-x[1], x[0].encode()))[:most]
+                out += [(lang, s, part, item, value, n) for n, (item, value) in enumerate(ranked, 1)]
+    return sorted(out)
+
+
+def result(spark, docs, min_docs=2, top=3):
+    found = D.source_divergence(spark.createDataFrame(docs, DOCS), min_docs, top)
+    return sorted(map(tuple, found.collect()))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_agrees_with_all_pairs(spark, seed):
+    draw = random.Random(seed)
+    words = ["Alpha", "beta", "été", "x1y", "日本", "gamma", "a_b", "don't", "ZÉ", "öl", "q"]
+    docs = [
+        (i, " ".join(draw.choices(words, range(1, 12), k=draw.randint(0, 30))), draw.choice("ab"), f"s{draw.choice([1, 1, 2, 3, 4, 10])}", 1, "", 0.0)
+        for i in range(120)
+    ]
+    wanted = brute_force(docs, 10, 3)
+    assert result(spark, docs, 10) == wanted and len({r[2] for r in wanted}) == 2
+
+
+def test_odd_rows(spark):
+    docs = [(None, None, None, None, None, None, None)] * 3 + [(1, "", "a", "", 0, "", 0.0), (1, "same text", "a", "s", 0, "", 0.0)] * 2
+    docs += [(2, "same Text 1 2", "a", "t", 0, "", 0.0), (3, "w " * 200_000, "a", "u", 0, "", 0.0), (4, "w w", "a", None, 0, "", 0.0)]
+    docs += [(5, "lonely", "b", "s", 0, "", 0.0), (6, "Same", "", "s", 0, "", 0.0), (7, "12 34", "b", "t", 0, "", 0.0)]
+    assert result(spark, docs) == brute_force(docs, 2, 3)
+    assert result(spark, []) == []
+    assert result(spark, docs[-1:]) == brute_force(docs[-1:], 2, 3) == []
+
+
+def test_tree_adds_up_shared_beginnings_once():
+    draw = np.random.default_rng(5)
+    rows = []
+    for _ in range(400):
+        k = np.sort(draw.choice(12, draw.integers(1, 9), replace=False))
+        rows.append((tuple(k), tuple(draw.integers(1, 4, len(k)) * 10**8)))
+    p0 = (np.arange(12) + 3) * 10**6
+    wanted = defaultdict(int)
+    for k, p in rows:
+        for a in range(len(k)):
+            for b in range(a):
+                x, y, x0, y0 = p[a], p[b], p0[k[a]], p0[k[b]]
+                g = D.gaps
+                wanted[int(k[b]), int(k[a])] += int(g(x, y) - g(x, y0) - g(x0, y) + g(x0, y0))
+    sums = D.PairSums()
+    tree = D.Tree(sums)
+    work = []
+    times = Counter(rows)
+    for (k, p), n in sorted(times.items(), key=lambda r: list(zip(*r[0]))):
+        k, p = np.array(k), np.array(p, np.int64)
+        before = sums.size
+        tree.insert(k, p, p0[k], n)
+        work.append(sums.size - before)
+        if len(work) % 7 == 0:
+            sums.merge()
+    tree.close()
+    sums.merge()
+    keys = sums.keys[0]
+    assert {(int(a >> 32), int(a & 0xFFFFFFFF)): int(v) for a, v in zip(keys, sums.values[0])} == dict(wanted)
+    # shared beginnings are worked out once: fewer combinations than pairs of all rows
+    assert 0 < sum(work) < sum(len(k) * (len(k) - 1) // 2 for k, _ in rows)
