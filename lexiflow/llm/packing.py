@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +44,10 @@ END = b"\0\0\0\0"
 NODES = 8_000  # fillings the search may try
 WIDTH = 4  # fillings tried at one node
 COMPARED = 6  # fillings of more lengths are not compared for dominance
-KNOWN_PARTS, LONG_PART = 1 << 19, 64
+KNOWN_PARTS, LONG_PART = 1 << 20, 64
 GROUP = 1 << 21  # characters encoded together, or one longer text
 RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")  # letters (and other numbers), the rest
+CLOSING = ".,;:!?)%"
 MARKS = re.compile(r"[0-9]|[^0-9 ]+")
 
 Filling = tuple[int, ...]  # lengths, falling
@@ -266,6 +268,17 @@ class Encoder:
         cut: dict[str, list[str]] = {}
         parts: dict[str, int] = {}
         for word in unknown:
+            if word.isalpha():
+                parts[word] = 1
+                continue
+            head, tail = word[:-1], word[-1]
+            if tail in CLOSING and head.isalpha():
+                cut[word] = [head, tail]
+                if head not in known:
+                    parts[head] = 1
+                if tail not in known:
+                    parts[tail] = 1
+                continue
             found = RUNS.findall(word) if "'" not in word and "<|" not in word else []
             counts = list(map(word_count, found))
             if all(counts) and found:
@@ -285,6 +298,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One for all tasks of a worker process."""
+    return Encoder(path)
+
+
 def groups(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of about GROUP characters, with the place of the first."""
     first, held, size = 0, [], 0
@@ -302,7 +321,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str) -> DataFrame:
     schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *_parse_datatype_string(columns).fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = encoder_of(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         step = 4 * capacity
         for batch in batches:
