@@ -27,7 +27,6 @@ VOCABULARY_SIZE = 10_000
 LSI_TERMS = 10_000
 LSI_DIM = 100
 FULL_LSI_TERMS = 64  # all singular values of so many terms
-VECTOR_DIM = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -621,7 +621,7 @@ def build() -> dict[str, str]:
     sql["top_vocabulary"] = _with(
         "corpus words bag freqs dictionary",
         "select term, df, row_number() over (order by df desc, term) - 1 as term_id from freqs "
-        "where term not in (select term from dictionary) order by df desc, term limit 1000",
+        "where term not in (select term from dictionary) order by df desc, term limit 10000",
     )
     sql["term_vectors"] = _with(
         _WEIGHTS + " ranked_terms",
@@ -645,6 +645,26 @@ def build() -> dict[str, str]:
     sql["word2vec_vocabulary"] = (
         f"select term, cast(100 as bigint) as dim from (select term, count(*) as n from ({turn_lower}) group by term) where n >= 5"
     )
+    sentence = (
+        "select row_number() over () as id, s from (select unnest("
+        + _all("text", P.SENTENCE) + ") as s from conversations)"
+    )
+    sentence_tokens = f"""select id, unnest(list_transform({_tokens("s")}, lambda t: lower(t))) as term,
+        generate_subscripts({_tokens("s")}, 1) as pos from sentences"""
+    near = f"""with sentences as ({sentence}), placed as ({sentence_tokens}),
+        frequent as (select term from placed group by term having count(*) >= 5),
+        kept as (select * from placed semi join frequent using (term)),
+        near as (select a.term, b.term as context, count(*) as n from kept a join kept b
+                 on a.id = b.id and a.pos <> b.pos and abs(a.pos - b.pos) <= 5 group by all)"""
+    sql["window_counts"] = f"{near} select * from near"
+    sql["pmi_weights"] = f"""{near}, sums as (select term, sum(n)::double as own from near group by term)
+        select * from (select n.term, context, round(ln(n.n * (select sum(n)::double from near) / (a.own * b.own)) - ln(2), 6) + 0 as weight
+        from near n join sums a on n.term = a.term join sums b on context = b.term) where weight > 0"""
+    sql["pmi_vectors"] = _with(
+        "corpus",
+        "select term, cast(100 as bigint) as dim from (select term, count(*) as n from (select unnest(list_transform("
+        f"{_tokens('s')}, lambda t: lower(t))) as term from (select unnest({_all('body', P.SENTENCE)}) as s from corpus)) group by term) where n >= 5",
+    )
     sql["join_vectors_weights"] = _with(
         _WEIGHTS + " ranked_terms wv",
         "select doc_id, round(weight, 6) as weight, "

@@ -24,6 +24,7 @@ from lexiflow.operators import (
     tokens,
     vectors,
     weights,
+    word_vectors,
 )
 from lexiflow.plans import classify_journals, text_mining
 from lexiflow.session import fresh_path, spread, stage
@@ -412,7 +413,7 @@ def sample_rows(spark, sf_dir):
 @query
 def top_vocabulary(spark, sf_dir):
     freqs = stage(weights.doc_freq(I.term_bag(spark, sf_dir)), "doc-freq")
-    return vectors.top_vocabulary(freqs, 1000, I.dictionary(spark, sf_dir))
+    return vectors.top_vocabulary(freqs, I.VOCABULARY_SIZE, I.dictionary(spark, sf_dir))
 
 
 def _lsi_parts(spark: SparkSession, sf_dir: str, size: int):
@@ -450,6 +451,32 @@ def word2vec_vocabulary(spark, sf_dir):
     return found.select("term", F.size("vec").cast("bigint").alias("dim"))
 
 
+def _turn_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(tokens.tokenize_sentences(I.turns(spark, sf_dir), "lower").select("terms"), "sentences")
+
+
+@query
+def window_counts(spark, sf_dir):
+    """How often two words stand within five places of each other."""
+    sentences = _turn_sentences(spark, sf_dir)
+    return word_vectors.window_counts(sentences, stage(word_vectors.word_counts(sentences), "words"))
+
+
+@query
+def pmi_weights(spark, sf_dir):
+    sentences = _turn_sentences(spark, sf_dir)
+    counts = word_vectors.window_counts(sentences, stage(word_vectors.word_counts(sentences), "words"))
+    weighted = word_vectors.shifted_pmi(stage(counts, "window-counts"), shift=2.0)
+    return weighted.select("term", "context", _rounded("weight"))
+
+
+@query
+def pmi_vectors(spark, sf_dir):
+    """The words of the corpus that have a vector, and its length."""
+    sentences = stage(tokens.tokenize_sentences(I.wide(spark, sf_dir), "lower").select("terms"), "sentences")
+    return word_vectors.train(sentences).vectors.select("term", F.size("vec").cast("bigint").alias("dim"))
+
+
 @query
 def join_vectors_weights(spark, sf_dir):
     weighted, freqs = I.term_weights(spark, sf_dir)
@@ -462,7 +489,7 @@ def join_vectors_weights(spark, sf_dir):
 def doc_vectors_weighted(spark, sf_dir):
     weighted, freqs = I.term_weights(spark, sf_dir)
     joined = vectors.join_vectors_weights(I.word_vectors(spark, sf_dir, freqs), weighted)
-    means = vectors.doc_vectors_weighted(joined, I.VECTOR_DIM)
+    means = vectors.doc_vectors_weighted(joined)
     return _coordinates(means, "embedding", "doc_id")
 
 
@@ -472,7 +499,7 @@ def _pairs_and_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
 
 def _mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.doc_vectors_mean(*_pairs_and_vectors(spark, sf_dir), I.VECTOR_DIM)
+    return vectors.doc_vectors_mean(*_pairs_and_vectors(spark, sf_dir))
 
 
 @query
@@ -483,7 +510,7 @@ def doc_vectors_mean(spark, sf_dir):
 @query
 def mean_from_sums(spark, sf_dir):
     """The same means by way of the older stored form, count first."""
-    sums = vectors.counted_sums(*_pairs_and_vectors(spark, sf_dir), I.VECTOR_DIM)
+    sums = vectors.counted_sums(*_pairs_and_vectors(spark, sf_dir))
     means = sums.select("doc_id", vectors.divide_by_count(F.col("embedding")).alias("embedding"))
     return _coordinates(means, "embedding", "doc_id")
 
@@ -650,7 +677,7 @@ def predict_labels(spark, sf_dir):
         array_to_vector("embedding").alias("features"),
     )
     train, test = labels.split_by_hash(points)
-    return classify.train_and_predict(train, test, maxIter=20).predictions
+    return classify.train_and_predict(train, test).predictions
 
 
 @query
@@ -756,7 +783,6 @@ def classify_by_word_vectors(spark, sf_dir):
         I.corpus(spark, sf_dir),
         issns,
         settings=MiningSettings(normalizer="lower"),
-        maxIter=10,
     )
     return bundle.predictions
 
@@ -771,6 +797,5 @@ def classify_by_lsi(spark, sf_dir):
         journals,
         index,
         MiningSettings(normalizer="lower", vocabulary_size=I.LSI_TERMS, lsi_dim=I.LSI_DIM),
-        maxIter=10,
     )
     return bundle.predictions

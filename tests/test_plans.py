@@ -107,14 +107,15 @@ def test_masked_terms_job(spark, docs, tmp_path):
     assert (tmp_path / "replacement" / "_SUCCESS").exists()
 
 
-def test_word_vector_classifier(spark, docs, issns, tmp_path):
+@pytest.mark.parametrize("method", ["pmi", "skip_gram"])
+def test_word_vector_classifier(spark, docs, issns, tmp_path, method):
     for _ in range(2):  # a second run replaces the results of the first
         bundle = classify_journals.embed_and_classify(
-            spark, str(tmp_path), docs, issns, dim=8, partitions=1, maxIter=20
+            spark, str(tmp_path), docs, issns, dim=8, method=method, maxIter=20
         )
     assert bundle.train.count() + bundle.test.count() == 90
     assert bundle.predictions.where("label = prediction").count() == bundle.test.count()
-    base = Path(text_mining.mine_text(spark, str(tmp_path), docs).base)
+    base = Path(text_mining.mine_text(spark, str(tmp_path), docs).base) / ("" if method == "pmi" else method)
     for name in ("w2v_8", "doc-embedding-8", "model-data-8", "logistic-regression-8/model"):
         assert (base / name).exists()
 
