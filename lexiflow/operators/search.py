@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import patterns as P
 from lexiflow.functions import text as X
 from lexiflow.operators.entities import token_spans
 from lexiflow.operators.joins import lookup_join
+from lexiflow.operators.ranks import number_rows
 from lexiflow.session import stage
 from lexiflow.sources.tables import ARTICLE_FIELDS
 
@@ -20,6 +21,8 @@ TEXT_FIELDS = ("title", "journal", "abstract")
 SCORE_DIGITS = 6
 # More asked terms than this are joined instead of listed in the filter of the scan.
 TERMS_IN_FILTER = 2_000
+# Documents of one range: their set is the bits of a long.
+RANGE_DOCS = 64
 
 
 def scan_index_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -97,10 +100,15 @@ class SearchIndex:
     postings: DataFrame
     doc_freqs: DataFrame  # field, term, df
     stats: DataFrame  # field, docs, total_len
+    ranges: DataFrame  # field, term, range, max_freq, min_len, docs (bits)
 
 
 def save_index(documents: DataFrame, path: str) -> SearchIndex:
-    """Store documents, postings, document frequencies and field statistics.
+    """Store documents, postings, impacts by range, document frequencies and field statistics.
+
+    Documents are numbered by id and cut into ranges. For every term and range the largest
+    frequency and the shortest length bound the score of any document there, whatever the
+    constants of a query; a long has a bit for each document that holds the term.
 
     Documents lie in ranges of their id, postings in ranges of field, term and id: a lookup
     opens the few files whose statistics hold the key, and the postings of a frequent
@@ -109,18 +117,25 @@ def save_index(documents: DataFrame, path: str) -> SearchIndex:
     spark = documents.sparkSession
     documents.repartitionByRange("id_key").sortWithinPartitions("id_key").write.parquet(f"{path}/documents")
     stored = spark.read.schema(documents.schema).parquet(f"{path}/documents")
-    postings = build_postings(stored)
+    numbers = stage(number_rows(stored.select("doc_id").distinct(), "_n", "doc_id"), "doc-numbers")
+    places = numbers.select("doc_id", F.floor(F.col("_n") / RANGE_DOCS).alias("range"), (F.col("_n") % RANGE_DOCS).cast("int").alias("place"))
+    postings = lookup_join(build_postings(stored), places, "doc_id")
     ordered = postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
     ordered.write.partitionBy("field").parquet(f"{path}/postings")
     saved = spark.read.parquet(f"{path}/postings")
     freqs = saved.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     freqs.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/doc-freqs")
     field_stats(saved).coalesce(1).write.parquet(f"{path}/stats")
+    impacts = saved.groupBy("field", "term", "range").agg(
+        F.max("freq").alias("max_freq"), F.min("doc_len").alias("min_len"), F.expr("bit_or(shiftleft(1L, place))").alias("docs")
+    )
+    impacts = impacts.repartitionByRange("field", "term", "range").sortWithinPartitions("field", "term", "range")
+    impacts.write.partitionBy("field").parquet(f"{path}/ranges")
     return load_index(spark, path)
 
 
 def load_index(spark: SparkSession, path: str) -> SearchIndex:
-    tables = (spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "doc-freqs", "stats"))
+    tables = (spark.read.parquet(f"{path}/{name}") for name in ("documents", "postings", "doc-freqs", "stats", "ranges"))
     return SearchIndex(*tables)
 
 
@@ -161,34 +176,102 @@ def _asked(index_table: DataFrame, wanted: DataFrame, field: str) -> DataFrame:
     return listed
 
 
+def _tf(freq: str, length: str, mean_len: float, k1: float, b: float) -> Column:
+    """Grows with the frequency, falls with the length."""
+    length_part = 1 - b + b * F.col(length) / mean_len
+    return F.col(freq) * (k1 + 1) / (F.col(freq) + k1 * length_part)
+
+
+def _rated(index: SearchIndex, wanted: DataFrame, field: str, docs: int) -> DataFrame:
+    """(query_id, term, boost) of the asked terms that the field holds."""
+    freqs = _asked(index.doc_freqs, wanted, field)
+    idf = F.log(1 + (float(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rated = wanted.join(freqs.select("term", "df"), "term")
+    return stage(rated.select("query_id", "term", (F.col("qtf") * idf).alias("boost")), "rated")
+
+
 def score(
     index: SearchIndex, queries: DataFrame, field: str, k1: float = P.BM25_K1, b: float = P.BM25_B
 ) -> DataFrame:
     """(query_id, doc_id, score) of every document with at least one query term: BM25."""
     stats = index.stats.where(F.col("field") == field).first()
     if stats is None:
-        return queries.select("query_id", F.lit("").alias("doc_id"), F.lit(0.0).alias("score")).where(F.lit(False))
-    docs, mean_len = float(stats.docs), stats.total_len / stats.docs
+        return _no_scores(queries)
     wanted = stage(query_terms(queries), "query-terms")
-    freqs = _asked(index.doc_freqs, wanted, field)
-    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rated = wanted.join(freqs.select("term", "df"), "term").select(
-        "query_id", "term", (F.col("qtf") * idf).alias("boost")
-    )
-    length_part = 1 - b + b * F.col("doc_len") / mean_len
-    tf = F.col("freq") * (k1 + 1) / (F.col("freq") + k1 * length_part)
+    rated = _rated(index, wanted, field, stats.docs)
     listed = _asked(index.postings, wanted, field)
-    hits = lookup_join(listed.select("term", "doc_id", "freq", "doc_len"), stage(rated, "rated"), "term")
-    total = F.round(F.sum(F.col("boost") * tf), SCORE_DIGITS)
+    hits = lookup_join(listed.select("term", "doc_id", "freq", "doc_len"), rated, "term")
+    return _summed(hits, stats.total_len / stats.docs, k1, b)
+
+
+def _no_scores(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.lit("").alias("doc_id"), F.lit(0.0).alias("score")).where(F.lit(False))
+
+
+def _summed(hits: DataFrame, mean_len: float, k1: float, b: float) -> DataFrame:
+    total = F.round(F.sum(F.col("boost") * _tf("freq", "doc_len", mean_len, k1, b)), SCORE_DIGITS)
     return hits.groupBy("query_id", "doc_id").agg(total.alias("score"))
 
 
+@dataclass(frozen=True)
+class BoundedSearch:
+    """A search in two readings: the ranges of the highest bounds, then those that the n-th score leaves."""
+
+    best: DataFrame  # query_id, rank, doc_id, score
+    cells: DataFrame  # query_id, term, range, boost, bound: what the queries match
+    read: DataFrame  # the cells whose postings were scored
+
+
+def _order() -> list[Column]:
+    return [F.desc("score"), F.asc("doc_id")]
+
+
+def bounded_search(
+    index: SearchIndex, queries: DataFrame, field: str, n: int, k1: float = P.BM25_K1, b: float = P.BM25_B
+) -> BoundedSearch:
+    """The n best documents of each query, reading only ranges that can hold one of them.
+
+    The bound of a range is the sum over the query's terms of the highest score a document
+    of the range can have. Each of the n ranges with the highest bounds holds a document at
+    least, so their n-th score is one that the result reaches; a range whose bound is lower
+    is ruled out without reading its postings.
+    """
+    stats = index.stats.where(F.col("field") == field).first()
+    if stats is None:
+        none = _no_scores(queries).withColumn("rank", F.lit(0).cast("bigint"))
+        return BoundedSearch(none, none, none)
+    mean_len = stats.total_len / stats.docs
+    wanted = stage(query_terms(queries), "query-terms")
+    rated = _rated(index, wanted, field, stats.docs)
+    highest = (F.col("boost") * _tf("max_freq", "min_len", mean_len, k1, b)).alias("bound")
+    cells = lookup_join(_asked(index.ranges, wanted, field), rated, "term").select("query_id", "term", "range", "boost", highest)
+    cells = stage(cells, "query-ranges")
+    bounds = stage(cells.groupBy("query_id", "range").agg(F.sum("bound").alias("bound")), "bounds")
+    listed = _asked(index.postings, wanted, field).select("term", "range", "doc_id", "freq", "doc_len")
+
+    def scores(ranges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        chosen = stage(lookup_join(cells, ranges, ["query_id", "range"], "left_semi"), name)
+        hits = lookup_join(listed, chosen.select("query_id", "term", "range", "boost"), ["term", "range"])
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))
+        scored = _summed(hits, mean_len, k1, b).withColumn("rank", place).where(F.col("rank") <= n)
+        return stage(scored, "scores"), chosen
+
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "range")
+    first = bounds.withColumn("_nth", F.row_number().over(by_bound)).where(F.col("_nth") <= n)
+    first = stage(first.select("query_id", "range"), "first-ranges")
+    scored, read = scores(first, "first-cells")
+    least = scored.where(F.col("rank") == n).select("query_id", F.col("score").alias("least"))
+    rounding = 10.0**-SCORE_DIGITS
+    able = lookup_join(bounds, least, "query_id").where(F.col("bound") + rounding >= F.col("least")).select("query_id", "range")
+    others, read_then = scores(lookup_join(able, first, ["query_id", "range"], "left_anti"), "other-cells")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))
+    best = scored.unionByName(others).withColumn("rank", place.cast("bigint")).where(F.col("rank") <= n)
+    return BoundedSearch(best.select("query_id", "rank", "doc_id", "score"), cells, read.unionByName(read_then))
+
+
 def search_batch(index: SearchIndex, queries: DataFrame, field: str, n: int) -> DataFrame:
     """(query_id, rank, doc_id, score): the n best documents of each query."""
-    scored = score(index, queries, field)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score")
+    return bounded_search(index, queries, field, n).best.select("query_id", "rank", "doc_id", "score")
 
 
 def search(index: SearchIndex, field: str, text: str, n: int) -> DataFrame:
@@ -197,20 +280,24 @@ def search(index: SearchIndex, field: str, text: str, n: int) -> DataFrame:
     total is the number of documents that match. Only the n best meet the stored originals.
     """
     query = index.postings.sparkSession.createDataFrame([(0, text)], "query_id bigint, text string")
-    scored = stage(score(index, query, field).select("doc_id", "score"), "scored")
-    best = scored.orderBy(F.desc("score"), "doc_id").limit(n)
+    best = stage(search_batch(index, query, field, n), "best").drop("query_id")
     ids = [row.doc_id.lower() for row in best.collect()]  # n at most
     stored = index.documents.where(F.col("id_key").isin(ids)).drop("id_key")
-    total = scored.agg(F.count(F.lit(1))).scalar().alias("total")
-    return best.join(F.broadcast(stored), "doc_id").select("doc_id", "score", "title", "issn", "journal", "abstract", total)
+    total = search_hits(index, query, field).agg(F.max("hits")).scalar().alias("total")
+    found = best.join(F.broadcast(stored), "doc_id").orderBy("rank")
+    return found.select("doc_id", "score", "title", "issn", "journal", "abstract", total)
 
 
 def search_hits(index: SearchIndex, queries: DataFrame, field: str) -> DataFrame:
-    """(query_id, hits): how many documents match each query, 0 included."""
+    """(query_id, hits): how many documents match each query, 0 included.
+
+    The documents of a range that hold any of the terms are the bits of one long; no posting
+    is read.
+    """
     wanted = stage(query_terms(queries).select("query_id", "term"), "query-terms")
-    listed = _asked(index.postings, wanted, field)
-    pairs = lookup_join(listed.select("term", "doc_id"), wanted, "term").select("query_id", "doc_id").distinct()
-    counts = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    listed = _asked(index.ranges, wanted, field).select("term", "range", "docs")
+    sets = lookup_join(listed, wanted, "term").groupBy("query_id", "range").agg(F.bit_or("docs").alias("docs"))
+    counts = sets.groupBy("query_id").agg(F.sum(F.bit_count("docs")).alias("hits"))
     return (
         queries.select("query_id")
         .distinct()

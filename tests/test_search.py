@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from conftest import tuples
@@ -87,3 +88,32 @@ def test_equal_scores_go_by_id(spark, tmp_path):
     index = search.save_index(documents, str(tmp_path / "index"))
     got = search.search(index, "title", "text", 2).collect()
     assert [r["doc_id"] for r in got] == ["S1", "S2"]
+
+
+def test_ranges_are_ruled_out_by_the_nth_score(spark, tmp_path):
+    """Fewer postings are scored than match, and the best are those of all scores."""
+    draw = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(f"S{i:04}", " ".join(draw.choices(words, range(60, 0, -1), k=draw.randint(3, 30))), "1", "j", "b") for i in range(1500)]
+    rows += [(f"T{i}", "w58 w59 w57", "1", "j", "b") for i in range(4)]
+    names = "doc_id string, title string, issn string, journal string, abstract string"
+    index = search.save_index(search.index_documents(spark.createDataFrame(rows, names)), str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "w57 w58 w59"), (2, "w0 w59 w59"), (3, "w30"), (4, "unseen")], "query_id long, text string")
+    found = search.bounded_search(index, queries, "title", 3)
+    scored = sorted(search.score(index, queries, "title").collect(), key=lambda r: (r.query_id, -r.score, r.doc_id))
+    wanted = [(q, n, r.doc_id, r.score) for q in (1, 2, 3) for n, r in enumerate([r for r in scored if r.query_id == q][:3], 1)]
+    assert tuples(found.best) == wanted
+    postings = index.postings.where("field = 'title'").select("term", "range")
+    matched = postings.join(found.cells, ["term", "range"]).count()
+    read = postings.join(found.read, ["term", "range"]).count()
+    assert 0 < read < matched / 2
+    assert found.read.distinct().count() == found.read.count()
+    hits = dict(tuples(search.search_hits(index, queries, "title")))
+    assert hits == {q: len([r for r in scored if r.query_id == q]) for q in (1, 2, 3, 4)}
+
+
+def test_unknown_field(spark, documents, tmp_path):
+    index = search.save_index(documents, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "red")], "query_id long, text string")
+    assert search.search_batch(index, queries, "none", 3).count() == 0
+    assert tuples(search.search_hits(index, queries, "none")) == [(1, 0)]
