@@ -425,6 +425,7 @@ def build() -> dict[str, str]:
         "'2018-01-01' as \"PubTime\", concat(doc_id, '-', doc_id + 9) as \"Pages\", "
         f'{_XML_TEXT} as "Abstract" {readable}'
     )
+    sql["xml_tree"] = sql["xml_fields"].replace("concat('S', n_chars, '.xml') as file_name, ", "")
     sql["xml_ids"] = (
         f"select {names}, concat('10.1/', doc_id) as \"DOI\", "
         "cast(doc_id as varchar) as \"PMID\", concat('2-s2.0-', doc_id) as \"EID\" "
@@ -641,6 +642,8 @@ def build() -> dict[str, str]:
     sql["lsi_reconstruction"] = _with(
         _WEIGHTS + " ranked_terms", f"select doc_id, term_id, round(weight, 6) + 0 as weight {full}"
     )
+    sql["saved_tokens"] = sql["sentence_terms"]
+    sql["saved_token_pairs"] = sql["token_pairs"]
     turn_lower = _TURN_TOKENS.replace("unnest(", "lower(unnest(").replace(" as term", ") as term")
     sql["word2vec_vocabulary"] = (
         f"select term, cast(100 as bigint) as dim from (select term, count(*) as n from ({turn_lower}) group by term) where n >= 5"
@@ -689,6 +692,7 @@ def build() -> dict[str, str]:
         "string_agg(case when list_contains(categories, category) then '1' else '0' end, ' ' "
         "order by category_id) as hot from journals, cat_index group by issn, categories",
     )
+    sql["saved_categories"] = sql["multi_hot"]
     cats = "cats cat_index journals single"
     unique = (
         "coalesce(category_id, (select count(*) from cat_index)) as category"
@@ -714,6 +718,7 @@ def build() -> dict[str, str]:
     sql["split_groups"] = _with(
         "corpus cats cat_index journals", f"select doc_id, category, {side} from ({every})"
     )
+    sql["saved_training"] = f"select doc_id, {side} from (select cast(vec_id as varchar) as doc_id from embeddings)"
     sql["split_rows"] = _with("corpus", f"select doc_id, {side} from corpus")
     targets = (
         "select issn, row_number() over (order by issn) - 1 as target "

@@ -139,6 +139,40 @@ def save_roundtrip(spark, sf_dir):
     return sinks.save_as_table(counts, f"token_freq_{uuid.uuid4().hex}", path)
 
 
+@query
+def saved_tokens(spark, sf_dir):
+    """Sentences saved on the way and reloaded as their terms."""
+    path = fresh_path(spark, "sentences")
+    sinks.save_if(tokens.tokenize_sentences(I.wide(spark, sf_dir)), path)
+    return tables.load_tokens(spark, path).select(_words("terms"))
+
+
+@query
+def saved_token_pairs(spark, sf_dir):
+    path = fresh_path(spark, "pairs")
+    sinks.save_if(tokens.token_pairs(I.wide(spark, sf_dir)), path)
+    return tables.load_token_pairs(spark, path)
+
+
+@query
+def saved_categories(spark, sf_dir):
+    """Journals with their categories, saved and reloaded under the typed schema."""
+    path = fresh_path(spark, "journals")
+    journals, _ = _journals(spark, sf_dir)
+    sinks.save_if(journals, path)
+    return tables.load_categories(spark, path).select("issn", _words("categories"), _words("hot"))
+
+
+@query
+def saved_training(spark, sf_dir):
+    """The ids of both sides of a saved training."""
+    path = fresh_path(spark, "training")
+    train, test = labels.split_by_hash(_label_points(spark, sf_dir))
+    classify.save_training(classify.train_and_predict(train, test), path)
+    sides = [spark.read.parquet(f"{path}/{side}ing-ids").withColumn("side", F.lit(side)) for side in ("train", "test")]
+    return sides[0].unionByName(sides[1])
+
+
 @query
 def xml_fields(spark, sf_dir):
     return xml.extract_xml_fields(I.xml_files(spark, sf_dir))
@@ -149,6 +183,16 @@ def xml_ids(spark, sf_dir):
     return xml.extract_xml_fields(I.xml_files(spark, sf_dir), P.XML_ID_FIELDS)
 
 
+@query
+def xml_tree(spark, sf_dir):
+    """The same fields, read from a directory tree with one file for each document."""
+    root = fresh_path(spark, "xml-tree")
+    docs = I.xml_files(spark, sf_dir).withColumn("folder", F.md5("path"))
+    docs.select("x", "folder").write.partitionBy("folder").text(root)
+    found = xml.extract_xml_fields(xml.scan_xml(spark, root, r"\.txt$"))
+    return found.drop("file_name")
+
+
 @query
 def dedupe_by_name(spark, sf_dir):
     files = I.xml_files(spark, sf_dir)
@@ -669,14 +713,17 @@ def split_groups(spark, sf_dir):
     )
 
 
-@query
-def predict_labels(spark, sf_dir):
-    points = spread(I.table(spark, sf_dir, "embeddings")).select(
+def _label_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(I.table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").cast("string").alias("doc_id"),
         F.col("label").cast("double").alias("label"),
         array_to_vector("embedding").alias("features"),
     )
-    train, test = labels.split_by_hash(points)
+
+
+@query
+def predict_labels(spark, sf_dir):
+    train, test = labels.split_by_hash(_label_points(spark, sf_dir))
     return classify.train_and_predict(train, test).predictions
 
 

@@ -118,3 +118,40 @@ def test_heads_pattern_and_matches(corpus, terms):
     assert tuples(heads) == [("dinitrophe",)]
     found = seeds.lexicon_matches(corpus("2,4-dinitrophenols and 1-dinitrophenyl-3"), heads)
     assert tuples(found) == [("1-dinitrophenyl-3",), ("2,4-dinitrophenols",)]
+
+
+@given(
+    st.lists(st.text(alphabet="abαβ", min_size=1, max_size=4), min_size=1, max_size=5),
+    st.text(alphabet="abZαβγ12(),-= []{}/é.", max_size=40),
+)
+def test_spans_are_those_of_one_pattern_of_all_heads(heads, text):
+    every = "|".join(sorted(heads))
+    pattern = re.compile(f"{P.LOCANT_HEADER}(?:(?:{every})[a-zA-Z]*){P.LOCANT_TRAILER}", re.ASCII)
+    assert seeds.name_spans(text, set(heads), 4) == [m.span() for m in pattern.finditer(text)]
+
+
+def test_long_runs_of_marks_cost_one_reading():
+    class Heads(set):
+        asked = 0
+
+        def __contains__(self, head):
+            self.asked += 1
+            return super().__contains__(head)
+
+    heads = Heads({"phenol"})
+    text = "(" * 20_000 + " 2,4-phenol"
+    assert seeds.name_spans(text, heads, 6) == [(0, len(text))]
+    assert seeds.name_spans("1" * 20_000 + "-", heads, 6) == []
+    assert heads.asked < 7 * 25_000
+
+
+def test_many_heads_are_met_by_a_join(spark, corpus, terms, monkeypatch):
+    texts = ["2,4-phenol and 1-αβγ x", "(α-phenols)-2 3-bc", "phenol 2,4-", "", "[1]benzene 12 αphenol"]
+    heads = terms("phenol", "αβ", "b", "benz", "zz", name="head")
+    df = corpus(*texts)
+    want = bodies(seeds.mask_names(df, heads)), tuples(seeds.lexicon_matches(df, heads))
+    monkeypatch.setattr(seeds, "fits_broadcast", lambda table: False)
+    masked = seeds.mask_names(df, heads)
+    plan = masked._jdf.queryExecution().executedPlan().toString()
+    assert (bodies(masked), tuples(seeds.lexicon_matches(df, heads))) == want
+    assert "regexp_replace" not in plan and want[0][0].startswith(P.ENTITY_MASK)
