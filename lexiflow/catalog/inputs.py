@@ -117,6 +117,18 @@ def lexicon(spark: SparkSession) -> DataFrame:
     )
 
 
+def word_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, penn_tag, lemma): the lexicon and the long words of the corpus, classed by their last letter."""
+    word = F.explode(X.matches(F.col("body"), "[a-z]{5,}")).alias("term")
+    words = wide(spark, sf_dir).select(word).distinct()
+    last, stem = F.substring("term", -1, 1), F.expr("substr(term, 1, length(term) - 1)")
+    tag = F.when(last == "s", F.lit("NNS")).when(last == "d", F.lit("VBD")).when(last == "n", F.lit("JJ"))
+    lemma = F.when(last == "n", F.col("term")).otherwise(stem)
+    classed = words.select("term", tag.alias("penn_tag"), lemma.alias("lemma")).where(F.col("penn_tag").isNotNull())
+    given = lexicon(spark).select("term", "penn_tag", "lemma")
+    return given.unionByName(classed.join(given, "term", "left_anti"))
+
+
 def entity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, type): chemical names, long words and word pairs of the benchmark, a term in brackets."""
     named = lexicon(spark).where(F.col("type").isNotNull()).select("term", "type")

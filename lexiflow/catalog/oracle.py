@@ -80,6 +80,13 @@ _CTES["lexicon"] = "select * from (values {}) t(term, type, penn_tag, lemma)".fo
         for row in LEXICON
     )
 )
+_CTES["tags"] = """
+    select term, penn_tag, lemma from lexicon
+    union all
+    select term, case right(term, 1) when 's' then 'NNS' when 'd' then 'VBD' else 'JJ' end,
+           case right(term, 1) when 'n' then term else left(term, length(term) - 1) end
+    from (select distinct unnest(regexp_extract_all(body, '[a-z]{5,}', 0)) as term from corpus)
+    where right(term, 1) in ('s', 'd', 'n') and term not in (select term from lexicon)"""
 _CTES["shapes"] = rf"""
     select distinct unnest(regexp_extract_all(body, {_text(P.SEED_SHAPE)}, 0)) as shape
     from corpus"""
@@ -383,7 +390,7 @@ def _annotated(body: str, source: str, name: str) -> str:
     from (select doc_id from {source}) ids left join (
         select doc_id, unnest(toks) as token, generate_subscripts(toks, 1) as pos
         from (select doc_id, {_tokens(body)} as toks from {source})) using (doc_id)
-    left join lexicon on lower(token) = term
+    left join tags on lower(token) = term
     group by doc_id"""
 
 
@@ -571,14 +578,14 @@ def build() -> dict[str, str]:
                                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
                   from treebank) group by 1""",
     )
-    sql["annotate_tokens"] = _with("corpus lexicon", _annotated("body", "corpus", "annotated"))
+    sql["annotate_tokens"] = _with("corpus lexicon tags", _annotated("body", "corpus", "annotated"))
     sql["annotation_lines"] = _with(
-        "corpus lexicon",
+        "corpus lexicon tags",
         f", a as ({_annotated('body', 'corpus', 'annotated')}) "
         "select concat(doc_id, chr(9), '1', chr(9), annotated) as value from a",
     )
     sql["annotate_articles"] = _with(
-        "corpus articles lexicon",
+        "corpus articles lexicon tags",
         f", a as ({_annotated('title', 'articles', 'title')}), "
         f"b as ({_annotated('abstract', 'articles', 'abstract')}) "
         "select doc_id, issn, a.title, b.abstract from a join b using (doc_id) "

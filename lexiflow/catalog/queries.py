@@ -375,24 +375,25 @@ def token_shapes(spark, sf_dir):
 
 @query
 def annotate_tokens(spark, sf_dir):
-    return annotate.annotate_tokens(I.by_id(spark, sf_dir), I.lexicon(spark))
+    return annotate.annotate_tokens(I.wide(spark, sf_dir), I.word_lexicon(spark, sf_dir))
 
 
 @query
 def annotation_lines(spark, sf_dir):
-    annotated = annotate.annotate_tokens(I.by_id(spark, sf_dir), I.lexicon(spark))
+    annotated = annotate.annotate_tokens(I.wide(spark, sf_dir), I.word_lexicon(spark, sf_dir))
     return annotate.annotation_lines(annotated)
 
 
 @query
 def annotate_articles(spark, sf_dir):
     articles = I.articles(spark, sf_dir)
+    lexicon = stage(I.word_lexicon(spark, sf_dir), "lexicon")
 
     def body(field: str) -> DataFrame:
         return articles.select("doc_id", F.col(field).alias("body"))
 
     return annotate.annotate_articles(
-        body("title"), body("abstract"), body("issn"), I.lexicon(spark)
+        body("title"), body("abstract"), body("issn"), lexicon
     )
 
 

@@ -2,36 +2,76 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.functions import patterns as P
 from lexiflow.functions import text as X
-from lexiflow.operators.joins import lookup_join
+from lexiflow.operators.joins import fits_broadcast, lookup_join
+from lexiflow.session import stage
+
+SPECIAL = re.compile(P.ANNOTATION_SPECIALS)
+
+
+def lexicon_entries(lexicon: DataFrame) -> DataFrame:
+    """(term, entry): what follows a token of the lexicon, `|lemma|class|0|0>`; of several the smallest."""
+    lemma = X.escape_special(F.coalesce("lemma", "term"))
+    entry = F.concat(F.lit("|"), lemma, F.lit("|"), X.tag_class(F.col("penn_tag")), F.lit("|0|0>"))
+    return lexicon.where("term is not null").groupBy("term").agg(F.min(entry).alias("entry"))
+
+
+def _escaped(token: str) -> str:
+    return SPECIAL.sub(r"//\1", token)
+
+
+def annotated_text(tokens: list[str], words: list[str], entries: Mapping[str, str]) -> str:
+    """The annotation of one text's tokens, given their lower-cased words."""
+    out = []
+    for token, word in zip(tokens, words):
+        entry = entries.get(word) or f"|{_escaped(word)}|{P.OTHER_CLASS}|0|0>"
+        out.append(f"<{_escaped(token)}{entry}")
+    return " ".join(out)
 
 
 def annotate_tokens(df: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(doc_id, annotated): `<token|lemma|class|0|0>` for every token, space-separated.
+    """(doc_id, annotated): `<token|lemma|class|0|0>` for every token, space-separated; a row for each of df.
+
+    A token missing from the lexicon is its own lower-cased lemma, of class other. Text
+    without tokens gives an empty string.
 
-    A token missing from the lexicon is its own lower-cased lemma, of class other.
-    Text without tokens gives an empty string.
+    The tokens of a text stay together: they are rewritten in place, by a map from words to
+    entries. A lexicon within the broadcast bounds is that map. Of a larger one, each document
+    gets the entries of its distinct words, in a join on words.
     """
-    tokens = df.select(
-        "doc_id", F.posexplode_outer(X.tokens(F.col("body"))).alias("pos", "token")
-    ).withColumn("term", F.lower("token"))
-    entries = lexicon.select("term", "penn_tag", "lemma")
-    known = lookup_join(tokens, entries, "term", "left")
-    text = F.concat(
-        F.lit("<"),
-        X.escape_special(F.col("token")),
-        F.lit("|"),
-        X.escape_special(F.coalesce("lemma", "term")),
-        F.lit("|"),
-        X.tag_class(F.col("penn_tag")),
-        F.lit("|0|0>"),
-    )
-    item = F.when(F.col("token").isNotNull(), F.struct("pos", text.alias("text")))
-    in_order = F.sort_array(F.collect_list(item))["text"]
-    return known.groupBy("doc_id").agg(F.array_join(in_order, " ").alias("annotated"))
+    entries = stage(lexicon_entries(lexicon), "lexicon-entries")
+    tokens = X.tokens(F.col("body"))
+    rows = df.select("doc_id", tokens.alias("_tokens"), F.transform(tokens, F.lower).alias("_words"))
+    if fits_broadcast(entries):
+        known = dict(tuple(row) for row in entries.select("term", "entry").collect())  # within the bounds
+        shared = df.sparkSession.sparkContext.broadcast(known)
+
+        @F.arrow_udf("string")
+        def annotated(tokens: pa.Array, words: pa.Array) -> pa.Array:
+            rows = zip(tokens.to_pylist(), words.to_pylist())
+            return pa.array([annotated_text(t or (), w or (), shared.value) for t, w in rows], pa.string())
+
+        return rows.select("doc_id", annotated("_tokens", "_words").alias("annotated"))
+
+    @F.arrow_udf("string")
+    def annotated_by(tokens: pa.Array, words: pa.Array, own: pa.Array) -> pa.Array:
+        rows = zip(tokens.to_pylist(), words.to_pylist(), own.to_pylist())
+        out = [annotated_text(t or (), w or (), {e["term"]: e["entry"] for e in o or ()}) for t, w, o in rows]
+        return pa.array(out, pa.string())
+
+    words = df.select("doc_id", F.explode(F.array_distinct(F.transform(tokens, F.lower))).alias("term")).distinct()
+    found = lookup_join(words, entries, "term").groupBy("doc_id")
+    found = found.agg(F.collect_list(F.struct("term", "entry")).alias("_own"))
+    rows = lookup_join(rows, stage(found, "document-entries"), "doc_id", "left")
+    return rows.select("doc_id", annotated_by("_tokens", "_words", "_own").alias("annotated"))
 
 
 def annotation_lines(annotated: DataFrame) -> DataFrame:

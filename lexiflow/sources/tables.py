@@ -33,12 +33,13 @@ def scan_id_text(
     spark: SparkSession,
     path: str,
     heading: str = P.GLUED_HEADING,
-    partition_by_id: bool = True,
+    partition_by_id: bool = False,
 ) -> DataFrame:
     """`<id>.xml <tab> body` lines -> (doc_id, body).
 
     Lines with another number of fields or another kind of id are dropped. Trailing
-    empty fields do not count, so a line without a body is dropped too.
+    empty fields do not count, so a line without a body is dropped too. The corpus is moved only
+    if partition_by_id is asked for, by a caller who works on the tokens of documents next.
     """
     fields = F.split(F.regexp_replace("value", r"\t+\z", ""), "\t")
     rows = (

@@ -112,6 +112,21 @@ def test_annotation(spark, corpus):
     assert tuples(lines) == [("d2\t1\t",)]
 
 
+def test_a_large_lexicon_stays_a_table(spark, corpus, monkeypatch):
+    rows = [("the", "DT", "the"), ("cats", "NNS", "cat"), ("cats", "VBZ", "cat"), (">", "NN", None), (None, "NN", "x")]
+    lexicon = spark.createDataFrame(rows, "term string, penn_tag string, lemma string")
+    df = corpus("The CATS > cats", "the | dog", None, "", ids=["a", "a", "b", "c"])
+    one = annotate.annotate_tokens(df, lexicon)
+    want = tuples(one)
+    assert ("a", "<The|the|other|0|0> <CATS|cat|noun|0|0> <//>|//>|noun|0|0> <cats|cat|noun|0|0>") in want
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(annotate, "fits_broadcast", lambda table: False)
+    two = annotate.annotate_tokens(df, lexicon)
+    assert tuples(two) == want and ("b", "") in want and ("c", "") in want
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "posexplode" not in plan
+
+
 def test_annotated_articles_join_on_id(spark, corpus):
     lexicon = spark.createDataFrame([], "term string, penn_tag string, lemma string")
     got = annotate.annotate_articles(
