@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.operators import entities, rewrite, seeds, tokens, vectors, weights
-from lexiflow.session import fingerprint, spread
+from lexiflow.session import fingerprint, remove, scratch, spread
 from lexiflow.settings import MiningSettings
 from lexiflow.sources.sinks import materialize
 from lexiflow.sources.tables import scan_terms
@@ -57,8 +57,7 @@ def stage_folder(
 
 def remove_stages(spark: SparkSession, base: str) -> None:
     """Delete the stages of one folder, as named in MinedTables.base."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, base)
 
 
 def mine_text(
@@ -72,14 +71,16 @@ def mine_text(
 
     The folder carries a digest of the settings and fingerprints of the corpus and the
     lexicon, so a run with other ones builds its own stages. `remove_stages` clears them.
+    What a stage stores on its way is removed when the stage is written.
     """
     base = stage_folder(directory, settings, corpus.select("doc_id", "body"), lexicon)
     log: list[tuple[str, str]] = []
 
     def stage(name, build):
-        return materialize(
-            spark, f"{base}/{name}", build, lambda action, path: log.append((name, action))
-        )
+        with scratch(spark):
+            return materialize(
+                spark, f"{base}/{name}", build, lambda action, path: log.append((name, action))
+            )
 
     tagged = None
     source = spread(corpus.select("doc_id", "body"))
@@ -115,13 +116,12 @@ def mask_and_tokenize(
     spark: SparkSession, directory: str, corpus: DataFrame, heads: DataFrame
 ) -> DataFrame:
     """The older job: names and numbers masked and saved, then sentence terms saved."""
-    masked = materialize(
-        spark,
-        f"{directory}/replacement",
-        lambda: seeds.mask_lexicon_and_patterns(spread(corpus), heads).select(
-            "doc_id", "body"
-        ),
-    )
+    with scratch(spark):
+        masked = materialize(
+            spark,
+            f"{directory}/replacement",
+            lambda: seeds.mask_lexicon_and_patterns(spread(corpus), heads).select("doc_id", "body"),
+        )
     return materialize(
         spark, f"{directory}/tokenized", lambda: tokens.sentence_terms(spread(masked))
     )

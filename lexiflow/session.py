@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
+_open_scopes: list[list[str]] = []  # paths made in each open `scratch` block
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,7 +31,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path nobody has written to yet."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end, when the result that reads them is written."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scopes.pop():
+            remove(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -65,8 +89,48 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if int(str(estimate)) >= cores * task_bytes else df.repartition(cores)
 
 
+PLAIN_NODES = {
+    "Project", "Filter", "SubqueryAlias", "Union", "Join", "Aggregate", "Generate", "Distinct", "Deduplicate",
+    "Repartition", "RepartitionByExpression", "LogicalRelation",
+}
+
+
 def fingerprint(df: DataFrame) -> str:
-    """Rows and contents of a table, whatever the order of its rows."""
+    """What tells a table from another: the files it is made of and how, or else its rows.
+
+    For plain relational work on files: their names, lengths and times, and the plan. No row
+    is read. Tables that hold other data, functions of the caller or other operators are
+    read once: number and contents of the rows, whatever their order.
+    """
+    files = _manifest(df)
+    if files is not None:
+        plan = df._jdf.queryExecution().analyzed().canonicalized().toString()
+        return hashlib.sha256("\n".join([df.schema.json(), plan, *files]).encode()).hexdigest()
     high, low = F.xxhash64(*df.columns), F.hash(*df.columns)
     sums = F.sum(high.cast("decimal(38,0)")), F.sum(low.cast("bigint")), F.bit_xor(high)
     return "/".join(str(x) for x in df.agg(F.count(F.lit(1)), *sums).first())
+
+
+def _manifest(df: DataFrame) -> list[str] | None:
+    """Path, length and time of every file, or None where the plan is more than files."""
+    plan = df._jdf.queryExecution().analyzed()
+    pattern = df.sparkSession.sparkContext._jvm.org.apache.spark.sql.catalyst.trees.TreePattern
+    if plan.containsPattern(pattern.PYTHON_UDF()) or plan.containsPattern(pattern.SCALA_UDF()) or not plan.deterministic():
+        return None
+    files, nodes = [], [plan]
+    while nodes:
+        node = nodes.pop()
+        if node.getClass().getSimpleName() not in PLAIN_NODES:
+            return None
+        if node.getClass().getSimpleName() == "LogicalRelation":
+            if node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+                return None
+            index = node.relation().location()
+            if index.getClass().getSimpleName() != "InMemoryFileIndex":
+                return None
+            listed = index.allFiles()
+            found = (listed.apply(i) for i in range(listed.size()))
+            files += [f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}" for f in found]
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return sorted(files)

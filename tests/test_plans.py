@@ -1,11 +1,13 @@
+import os
 from pathlib import Path
 
 import pytest
 from conftest import tuples
+from pyspark.sql import functions as F
 
 from lexiflow.operators import labels, tokens, weights
 from lexiflow.plans import classify_journals, text_mining
-from lexiflow.session import scratch_root, stage
+from lexiflow.session import fingerprint, scratch_root, stage
 from lexiflow.settings import MiningSettings
 
 
@@ -131,3 +133,44 @@ def test_lsi_classifier(spark, docs, tmp_path):
         )
     assert bundle.train.count() + bundle.test.count() == 90
     assert bundle.train.join(bundle.test, "doc_id", "left_semi").count() == 0
+
+
+def _corpus_file(spark, tmp_path, docs):
+    docs.select("doc_id", "body").coalesce(1).write.parquet(str(tmp_path / "corpus"))
+    file = next((tmp_path / "corpus").glob("*.parquet"))
+    return file, lambda: spark.read.schema("doc_id string, body string").parquet(str(tmp_path / "corpus")).where("body <> ''")
+
+
+def test_second_run_reads_no_corpus_rows(spark, docs, tmp_path):
+    """The files lose their contents but keep names, lengths and times: reading them would fail."""
+    file, corpus = _corpus_file(spark, tmp_path, docs)
+    first = text_mining.mine_text(spark, str(tmp_path / "work"), corpus())
+    kept = file.stat()
+    file.write_bytes(b"x" * kept.st_size)
+    os.utime(file, ns=(kept.st_atime_ns, kept.st_mtime_ns))
+    second = text_mining.mine_text(spark, str(tmp_path / "work"), corpus())
+    assert {action for _, action in second.log} == {"read"} and second.base == first.base
+    os.utime(file, ns=(kept.st_atime_ns, kept.st_mtime_ns + 10**10))
+    assert fingerprint(corpus()) != fingerprint(spark.read.schema("doc_id string, body string").parquet(str(file)))
+    assert text_mining.stage_folder("w", MiningSettings(), corpus()) != text_mining.stage_folder("w", MiningSettings(), docs)
+
+
+def test_fingerprints(spark, docs, tmp_path):
+    file, corpus = _corpus_file(spark, tmp_path, docs)
+    assert fingerprint(corpus()) == fingerprint(corpus())
+    assert fingerprint(corpus()) != fingerprint(corpus().where("doc_id > ''"))
+    assert fingerprint(docs) == fingerprint(docs.repartition(3))  # rows, in any order
+    upper = F.udf(lambda x: x.upper(), "string")
+    by_rows = fingerprint(corpus().withColumn("body", upper("body")))
+    assert by_rows.startswith(f"{docs.count()}/") and "/" not in fingerprint(corpus())
+
+
+def test_scratch_is_empty_after_a_job(spark, docs, tmp_path):
+    root = Path(scratch_root(spark))
+    root.mkdir(parents=True, exist_ok=True)
+    before = {p.name for p in root.iterdir()}
+    lexicon = spark.createDataFrame([("water", "W")], "term string, type string")
+    settings = MiningSettings(tag_entities=True, build_vectors=True)
+    mined = text_mining.mine_text(spark, str(tmp_path / "work"), docs, settings, lexicon)
+    assert mined.weights.count() > 0
+    assert {p.name for p in root.iterdir()} == before
