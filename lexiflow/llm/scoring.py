@@ -184,7 +184,7 @@ def _answer(asked: pa.Table) -> pa.Table:
     sizes = np.cumsum([len(k) for k in keys])
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, counts)
-    parts = [squeeze(p) for p in np.split(total[at].astype(np.uint32), sizes[:-1])]
+    parts = [squeeze(p) for p in np.split(total[at].astype(np.int64), sizes[:-1])]
     distinct = [int((total > 0).sum())] + [0] * (len(parts) - 1)
     columns = [asked.column("question"), asked.column("part"), asked.column("block")]
     columns += [pa.array(parts, pa.binary()), pa.array(distinct, pa.int64())]
@@ -196,7 +196,7 @@ def _collect(order: int, ranges: int):
         ids, trained, bodies = _unpack(packs)
         grams = Grams(bodies, trained, order)
         got = {
-            (q, p): unsqueeze(c, np.uint32)
+            (q, p): unsqueeze(c, np.int64)
             for q, p, c in zip(*(answers.column(x).to_pylist() for x in ("question", "part", "counts")))
         }
         distinct = sum(n for q, n in zip(*(answers.column(x).to_pylist() for x in ("question", "n_distinct"))) if q == 0)
@@ -275,7 +275,7 @@ def learn_weights(counted: DataFrame, order: int, total: int, distinct: int, rou
             current, sums = shared.value, np.zeros((order * BUCKETS, order + 1))
             for batch in batches:
                 for packed, own, sizes in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    counts = unsqueeze(packed, np.uint32).reshape(order, -1)
+                    counts = unsqueeze(packed, np.int64).reshape(order, -1)
                     estimates, bucket = _estimates(counts, np.array(sizes), total - own, distinct)
                     share = current[bucket].T * estimates
                     share /= share.sum(axis=0)
@@ -317,7 +317,7 @@ def score(docs: DataFrame, trained, order: int = ORDER, block_chars: int = BLOCK
         for batch in batches:
             for ids, marks, sizes, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 sizes = np.array(sizes)
-                counts = unsqueeze(packed, np.uint32).reshape(order, -1)
+                counts = unsqueeze(packed, np.int64).reshape(order, -1)
                 estimates, bucket = _estimates(counts, sizes, total, distinct)
                 first = np.cumsum(sizes) - sizes
                 base = np.log10((counts[0] + 0.1) / (total + 0.1 * (distinct + 1)))

@@ -111,3 +111,16 @@ def test_the_query_uses_trigrams(spark, tmp_path):
     wanted = sorted((r.doc_id, r.score) for r in score(docs, ~held_out(10), order=3).collect())
     assert [i for i, _ in got] == [i for i, _ in wanted]
     assert [x for _, x in got] == pytest.approx([x for _, x in wanted], rel=1e-9)
+
+
+def test_totals_beyond_32_bits():
+    import numpy as np
+    import pyarrow as pa
+
+    from lexiflow.llm.scoring import ASK, _answer, _names, squeeze, squeeze_sorted, unsqueeze
+
+    keys, most = np.array([7, 9], np.uint64), np.array([2**32 - 1, 1], np.uint32)
+    rows = [(0, 0, block, squeeze_sorted(keys), squeeze(most)) for block in range(3)]
+    asked = pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], names=_names(ASK))
+    for packed in _answer(asked).column("counts").to_pylist():
+        assert unsqueeze(packed, np.int64).tolist() == [3 * (2**32 - 1), 3]
