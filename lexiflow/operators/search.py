@@ -234,7 +234,8 @@ def bounded_search(
     The bound of a range is the sum over the query's terms of the highest score a document
     of the range can have. Each of the n ranges with the highest bounds holds a document at
     least, so their n-th score is one that the result reaches; a range whose bound is lower
-    is ruled out without reading its postings.
+    is ruled out without reading its postings. All sides of these joins are stored tables, so
+    the planner knows their size and broadcasts the small ones only.
     """
     stats = index.stats.where(F.col("field") == field).first()
     if stats is None:
@@ -250,8 +251,8 @@ def bounded_search(
     listed = _asked(index.postings, wanted, field).select("term", "range", "doc_id", "freq", "doc_len")
 
     def scores(ranges: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        chosen = stage(lookup_join(cells, ranges, ["query_id", "range"], "left_semi"), name)
-        hits = lookup_join(listed, chosen.select("query_id", "term", "range", "boost"), ["term", "range"])
+        chosen = stage(cells.join(ranges, ["query_id", "range"], "left_semi"), name)
+        hits = listed.join(chosen.select("query_id", "term", "range", "boost"), ["term", "range"])
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))
         scored = _summed(hits, mean_len, k1, b).withColumn("rank", place).where(F.col("rank") <= n)
         return stage(scored, "scores"), chosen
@@ -262,8 +263,8 @@ def bounded_search(
     scored, read = scores(first, "first-cells")
     least = scored.where(F.col("rank") == n).select("query_id", F.col("score").alias("least"))
     rounding = 10.0**-SCORE_DIGITS
-    able = lookup_join(bounds, least, "query_id").where(F.col("bound") + rounding >= F.col("least")).select("query_id", "range")
-    others, read_then = scores(lookup_join(able, first, ["query_id", "range"], "left_anti"), "other-cells")
+    able = bounds.join(least, "query_id").where(F.col("bound") + rounding >= F.col("least")).select("query_id", "range")
+    others, read_then = scores(able.join(first, ["query_id", "range"], "left_anti"), "other-cells")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))
     best = scored.unionByName(others).withColumn("rank", place.cast("bigint")).where(F.col("rank") <= n)
     return BoundedSearch(best.select("query_id", "rank", "doc_id", "score"), cells, read.unionByName(read_then))
