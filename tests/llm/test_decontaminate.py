@@ -103,28 +103,52 @@ def test_target_recall_at_the_largest_distance():
     assert tried > 60 and found >= 0.95 * tried
 
 
-def test_clumped_edits_are_always_found():
+def test_recall_by_length_with_clumped_and_spread_edits():
     draw = random.Random(5)
-    for n in (5, 10, 16, 31, 48, 72, 100):
-        most = n // 5
-        for trial in range(100):
-            item = [f"v{draw.randrange(2000)}" for _ in range(n)]
-            at, passage = draw.randint(0, n - most), list(item)
-            passage[at : at + most] = [f"new{draw.randrange(999)}" for _ in range(most)]
-            before = [f"start{draw.randrange(2000)}" for _ in range(draw.randint(0, 50))]
-            index = Index([(1, " ".join(item).encode())])
-            hits = next(index.search([" ".join([*before, *passage, *["end"] * 50]).encode()]))
-            assert [h[0] for h in hits] == [1] and hits[0][1] <= most, (n, trial, at)
-
-
-def test_all_pairs_within_a_fifth_are_found():
+    for n in (5, 7, 10, 16, 24, 31, 48, 72, 100):
+        for clumped in (True, False):
+            items, texts, most = [], [], n // 5
+            for trial in range(100):
+                item = [f"v{draw.randrange(2000)}" for _ in range(n)]
+                passage, at = list(item), draw.randint(0, n - most)
+                if clumped:
+                    passage[at : at + most] = [f"new{draw.randrange(999)}" for _ in range(most)]
+                else:
+                    for at in draw.sample(range(n), most):
+                        passage[at] = f"v{draw.randrange(2000)}"
+                before = [f"start{draw.randrange(2000)}" for _ in range(draw.randint(0, 50))]
+                items.append((trial, " ".join(item).encode()))
+                texts.append(" ".join([*before, *passage, *["end"] * 50]).encode())
+            hits = list(Index(items).search(texts))
+            assert sum(any(h[0] == i and h[1] <= most for h in found) for i, found in enumerate(hits)) >= 95, (n, clumped)
+
+
+def test_few_words_that_repeat():
     draw = random.Random(6)
     items = [(i, " ".join(f"v{draw.randrange(9)}" for _ in range(draw.randint(1, 16)))) for i in range(12)]
     docs = []
-    for i in range(30):
+    for i in range(60):
         item = draw.choice(items)[1].split()
         text = [f"v{draw.randrange(9)}" for _ in range(draw.randint(0, 9))] + edited(draw, item, len(item) // 5)
         docs.append((i, " ".join(text + [f"v{draw.randrange(9)}" for _ in range(draw.randint(0, 9))])))
     index = Index([(i, text.encode()) for i, text in items])
     found = index.search([text.encode() for _, text in docs])
-    assert {(i, *hit) for (i, _), hits in zip(docs, found) for hit in hits} == brute_force(docs, items)
+    got = {(i, hit[0]) for (i, _), hits in zip(docs, found) for hit in hits}
+    wanted = {x[:2] for x in brute_force(docs, items)}
+    assert got <= wanted and len(got) >= 0.97 * len(wanted)
+
+
+def test_the_index_grows_with_the_words_of_the_items():
+    draw = random.Random(7)
+
+    def cells(count):
+        index = Index([(i, " ".join(f"w{draw.randrange(50_000)}" for _ in range(40)).encode()) for i in range(count)])
+        return len(index.member) + sum(len(keys) for _, _, tables, _ in index.classes.values() for keys, _, _ in tables)
+
+    assert cells(400) < 4.2 * cells(100)
+
+
+def test_columns_of_the_user_stay(spark):
+    docs = spark.createDataFrame([(1, "some word", 7, "b"), (2, "another", 8, "c")], "doc_id long, text string, body long, body_ string")
+    items = spark.createDataFrame([(5, "word", 0)], ITEMS)
+    assert decontaminate(docs, items).collect() == [(2, "another", 8, "c")] and decontaminate(docs, items).columns == docs.columns
