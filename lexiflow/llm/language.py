@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.llm.columns import unused
 from lexiflow.llm.vocabulary import MARK, PIECES, letter_pieces
 from lexiflow.llm.words import pieces, row_hashes, span_hashes
 from lexiflow.session import stage
@@ -237,12 +238,12 @@ def train(labelled: DataFrame, vocabulary: str = PIECES, rows: int = TRAIN_ROWS,
     return Model(languages, priors, _with_zero(chances), table)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score; only the text is looked at."""
+def predict(docs: DataFrame, model: Model | None, label: str = "lang_pred", chance: str = "score") -> DataFrame:
+    """docs with the columns label and chance, which replace columns of these names; only the text is looked at."""
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return docs.withColumns({label: F.lit(UNDETERMINED), chance: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c.lower() not in (label, chance)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -261,11 +262,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
-                names=[*names, "lang_pred", "score"],
+                names=[*names, label, chance],
             )
 
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*names, F.col("text").cast("binary").alias("_body")).mapInArrow(run, schema)
+    schema = docs.select(*names).schema.add(label, "string").add(chance, "double")
+    return docs.select(*names, F.col("text").cast("binary").alias(unused("body", docs))).mapInArrow(run, schema)
 
 
 def held_out(modulus: int):
@@ -274,6 +275,7 @@ def held_out(modulus: int):
 
 
 def keep_known_languages(docs: DataFrame, vocabulary: str = PIECES) -> DataFrame:
-    """docs whose language is determined with a score of ACCEPT at least; learned from their own labels."""
-    model = train(docs.filter(~held_out(5)), vocabulary)
-    return predict(docs, model).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= ACCEPT)).drop("lang_pred", "score")
+    """docs whose language is determined with a score of ACCEPT at least, all columns kept; learned from their own labels."""
+    label, chance = unused("lang_pred", docs), unused("score", docs)
+    predicted = predict(docs, train(docs.filter(~held_out(5)), vocabulary), label, chance)
+    return predicted.filter((F.col(label) != UNDETERMINED) & (F.col(chance) >= ACCEPT)).select(*docs.columns)

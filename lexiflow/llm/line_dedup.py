@@ -63,23 +63,39 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return stage(sure.union(exact), "boilerplate")
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with text rewritten, and the columns n_lines (with text) and n_removed."""
+def _cleaned(docs: DataFrame, min_sites: int) -> DataFrame:
+    """doc (the row), text without its boilerplate lines, n_lines, n_removed."""
     found = boilerplate_lines(docs, min_sites)
     hits = stage(_lines(docs).join(found, ["high", "low"]).select("row", "doc_id", "at", "high", "low"), "hits")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "at")
     first = stage(hits.groupBy("high", "low").agg(F.min(place).alias("first")), "first")
     again = hits.join(first, ["high", "low"]).filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
-    drops = stage(again.groupBy(F.col("row").alias("drop_row")).agg(F.collect_set("at").alias("drop")), "drops")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    met = keyed.join(drops.hint("merge"), F.col("_row") == F.col("drop_row"), "left")
-    parts = F.split("text", "\n")
+    drops = stage(again.groupBy("row").agg(F.collect_set("at").alias("drop")), "drops")
+    keyed = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct("*").alias("doc"))
+    met = keyed.join(drops.hint("merge"), "row", "left")
+    parts = F.split("doc.text", "\n")
     kept = F.filter(parts, lambda _, i: ~F.array_contains("drop", i))
     full = F.size(F.filter(parts, lambda x: F.trim(x) != ""))
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return (
-        met.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(full).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.array_size("drop"), F.lit(0)).cast("long"))
-        .withColumn("text", text)
-        .drop("_row", "drop_row", "drop")
+    return met.select(
+        "doc",
+        F.when(F.col("drop").isNull(), F.col("doc.text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("doc.text").isNull(), F.lit(0)).otherwise(full).cast("long").alias("n_lines"),
+        F.coalesce(F.array_size("drop"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """docs with text rewritten, and the columns n_lines (with text) and n_removed, which replace columns of these names."""
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    columns = [F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in names]
+    return _cleaned(docs, min_sites).select(*columns, "n_lines", "n_removed")
+
+
+def drop_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """The same columns with text and n_chars rewritten; a document that loses all its text goes."""
+    cleaned = _cleaned(docs, min_sites)
+    emptied = (F.col("n_removed") > 0) & (F.trim(F.col("text")) == "")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("doc")["n_chars"])
+    rewritten = {"text": F.col("text"), "n_chars": n_chars.cast("long").alias("n_chars")}
+    columns = [rewritten.get(c, F.col("doc")[c].alias(c)) for c in docs.columns]
+    return cleaned.filter(~F.coalesce(emptied, F.lit(False))).select(*columns)

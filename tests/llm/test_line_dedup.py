@@ -61,3 +61,9 @@ def test_threshold_is_exact_for_wide_lines(spark):
     rows = [(i, "at it" + ("\nunder" if i < 299 else ""), f"s{i}", "", "") for i in range(300)]
     found = boilerplate_lines(spark.createDataFrame(rows, SCHEMA), 300)
     assert found.count() == 1
+
+
+def test_columns_of_the_user_stay(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "s", 5, 6, 7)], "doc_id long, text string, source string, drop int, drop_row int, _row int")
+    row = remove_spread_lines(docs).first()
+    assert (row["drop"], row["drop_row"], row["_row"], row["n_lines"], row["n_removed"]) == (5, 6, 7, 2, 0)

@@ -3,12 +3,14 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_decontaminate import brute_force as benchmark_pairs
 from test_line_dedup import brute_force as cleaned_lines
 from test_near_dedup import brute_force as groups
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
+from lexiflow.llm.mixing import mix
 from lexiflow.llm.vocabulary import PIECES
 from lexiflow.session import stage
 
@@ -89,6 +91,33 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
             assert len({(r.doc_id, r.copy) for r in rows}) == len(rows) and max(r.copy for r in rows) <= 3
 
 
+CLASHING = (
+    "id", "site", "words", "copies", "copy", "n", "place", "doc", "row", "drop", "drop_row", "_row", "at", "line", "high", "low",
+    "n_lines", "n_removed", "body", "_body", "lang_pred", "score", "size", "draw", "target", "item_id", "edits", "component_id", "kept",
+)
+
+
+@needs_pieces
+def test_columns_of_the_user_go_through_every_stage(spark, tmp_path):
+    corpus(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    docs = stage(docs.select("*", *[F.concat(F.lit(f"{c} of "), "doc_id").alias(c) for c in CLASHING]), "clashing")
+    columns = docs.columns
+    for name, apply in corpus_pipeline.STAGES:
+        docs = stage(apply(spark, docs, str(tmp_path)), name)
+        assert docs.columns == ([*columns, "copy_"] if name == "mix" else columns), name
+    rows = docs.collect()
+    assert rows and all(r[c] == f"{c} of {r.doc_id}" for r in rows for c in CLASHING)
+
+
+def test_repeated_rows_share_their_copies(spark):
+    rows = [(1, "a b", "en", "s", 3), (1, "a b", "en", "s", 3), (None, "c d", "en", None, 3), (None, "c e", "en", None, 3), (2, "f", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    wanted = mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).filter("n > 0").collect()
+    got = corpus_pipeline.mix_stage(spark, docs, "").groupBy("doc_id").count().collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, (tuple(r) for r in wanted)))
+
+
 @needs_pieces
 def test_run_is_the_stages_in_order(spark, tmp_path):
     corpus(spark, str(tmp_path))
