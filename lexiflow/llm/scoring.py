@@ -8,10 +8,14 @@ blocks of the training text whose own counts are deleted from the totals.
 Counting and scoring ask one question, "how often does this n-gram occur in training?", for
 every position. Documents are dealt into blocks by a hash. A block sends each distinct
 n-gram once, as a 64-bit hash with its own training count, packed by hash range; the
-ranges add up the counts and answer in the same packing; the block puts the answers back at
-their positions. The count of a context is that of the n-gram one word earlier. So an n-gram that is everywhere costs one entry per block, nothing is
-capped, and a task holds one block or one range. Both grow with the text only through
-their number.
+ranges add up the counts and answer in the same packing, with the mark whether another
+block sent the n-gram too; the block puts the answers back at their positions. Words and
+pairs are asked in the first round, longer n-grams in a round each, and only those whose
+two shorter parts, without the first and without the last word, stand in another block
+too: of all others every occurrence is in the block, and its own count is the total. The
+count of a context is that of the n-gram one word earlier. So an n-gram that is everywhere
+costs one entry per block, nothing is capped, and a task holds one block or one range. Both
+grow with the text only through their number.
 
 Words are lower-cased (A-Z); every text ends with one end token; contexts before the text
 are a begin token. Null texts are empty. Repeated rows count as often as they occur. Without
@@ -33,6 +37,8 @@ from lexiflow.session import stage
 
 ORDER = 2
 BLOCK_CHARS = 8_000_000
+RANGE_BLOCKS = 4  # blocks of keys that a range answers, about
+FIRST_ROUND = 2  # orders asked at once
 HELD_BYTES = 16 << 20  # of texts in a task before they are sent to their blocks
 PACK_TOKENS = 200_000
 ROUNDS = 12
@@ -92,13 +98,17 @@ class Grams:
             context = mix(context + earlier * factors[n])
             self.grams.append(mix(context ^ (self.tokens * factors[0])))
 
-    def asked(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per order: the distinct hashes, the place of each position's, and training counts."""
-        out = []
-        for values in self.grams:
-            keys, at = np.unique(values, return_inverse=True)
-            out.append((keys, at, np.bincount(at, self.trained, minlength=len(keys)).astype(np.uint32)))
-        return out
+    def asked(self, question: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one order: the distinct hashes, the place of each position's, and training counts."""
+        keys, at = np.unique(self.grams[question], return_inverse=True)
+        return keys, at, np.bincount(at, self.trained, minlength=len(keys)).astype(np.uint32)
+
+    def open(self, shared: np.ndarray) -> np.ndarray:
+        """Positions whose n-gram may stand in another block; shared: those whose n-gram one word shorter does."""
+        before = np.ones(len(shared), bool)
+        before[1:] = shared[:-1]
+        before[self.first] = True
+        return shared & before
 
 
 def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -109,7 +119,7 @@ def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 PACKED = "block int, doc_id array<long>, trained array<boolean>, sizes array<int>, bodies binary"
 ASK = "question int, part int, block int, keys binary, counts binary"
-ANSWER = "question int, part int, block int, counts binary, n_distinct long"
+ANSWER = "question int, part int, block int, counts binary, shared binary, n_distinct long"
 COUNTED = (
     "doc_id array<long>, trained array<boolean>, sizes array<long>, counts binary, deleted binary, "
     "n_deleted long, n_distinct long, n_trained long"
@@ -159,35 +169,91 @@ def _unpack(packs: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
     return ids, np.array(trained, bool), bodies
 
 
+def _questions(number: int, ranges: int, questions: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    """Rows (question, range) of a block from (question, sorted keys, own counts)."""
+    rows = []
+    for question, keys, counts in questions:
+        edges = _bounds(keys, ranges)
+        for part in range(ranges):
+            a, b = edges[part], edges[part + 1]
+            if b > a:
+                rows.append((question, part, number, squeeze_sorted(keys[a:b]), squeeze(counts[a:b])))
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    columns = zip(*rows) if rows else ((),) * 5
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_names(ASK))
+
+
 def _ask(order: int, ranges: int):
+    """The questions of the first round: all words and pairs of a block."""
+
     def run(packs: pa.Table) -> pa.Table:
-        number = packs.column("block")[0].as_py()
         _, trained, bodies = _unpack(packs)
-        rows = []
-        for question, (keys, _, counts) in enumerate(Grams(bodies, trained, order).asked()):
-            edges = _bounds(keys, ranges)
-            for part in range(ranges):
-                a, b = edges[part], edges[part + 1]
-                if b > a:
-                    rows.append((question, part, number, squeeze_sorted(keys[a:b]), squeeze(counts[a:b])))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        columns = zip(*rows) if rows else ((),) * 5
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_names(ASK))
+        first = min(order, FIRST_ROUND)
+        grams = Grams(bodies, trained, first)
+        asked = ((question, *grams.asked(question)) for question in range(first))
+        return _questions(packs.column("block")[0].as_py(), ranges, [(q, keys, own) for q, keys, _, own in asked])
+
+    return run
+
+
+class Answers:
+    """Total counts of the n-grams of a block, order by order, from the answers of all rounds so far."""
+
+    def __init__(self, grams: Grams, answers: pa.Table, ranges: int):
+        self.grams, self.ranges = grams, ranges
+        columns = (answers.column(x).to_pylist() for x in ("question", "part", "counts", "shared"))
+        self.got = {(q, p): (counts, shared) for q, p, counts, shared in zip(*columns)}
+
+    def _joined(self, question: int) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.got[question, p] for p in range(self.ranges) if (question, p) in self.got]
+        counts = [unsqueeze(c, np.int64) for c, _ in found]
+        marks = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(c)).astype(bool) for c, (_, m) in zip(counts, found)]
+        return np.concatenate(counts or [np.zeros(0, np.int64)]), np.concatenate(marks or [np.zeros(0, bool)])
+
+    def totals(self, question: int, shared: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """At each position: total count, count without the block, and whether another block holds the n-gram.
+
+        shared: the last of these of the order before; None in the first round.
+        """
+        keys, at, own = self.grams.asked(question)
+        total, marks = own.astype(np.int64), np.zeros(len(keys), bool)
+        asked = np.ones(len(keys), bool) if shared is None else np.zeros(len(keys), bool)
+        if shared is not None:
+            asked[at[self.grams.open(shared)]] = True
+        total[asked], marks[asked] = self._joined(question)
+        return total[at], (total - own)[at], marks[at]
+
+
+def _ask_open(question: int, ranges: int):
+    """The questions of a later round: n-grams whose shorter parts stand in other blocks too."""
+
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        _, trained, bodies = _unpack(packs)
+        grams = Grams(bodies, trained, question + 1)
+        answered, shared = Answers(grams, answers, ranges), None
+        for shorter in range(FIRST_ROUND - 1, question):
+            shared = answered.totals(shorter, shared)[2]
+        keys, at, own = grams.asked(question)
+        open_keys = np.zeros(len(keys), bool)
+        open_keys[at[grams.open(shared)]] = True
+        return _questions(packs.column("block")[0].as_py(), ranges, [(question, keys[open_keys], own[open_keys])])
 
     return run
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """Total counts of the keys of one range, in the packing they came in."""
+    """Total counts of the keys of one range, in the packing they came in, and marks of those of several blocks."""
     keys = [unsqueeze_sorted(k) for k in asked.column("keys").to_pylist()]
     counts = np.concatenate([unsqueeze(c, np.uint32) for c in asked.column("counts").to_pylist()])
-    sizes = np.cumsum([len(k) for k in keys])
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, counts)
-    parts = [squeeze(p) for p in np.split(total[at].astype(np.int64), sizes[:-1])]
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    _, at, blocks = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    total = np.zeros(len(blocks), np.int64)
+    np.add.at(total, at, counts)
+    parts = [squeeze(p) for p in np.split(total[at], ends)]
+    marks = [np.packbits(p).tobytes() for p in np.split((blocks > 1)[at], ends)]
     distinct = [int((total > 0).sum())] + [0] * (len(parts) - 1)
     columns = [asked.column("question"), asked.column("part"), asked.column("block")]
-    columns += [pa.array(parts, pa.binary()), pa.array(distinct, pa.int64())]
+    columns += [pa.array(parts, pa.binary()), pa.array(marks, pa.binary()), pa.array(distinct, pa.int64())]
     return pa.Table.from_arrays(columns, names=_names(ANSWER))
 
 
@@ -195,16 +261,13 @@ def _collect(order: int, ranges: int):
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         ids, trained, bodies = _unpack(packs)
         grams = Grams(bodies, trained, order)
-        got = {
-            (q, p): unsqueeze(c, np.int64)
-            for q, p, c in zip(*(answers.column(x).to_pylist() for x in ("question", "part", "counts")))
-        }
+        answered, shared = Answers(grams, answers, ranges), None
         distinct = sum(n for q, n in zip(*(answers.column(x).to_pylist() for x in ("question", "n_distinct"))) if q == 0)
         counts, deleted = [], []
-        for question, (_, at, own) in enumerate(grams.asked()):
-            total = np.concatenate([got[question, p] for p in range(ranges) if (question, p) in got])
-            counts.append(total[at])
-            deleted.append((total - own)[at])
+        for question in range(order):
+            total, rest, shared = answered.totals(question, None if question < FIRST_ROUND else shared)
+            counts.append(total)
+            deleted.append(rest)
         counts, deleted = np.stack(counts), np.stack(deleted)
         learn = packs.column("block")[0].as_py() % DELETED == 0
         own_tokens = int(grams.trained.sum())
@@ -233,11 +296,16 @@ def count_grams(docs: DataFrame, trained, order: int = ORDER, block_chars: int =
     blocks = max(16, -(-size // block_chars))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), trained.alias("trained"), body.alias("body"), block.alias("block"))
+    ranges = -(-blocks // RANGE_BLOCKS)
     dealt = rows.mapInArrow(_pack, PACKED)
-    asked = dealt.groupBy("block").applyInArrow(_ask(order, blocks), ASK)
+    asked = dealt.groupBy("block").applyInArrow(_ask(order, ranges), ASK)
     answered = asked.groupBy("question", "part").applyInArrow(_answer, ANSWER)
+    for question in range(FIRST_ROUND, order):
+        met = dealt.groupBy("block").cogroup(answered.groupBy("block"))
+        asked = met.applyInArrow(_ask_open(question, ranges), ASK)
+        answered = answered.union(asked.groupBy("question", "part").applyInArrow(_answer, ANSWER))
     met = dealt.groupBy("block").cogroup(answered.groupBy("block"))
-    return stage(met.applyInArrow(_collect(order, blocks), COUNTED), "gram_counts")
+    return stage(met.applyInArrow(_collect(order, ranges), COUNTED), "gram_counts")
 
 
 def _estimates(counts: np.ndarray, sizes: np.ndarray, total: float, distinct: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,12 +4,33 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from lexiflow.llm.catalog import op4_scoring
 from lexiflow.llm.language import held_out
-from lexiflow.llm.scoring import BUCKETS, corpus_size, count_grams, learn_weights, score
+from lexiflow.llm.scoring import (
+    ASK,
+    BUCKETS,
+    Answers,
+    Grams,
+    _answer,
+    _ask,
+    _ask_open,
+    _names,
+    corpus_size,
+    count_grams,
+    learn_weights,
+    score,
+    squeeze,
+    squeeze_sorted,
+    unsqueeze,
+    unsqueeze_sorted,
+)
 
 SCHEMA = "doc_id long, text string, counts string, block int"
 
@@ -69,7 +90,7 @@ def documents(n, seed=2):
     return rows
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_agrees_with_dictionaries(spark, order):
     rows = documents(150) + [(500, None, None, None), (500, None, None, None), (None, "\x0b A\x1cb ", "x", 1), (7, "w1 " * 40_000, "x", 1)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -98,6 +119,29 @@ def test_size_of_blocks_changes_no_count(spark):
     assert one == many
 
 
+def test_longer_grams_are_asked_only_if_shorter_parts_are_shared():
+    zstd = zstandard.ZstdCompressor().compress
+
+    def block(number, texts, trained):
+        return pa.table({"block": [number], "doc_id": [[0]], "trained": [trained], "sizes": [[len(t) for t in texts]], "bodies": [zstd(b"".join(texts))]})
+
+    texts = {0: [b"a b c d e", b"x y z"], 1: [b"q a b c r"]}
+    trained = {0: [True, True], 1: [False]}
+    packs = {n: block(n, texts[n], trained[n]) for n in texts}
+    first = pa.concat_tables(_ask(3, 1)(p) for p in packs.values())
+    answers = pa.concat_tables(_answer(first.filter(pc.equal(first["question"], q))) for q in (0, 1))
+    mine = {n: answers.filter(pc.equal(answers["block"], n)) for n in texts}
+    second = {n: _ask_open(2, 1)(packs[n], mine[n]) for n in texts}
+    keys = {n: len(np.concatenate([unsqueeze_sorted(k) for k in t["keys"].to_pylist()] or [[]])) for n, t in second.items()}
+    assert keys == {0: 1, 1: 1}  # a b c alone: the pairs a b and b c stand in both blocks
+    answered = _answer(pa.concat_tables(second.values()))
+    for n in texts:
+        grams = Grams(texts[n], np.array(trained[n]), 3)
+        both = Answers(grams, pa.concat_tables([mine[n], answered.filter(pc.equal(answered["block"], n))]), 1)
+        total, _, shared = both.totals(2, both.totals(1, None)[2])
+        assert total.sum() == (10 if n == 0 else 1) and shared.sum() == 1
+
+
 def test_nothing_to_learn_from(spark):
     assert score(spark.createDataFrame([], SCHEMA), ~held_out(10)).count() == 0
     alone = score(spark.createDataFrame([(1, "a b", "x", 1)], SCHEMA), F.lit(False)).first()
@@ -114,11 +158,6 @@ def test_the_query_uses_trigrams(spark, tmp_path):
 
 
 def test_totals_beyond_32_bits():
-    import numpy as np
-    import pyarrow as pa
-
-    from lexiflow.llm.scoring import ASK, _answer, _names, squeeze, squeeze_sorted, unsqueeze
-
     keys, most = np.array([7, 9], np.uint64), np.array([2**32 - 1, 1], np.uint32)
     rows = [(0, 0, block, squeeze_sorted(keys), squeeze(most)) for block in range(3)]
     asked = pa.Table.from_arrays([pa.array(c) for c in zip(*rows)], names=_names(ASK))
