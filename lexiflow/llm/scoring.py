@@ -7,7 +7,8 @@ blocks of the training text whose own counts are deleted from the totals.
 
 Counting and scoring ask one question, "how often does this n-gram occur in training?", for
 every position. Documents are dealt into blocks by a hash. A block sends each distinct
-n-gram once, as a 64-bit hash with its own training count, packed by hash range; the
+n-gram once, as a hash (64 bits of words, 56 of longer n-grams: of 10^10 different ones
+one in seven million meets another) with its own training count, packed by hash range; the
 ranges add up the counts and answer in the same packing, with the mark whether another
 block sent the n-gram too; the block puts the answers back at their positions. Words and
 pairs are asked in the first round, longer n-grams in a round each, and only those whose
@@ -37,13 +38,14 @@ from lexiflow.session import stage
 
 ORDER = 2
 BLOCK_CHARS = 8_000_000
-RANGE_BLOCKS = 4  # blocks of keys that a range answers, about
+RANGE_BLOCKS = 2  # blocks of keys that a range answers, about
 FIRST_ROUND = 2  # orders asked at once
 HELD_BYTES = 16 << 20  # of texts in a task before they are sent to their blocks
 PACK_TOKENS = 200_000
 ROUNDS = 12
 BUCKETS = 40
 DELETED = 10  # every tenth block is held out for the weights
+LONG_HASH = np.uint64(0xFFFFFFFFFFFFFF00)  # bits kept of the hashes of several words
 END, BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -96,7 +98,7 @@ class Grams:
             place = np.arange(len(self.tokens)) - self.first[self.text]
             earlier[place < n] = BEGIN
             context = mix(context + earlier * factors[n])
-            self.grams.append(mix(context ^ (self.tokens * factors[0])))
+            self.grams.append(mix(context ^ (self.tokens * factors[0])) & LONG_HASH)
 
     def asked(self, question: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of one order: the distinct hashes, the place of each position's, and training counts."""
@@ -119,7 +121,7 @@ def _bounds(keys: np.ndarray, ranges: int) -> np.ndarray:
 
 PACKED = "block int, doc_id array<long>, trained array<boolean>, sizes array<int>, bodies binary"
 ASK = "question int, part int, block int, keys binary, counts binary"
-ANSWER = "question int, part int, block int, counts binary, shared binary, n_distinct long"
+ANSWER = "question int, part int, block int, n int, shared binary, counts binary, n_distinct long"
 COUNTED = (
     "doc_id array<long>, trained array<boolean>, sizes array<long>, counts binary, deleted binary, "
     "n_deleted long, n_distinct long, n_trained long"
@@ -197,31 +199,45 @@ def _ask(order: int, ranges: int):
 
 
 class Answers:
-    """Total counts of the n-grams of a block, order by order, from the answers of all rounds so far."""
+    """What the rounds so far answered on the n-grams of a block, order by order."""
 
     def __init__(self, grams: Grams, answers: pa.Table, ranges: int):
         self.grams, self.ranges = grams, ranges
-        columns = (answers.column(x).to_pylist() for x in ("question", "part", "counts", "shared"))
-        self.got = {(q, p): (counts, shared) for q, p, counts, shared in zip(*columns)}
-
-    def _joined(self, question: int) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.got[question, p] for p in range(self.ranges) if (question, p) in self.got]
-        counts = [unsqueeze(c, np.int64) for c, _ in found]
-        marks = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(c)).astype(bool) for c, (_, m) in zip(counts, found)]
-        return np.concatenate(counts or [np.zeros(0, np.int64)]), np.concatenate(marks or [np.zeros(0, bool)])
-
-    def totals(self, question: int, shared: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """At each position: total count, count without the block, and whether another block holds the n-gram.
-
-        shared: the last of these of the order before; None in the first round.
+        columns = (answers.column(x).to_pylist() for x in ("question", "part", "n", "shared", "counts"))
+        self.got = {(q, p): rest for q, p, *rest in zip(*columns)}
+
+    def _found(self, question: int) -> list[tuple[int, bytes, bytes]]:
+        return [self.got[question, p] for p in range(self.ranges) if (question, p) in self.got]
+
+    def shared(self, question: int, keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Whether another block holds each of the keys."""
+        out = np.zeros(len(keys), bool)
+        marks = [np.unpackbits(np.frombuffer(marks, np.uint8), count=n) for n, marks, _ in self._found(question)]
+        out[asked] = np.concatenate(marks) if marks else False
+        return out
+
+    def totals(self, question: int, own: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        out = own.astype(np.int64)
+        counts = [unsqueeze(packed, np.int64) for _, _, packed in self._found(question)]
+        if counts:
+            out[asked] = np.concatenate(counts)
+        return out
+
+    def orders(self, questions: range) -> Iterator[tuple]:
+        """Of each order: keys, place of each position's, own counts, and marks of the keys asked.
+
+        The orders are those of one round and of the rounds that follow it.
         """
-        keys, at, own = self.grams.asked(question)
-        total, marks = own.astype(np.int64), np.zeros(len(keys), bool)
-        asked = np.ones(len(keys), bool) if shared is None else np.zeros(len(keys), bool)
-        if shared is not None:
-            asked[at[self.grams.open(shared)]] = True
-        total[asked], marks[asked] = self._joined(question)
-        return total[at], (total - own)[at], marks[at]
+        shared = None
+        for question in questions:
+            keys, at, own = self.grams.asked(question)
+            asked = np.ones(len(keys), bool)
+            if question >= FIRST_ROUND:
+                asked[:] = False
+                asked[at[self.grams.open(shared)]] = True
+            yield question, keys, at, own, asked
+            if question + 1 >= FIRST_ROUND and question + 1 in questions:
+                shared = self.shared(question, keys, asked)[at]
 
 
 def _ask_open(question: int, ranges: int):
@@ -229,14 +245,10 @@ def _ask_open(question: int, ranges: int):
 
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         _, trained, bodies = _unpack(packs)
-        grams = Grams(bodies, trained, question + 1)
-        answered, shared = Answers(grams, answers, ranges), None
-        for shorter in range(FIRST_ROUND - 1, question):
-            shared = answered.totals(shorter, shared)[2]
-        keys, at, own = grams.asked(question)
-        open_keys = np.zeros(len(keys), bool)
-        open_keys[at[grams.open(shared)]] = True
-        return _questions(packs.column("block")[0].as_py(), ranges, [(question, keys[open_keys], own[open_keys])])
+        answered = Answers(Grams(bodies, trained, question + 1), answers, ranges)
+        for number, keys, _, own, asked in answered.orders(range(FIRST_ROUND - 1, question + 1)):
+            if number == question:
+                return _questions(packs.column("block")[0].as_py(), ranges, [(question, keys[asked], own[asked])])
 
     return run
 
@@ -245,15 +257,16 @@ def _answer(asked: pa.Table) -> pa.Table:
     """Total counts of the keys of one range, in the packing they came in, and marks of those of several blocks."""
     keys = [unsqueeze_sorted(k) for k in asked.column("keys").to_pylist()]
     counts = np.concatenate([unsqueeze(c, np.uint32) for c in asked.column("counts").to_pylist()])
-    ends = np.cumsum([len(k) for k in keys])[:-1]
+    sizes = [len(k) for k in keys]
+    ends = np.cumsum(sizes)[:-1]
     _, at, blocks = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     total = np.zeros(len(blocks), np.int64)
-    np.add.at(total, at, counts)
+    np.add.at(total, at, counts.astype(np.int64))
     parts = [squeeze(p) for p in np.split(total[at], ends)]
     marks = [np.packbits(p).tobytes() for p in np.split((blocks > 1)[at], ends)]
     distinct = [int((total > 0).sum())] + [0] * (len(parts) - 1)
     columns = [asked.column("question"), asked.column("part"), asked.column("block")]
-    columns += [pa.array(parts, pa.binary()), pa.array(marks, pa.binary()), pa.array(distinct, pa.int64())]
+    columns += [pa.array(sizes, pa.int32()), pa.array(marks, pa.binary()), pa.array(parts, pa.binary()), pa.array(distinct, pa.int64())]
     return pa.Table.from_arrays(columns, names=_names(ANSWER))
 
 
@@ -261,13 +274,13 @@ def _collect(order: int, ranges: int):
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         ids, trained, bodies = _unpack(packs)
         grams = Grams(bodies, trained, order)
-        answered, shared = Answers(grams, answers, ranges), None
+        answered = Answers(grams, answers, ranges)
         distinct = sum(n for q, n in zip(*(answers.column(x).to_pylist() for x in ("question", "n_distinct"))) if q == 0)
         counts, deleted = [], []
-        for question in range(order):
-            total, rest, shared = answered.totals(question, None if question < FIRST_ROUND else shared)
-            counts.append(total)
-            deleted.append(rest)
+        for question, _, at, own, asked in answered.orders(range(order)):
+            total = answered.totals(question, own, asked)
+            counts.append(total[at])
+            deleted.append((total - own)[at])
         counts, deleted = np.stack(counts), np.stack(deleted)
         learn = packs.column("block")[0].as_py() % DELETED == 0
         own_tokens = int(grams.trained.sum())
@@ -301,7 +314,8 @@ def count_grams(docs: DataFrame, trained, order: int = ORDER, block_chars: int =
     asked = dealt.groupBy("block").applyInArrow(_ask(order, ranges), ASK)
     answered = asked.groupBy("question", "part").applyInArrow(_answer, ANSWER)
     for question in range(FIRST_ROUND, order):
-        met = dealt.groupBy("block").cogroup(answered.groupBy("block"))
+        marks = answered.filter(F.col("question") >= FIRST_ROUND - 1).withColumn("counts", F.lit(None).cast("binary"))
+        met = dealt.groupBy("block").cogroup(marks.groupBy("block"))
         asked = met.applyInArrow(_ask_open(question, ranges), ASK)
         answered = answered.union(asked.groupBy("question", "part").applyInArrow(_answer, ANSWER))
     met = dealt.groupBy("block").cogroup(answered.groupBy("block"))

@@ -138,8 +138,9 @@ def test_longer_grams_are_asked_only_if_shorter_parts_are_shared():
     for n in texts:
         grams = Grams(texts[n], np.array(trained[n]), 3)
         both = Answers(grams, pa.concat_tables([mine[n], answered.filter(pc.equal(answered["block"], n))]), 1)
-        total, _, shared = both.totals(2, both.totals(1, None)[2])
-        assert total.sum() == (10 if n == 0 else 1) and shared.sum() == 1
+        *_, (question, keys, at, own, asked) = both.orders(range(3))
+        total = both.totals(question, own, asked)[at]
+        assert total.sum() == (10 if n == 0 else 1) and both.shared(question, keys, asked).sum() == 1
 
 
 def test_nothing_to_learn_from(spark):
