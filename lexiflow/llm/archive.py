@@ -5,18 +5,28 @@ and returns a manifest row per archive. Only archives in the manifest of a succe
 are read, so lost or repeated tasks leave no trace in the result.
 
 Reading: archives are split by byte range; a record belongs to the split it begins in. A
-record is checked: gzip member, version line, length, end mark and payload digest. After a
+record is checked: gzip member, version line, length, end mark, and block and payload
+digests where it has any (SHA-1, SHA-256 or MD5, hexadecimal or base 32; the payload digest
+not under a transfer encoding, where tools differ). Records of all types are read, from
+any writer: what follows the HTTP headers is the payload, without any the whole block; ids
+and dates come back as written, page numbers only from this module's own headers; a missing
+payload digest is computed, unless it is a revisit's, which is null then. After a
 failed check the reader searches for the next member (or, in plain archives, version line)
 that passes, goes on from there, and logs the bytes between as a gap with the reason.
 
 Of records with equal payloads of at least MIN_SHARED bytes, those of the largest page_id
 are responses; others are revisits, which refer to it and hold no payload. Null html is an
-empty payload. Null ids and urls are left out of the headers and read back as null.
+empty payload. Null ids and urls are left out of the headers and read back as null. Repeated
+rows are records of their own; no pages give no archives and no records. A record is in
+memory as a whole, so the longest text bounds a task's need.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -38,6 +48,7 @@ BATCH_BYTES = 4 << 20
 DATE = "1970-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
+HEAD_BYTES = 1 << 20  # longer headers are damage
 GZIP, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 MANIFEST = "path string, bytes long, records long"
 
@@ -78,7 +89,29 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def _page_number(value: str | None) -> int | None:
-    return int(value.removeprefix("<urn:page:").removesuffix(">")) if value else None
+    """The page of one of this module's names; names of other writers are no pages."""
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", value or "")
+    return int(found[1]) if found else None
+
+
+def _digest(value: str | None) -> tuple[str, str] | None:
+    """Algorithm and hexadecimal form of a digest header; None without a digest that can be read."""
+    name, _, text = (value or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("sha1", "sha256", "md5"):
+        return None
+    text, size = text.strip(), hashlib.new(name).digest_size
+    if len(text) == 2 * size and re.fullmatch(r"[0-9A-Fa-f]+", text):
+        return name, text.lower()
+    try:
+        raw = base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except binascii.Error:
+        return None
+    return (name, raw.hex()) if len(raw) == size else None
+
+
+def _differs(digest: tuple[str, str] | None, data: bytes) -> bool:
+    return digest is not None and hashlib.new(digest[0], data).hexdigest() != digest[1]
 
 
 def decode_record(data: bytes) -> tuple[dict, int]:
@@ -89,37 +122,49 @@ def decode_record(data: bytes) -> tuple[dict, int]:
     if head_end < 0:
         raise ValueError("headers do not end")
     fields = _fields(data[:head_end])
-    try:
-        size = int(fields["content-length"])
-    except (KeyError, ValueError):
-        raise ValueError("no content length") from None
+    size = _length(fields)
     start = head_end + len(END)
     block, after = data[start : start + size], start + size
-    if size < 0 or len(block) < size or data[after : after + 4] != END:
+    if len(block) < size or data[after : after + 4] != END:
         raise ValueError("record does not end where its length says")
-    http_end = block.find(END)
-    if http_end < 0:
-        raise ValueError("no HTTP headers")
-    payload = block[http_end + len(END) :]
-    http = _fields(block[:http_end])
-    kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
-        raise ValueError("payload digest differs")
-    try:
-        record = {
-            "page_id": _page_number(fields.get("warc-page-id")),
-            "url": fields.get("warc-target-uri"),
-            "record_type": kind,
-            "payload_bytes": int(http["content-length"]),
-            "payload_digest": digest,
-            "refers_to": _page_number(fields.get("warc-refers-to")),
-            "payload": payload if kind == "response" else None,
-        }
-    except (KeyError, ValueError):
-        raise ValueError("header field is not valid") from None
+    if _differs(_digest(fields.get("warc-block-digest")), block):
+        raise ValueError("block digest differs")
+    kind, digest = fields.get("warc-type"), _digest(fields.get("warc-payload-digest"))
+    http, payload = {}, block
+    if fields.get("content-type", "").lower().startswith("application/http") or block.startswith(b"HTTP/"):
+        http_end = block.find(END)
+        if http_end >= 0:
+            http, payload = _fields(block[:http_end]), block[http_end + len(END) :]
+    if kind == "revisit":
+        length, payload = http.get("content-length", ""), None
+        n_bytes = int(length) if re.fullmatch(r"\d{1,18}", length) else None
+    else:
+        n_bytes = len(payload)
+        if "transfer-encoding" not in http and _differs(digest, payload):
+            raise ValueError("payload digest differs")
+    if digest is None or digest[0] != "sha1":
+        digest = None if payload is None else ("sha1", hashlib.sha1(payload).hexdigest())
+    record = {
+        "page_id": _page_number(fields.get("warc-page-id")),
+        "url": fields.get("warc-target-uri"),
+        "record_type": kind,
+        "payload_bytes": n_bytes,
+        "payload_digest": digest[1] if digest else None,
+        "refers_to": _page_number(fields.get("warc-refers-to")),
+        "record_id": fields.get("warc-record-id"),
+        "date": fields.get("warc-date"),
+        "payload": payload,
+    }
     return record, after + 4
 
 
+def _length(fields: dict[str, str]) -> int:
+    size = fields.get("content-length", "")
+    if not re.fullmatch(r"\d{1,18}", size):
+        raise ValueError("no content length")
+    return int(size)
+
+
 # Salvage.
 
 
@@ -176,12 +221,13 @@ def _plain(source: Source, start: int) -> tuple[dict, int]:
     """The record of a plain archive at start, and where it ends."""
     if source.read(start, len(VERSION)) != VERSION:
         raise ValueError("no version line")
-    head_end = source.find(END, start)
-    fields = _fields(source.read(start, head_end - start))
-    size = fields.get("content-length", "")
-    if not size.isdigit():
-        raise ValueError("no content length")
-    record, used = decode_record(source.read(start, head_end - start + 8 + int(size)))
+    head_end = source.read(start, HEAD_BYTES).find(END)
+    if head_end < 0:
+        raise ValueError("headers do not end")
+    size = head_end + len(END) + _length(_fields(source.read(start, head_end)))
+    if source.read(start + size, len(END)) != END:  # before a damaged length is read in one piece
+        raise ValueError("record does not end where its length says")
+    record, used = decode_record(source.read(start, size + len(END)))
     return record, start + used
 
 
@@ -267,7 +313,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
 
 FOUND = (
     "path string, start long, end long, gap string, page_id long, url string, record_type string, "
-    "payload_bytes long, payload_digest string, refers_to long, payload binary"
+    "payload_bytes long, payload_digest string, refers_to long, record_id string, date string, payload binary"
 )
 
 
@@ -281,7 +327,7 @@ def read_archives(
     schema = pa.schema(
         [("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gap", pa.string()), ("page_id", pa.int64()),
          ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-         ("refers_to", pa.int64()), ("payload", pa.binary())]
+         ("refers_to", pa.int64()), ("record_id", pa.string()), ("date", pa.string()), ("payload", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +350,9 @@ def read_archives(
 
     read = stage(splits.mapInArrow(run, FOUND), "archive_rows")
     records = read.filter("gap is null").select(
-        "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload", "path", "start", "end"
-    )
+        "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date", "payload",
+        "path", "start", "end",
+    )
     return records, read.filter("gap is not null").select("path", "start", "end", F.col("gap").alias("reason"))
 
 

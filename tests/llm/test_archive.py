@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import io
@@ -54,6 +55,64 @@ def test_damage_costs_only_the_damaged_records(plain):
             assert sum(b - a for a, b in gaps) == sum(offsets[k + 1] - offsets[k] for k in lost)
 
 
+def foreign(kind, block, **headers):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Date: 2020-02-02T00:00:00Z", f"WARC-Record-ID: <urn:uuid:{kind}-{len(block)}>"]
+    lines += [f"{k.replace('_', '-')}: {v}" for k, v in headers.items()] + [f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = {"Content_Type": "application/http; msgtype=response", "WARC_Target_URI": "http://x/"}
+BODY = b"<p>hello</p>\r\n\r\nmore"
+ANSWER = b"HTTP/1.1 200 OK\r\nServer: s\r\n\r\n" + BODY
+BASE32 = base64.b32encode(hashlib.sha1(BODY).digest()).decode()
+CHUNKED = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n2\r\nab\r\n0\r\n\r\n"
+FOREIGN = [
+    (foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"), b"software: x\r\n"),
+    (foreign("response", ANSWER, WARC_Payload_Digest="sha1:" + BASE32, **HTTP), BODY),
+    (foreign("response", ANSWER + b"!", **HTTP), BODY + b"!"),
+    (foreign("response", ANSWER, WARC_Payload_Digest="sha-256:" + hashlib.sha256(BODY).hexdigest().upper(), **HTTP), BODY),
+    (foreign("response", ANSWER, WARC_Payload_Digest="blake3:zz", **HTTP), BODY),
+    (foreign("response", CHUNKED, WARC_Payload_Digest="sha1:" + "A" * 32, **HTTP), b"2\r\nab\r\n0\r\n\r\n"),
+    (foreign("response", b"HTTP/1.1 200 OK", **HTTP), b"HTTP/1.1 200 OK"),
+    (foreign("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", Content_Type="application/http; msgtype=request"), b""),
+    (foreign("metadata", b"", WARC_Refers_To="<urn:uuid:response-1>"), b""),
+    (foreign("revisit", b"", WARC_Payload_Digest="sha1:" + BASE32, WARC_Refers_To="<urn:uuid:response-1>"), None),
+]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_records_of_other_writers(plain):
+    parts = [r if plain else gzip.compress(r) for r, _ in FOREIGN]
+    data = b"".join(parts)
+    for splits in (None, 100):
+        out = []
+        for start in range(0, len(data), splits or len(data)):
+            out += salvage(Source(io.BytesIO(data), len(data)), plain, start, start + splits if splits else None)
+        assert [r["payload"] for _, _, r, _ in out] == [payload for _, payload in FOREIGN]
+    records = [r for _, _, r, _ in out]
+    assert [r["record_type"] for r in records][::3] == ["warcinfo", "response", "response", "revisit"]
+    assert all(r["payload_digest"] == hashlib.sha1(r["payload"]).hexdigest() for r in records[:5])
+    assert (records[9]["payload_digest"], records[9]["payload_bytes"]) == (hashlib.sha1(BODY).hexdigest(), None)
+    assert {r["date"] for r in records} == {"2020-02-02T00:00:00Z"} and records[0]["record_id"] == "<urn:uuid:warcinfo-13>"
+    assert {(r["page_id"], r["refers_to"]) for r in records} == {(None, None)}
+    lost = bytearray(data)
+    at = len(parts[0]) + len(parts[1]) - 12
+    lost[at : at + 4] = b"\0\0\0\0"
+    out = list(salvage(Source(io.BytesIO(bytes(lost)), len(data)), plain))
+    assert [(a, b) for a, b, r, _ in out if r is None] == [(len(parts[0]), len(parts[0]) + len(parts[1]))] and len(out) == 10
+
+
+def test_wrong_digests_and_lengths_are_gaps():
+    wrong = foreign("resource", b"abc", WARC_Block_Digest="sha1:" + "0" * 40)
+    long = foreign("resource", b"abc").replace(b"Content-Length: 3", b"Content-Length: 999999999999999999")
+    kept = foreign("resource", b"abc", WARC_Block_Digest="md5:" + hashlib.md5(b"abc").hexdigest())
+    data = wrong + kept + long + kept
+    out = list(salvage(Source(io.BytesIO(data), len(data)), True))
+    assert [(bool(r), reason) for _, _, r, reason in out] == [
+        (False, "block digest differs"), (True, None), (False, "record does not end where its length says"), (True, None)
+    ]
+
+
 def test_missing_and_inserted_bytes():
     data, offsets = archive(10)
     cut = data[: offsets[3] + 20] + data[offsets[4] - 5 :]
