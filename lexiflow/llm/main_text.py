@@ -10,7 +10,8 @@ passages of its own are text, however often they recur. The text of a page is th
 
 Blocks are separated by one line feed; white space inside a block is one space. Character
 references are decoded. Tags may be left open, misnested or broken; a comment or script
-that never ends takes the rest of the page. Null or empty html has an empty text. Pages
+that never ends takes the rest of the page. Nested elements, and closing
+tags of elements that are not open, take linear time. Null or empty html has an empty text. Pages
 without a host are one host. Repeated rows give repeated results.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,7 +84,7 @@ class Element:
 def parse(page: str) -> Element:
     """The element tree of a page; texts are decoded strings among the children."""
     root = Element("#page", "")
-    stack, at = [root], 0
+    stack, at, open_tags = [root], 0, Counter()
     while (match := TOKEN.search(page, at)) is not None:
         if match.start() > at:
             stack[-1].children.append(entities.unescape(page[at : match.start()]))
@@ -92,12 +94,11 @@ def parse(page: str) -> Element:
             continue
         name = name.lower()
         if end:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
-            if depth and not (name not in BLOCK and any(e.tag in BLOCK for e in stack[depth + 1 :])):
-                del stack[depth:]
+            if open_tags[name] and (depth := _opened(stack, name)):
+                _cut(stack, depth, open_tags)
             continue
         if name in BLOCK:
-            _close(stack, name)
+            _close(stack, name, open_tags)
         marks = " ".join(m[1].strip("\"'").lower() for m in sorted(MARKS.findall(rest))) if "=" in rest else ""
         element = Element(name, marks)
         stack[-1].children.append(element)
@@ -107,21 +108,41 @@ def parse(page: str) -> Element:
             at = close.end() if close else len(page)
         elif name not in VOID and not (rest.endswith("/") and name not in BLOCK):
             stack.append(element)
+            open_tags[name] += 1
     if at < len(page):
         stack[-1].children.append(entities.unescape(page[at:]))
     return root
 
 
-def _close(stack: list[Element], name: str) -> None:
+def _opened(stack: list[Element], name: str) -> int:
+    """Where the open element that a closing tag ends stands; 0 if a block lies between."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag == name:
+            return i
+        if name not in BLOCK and stack[i].tag in BLOCK:
+            return 0
+    return 0
+
+
+def _cut(stack: list[Element], depth: int, open_tags: Counter) -> None:
+    """Close all open elements from depth on; every one is taken off once."""
+    for element in stack[depth:]:
+        open_tags[element.tag] -= 1
+    del stack[depth:]
+
+
+def _close(stack: list[Element], name: str, open_tags: Counter) -> None:
     """Close what an opening block element closes: a paragraph, or its own kind up to a parent."""
-    closed, parents = CLOSES.get(name, ("", ""))
+    closed, parents = (words.split() for words in CLOSES.get(name, ("", "")))
+    if not any(open_tags[tag] for tag in ("p", *closed)):
+        return
     for i in range(len(stack) - 1, 0, -1):
         tag = stack[i].tag
-        if tag == "p" or tag in closed.split():
-            del stack[i:]
-            if not closed:
+        if tag == "p" or tag in closed:
+            _cut(stack, i, open_tags)
+            if not closed or not any(open_tags[tag] for tag in ("p", *closed)):
                 return
-        elif tag in parents.split() or (not closed and tag in BLOCK) or tag in ("table", "article", "main", "body"):
+        elif tag in parents or (not closed and tag in BLOCK) or tag in ("table", "article", "main", "body"):
             return
 
 
@@ -211,12 +232,28 @@ def main_text(page: str, template: np.ndarray) -> str:
     return text_of(parts or [root], bool(parts), template)
 
 
+def _above(root: Element, own: set[int]) -> set[int]:
+    """The elements that hold one of own, each marked once."""
+    order, todo = [], [(root, None)]
+    while todo:
+        element, parent = todo.pop()
+        order.append((element, parent))
+        if id(element) not in own:
+            todo += [(c, element) for c in element.children if isinstance(c, Element)]
+    above: set[int] = set()
+    for element, parent in reversed(order):  # children before parents
+        if parent is not None and (id(element) in own or id(element) in above):
+            above.add(id(parent))
+    return above
+
+
 def subtrees(page: str) -> tuple[int, set[int]]:
     """Digest of the main content (of all text, without an article), and those of the subtrees that may be template."""
     root = parse(page)
     _hash(root)
     parts = _main_parts(root)
     own = {id(p) for p in parts}
+    above = _above(root, own) if parts else own
     found, texts, todo = set(), [], [root]
     while todo:
         element = todo.pop()
@@ -225,7 +262,7 @@ def subtrees(page: str) -> tuple[int, set[int]]:
                 texts.append(" ".join(child.split()))
             elif id(child) not in own:
                 todo.append(child)
-                if child.tag not in ("html", "body", "head") and not (parts and _holds(child, own)):
+                if child.tag not in ("html", "body", "head") and id(child) not in above:
                     found.add(child.digest)
     todo = list(parts)
     while todo:
@@ -238,16 +275,6 @@ def subtrees(page: str) -> tuple[int, set[int]]:
     return xxhash.xxh64_intdigest(content) >> 1, found
 
 
-def _holds(element: Element, own: set[int]) -> bool:
-    todo = [element]
-    while todo:
-        node = todo.pop()
-        if id(node) in own:
-            return True
-        todo += [c for c in node.children if isinstance(c, Element)]
-    return False
-
-
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, digest) of the subtrees on at least min_pages pages of different main content."""
 

@@ -1,6 +1,8 @@
+import time
+
 import numpy as np
 
-from lexiflow.llm.main_text import extract, main_text, site_templates
+from lexiflow.llm.main_text import _above, _main_parts, extract, main_text, parse, site_templates, subtrees
 
 SCHEMA = "page_id long, url string, html string, text string, host int"
 NONE = np.zeros(0, np.int64)
@@ -30,6 +32,29 @@ def test_broken_markup():
     assert main_text("", NONE) == "" and main_text("&#65;&eacute;&bogus;", NONE) == "Aé&bogus;"
 
 
+def test_deep_pages_take_linear_time():
+    deep = "<div>" * 8000 + "<article>x</article>" + "</div>" * 8000
+    stray = "<div>" * 8000 + "</b></span></section>" * 8000
+    items = "<ul>" * 4000 + "<li>a" * 4000
+    begin = time.process_time()
+    assert subtrees(deep)[1] == set() and main_text(deep, NONE) == "x"
+    assert len(subtrees(stray)[1]) == 8000 and main_text(stray, NONE) == ""
+    assert main_text(items, NONE).count("a") == 4000
+    assert time.process_time() - begin < 5
+
+
+def test_elements_around_the_main_parts():
+    root = parse("<body><div id=o><div id=i><article>a</article></div><p>b</p></div><div id=l><b>c</b></div><article><div>d</div></article>")
+    parts = {id(p) for p in _main_parts(root)}
+
+    def holds(element):
+        inner = [c for c in element.children if not isinstance(c, str) and id(c) not in parts]
+        below = set().union(*map(holds, inner))
+        return below | {id(element)} if below or parts & {id(c) for c in element.children} else below
+
+    assert len(parts) == 2 and _above(root, parts) == holds(root)
+
+
 def site(n, host, extra=""):
     """Pages without an article: own paragraphs inside a common frame."""
     frame = "<div><span>Welcome to %s</span><em>Slogan</em></div>" % host
