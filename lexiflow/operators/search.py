@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import patterns as P
 from lexiflow.functions import text as X
-from lexiflow.operators.entities import token_spans
 from lexiflow.operators.joins import lookup_join
 from lexiflow.operators.ranks import number_rows
-from lexiflow.session import stage
+from lexiflow.session import spread, stage
 from lexiflow.sources.tables import ARTICLE_FIELDS
 
 TEXT_FIELDS = ("title", "journal", "abstract")
@@ -23,6 +24,8 @@ SCORE_DIGITS = 6
 TERMS_IN_FILTER = 2_000
 # Documents of one range: their set is the bits of a long.
 RANGE_DOCS = 64
+# Words made into postings at once.
+WORDS_AT_ONCE = 500_000
 
 
 def scan_index_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -53,35 +56,34 @@ def build_postings(
     documents: DataFrame,
     fields: Sequence[str] = TEXT_FIELDS,
     stop_words: Sequence[str] = P.SEARCH_STOP_WORDS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """(field, term, doc_id, freq, positions, offsets, doc_len).
 
     Stop words are not indexed but keep their position. The issn is one term with
-    neither positions nor offsets. Documents partitioned by id need no exchange
-    until the postings are written by field and term.
+    neither positions nor offsets. Columns of `keep` follow, one value for each id. The words
+    of a text stay together until they are postings, so that nothing larger than the texts is
+    sorted or exchanged; documents partitioned by id are not exchanged at all. Several
+    texts of one id are read beside each other, place by place.
     """
     texts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("body")) for f in fields])
-    rows = documents.select("doc_id", F.inline(texts))
-    spans = token_spans(rows, P.WORD_RUN, "doc_id", "field").withColumn("term", F.lower("token"))
-    kept = spans.where(_search_terms("term", stop_words)).withColumn(
-        "doc_len", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "field"))
-    )
-    occurrences = F.sort_array(F.collect_list(F.struct("pos", "start", "end")))
-    words = (
-        kept.groupBy("doc_id", "field", "term")
-        .agg(occurrences.alias("o"), F.first("doc_len").alias("doc_len"))
-        .select(
-            "field",
-            "term",
-            "doc_id",
-            F.size("o").cast("bigint").alias("freq"),
-            F.col("o.pos").alias("positions"),
-            F.arrays_zip(
-                F.col("o.start").alias("start"), F.col("o.end").alias("end")
-            ).alias("offsets"),
-            "doc_len",
-        )
-    )
+    rows = documents.select("doc_id", *keep, F.inline(texts))
+    bodies = rows.groupBy("doc_id", *keep, "field").agg(F.collect_list("body").alias("bodies"))
+    hits = F.transform("bodies", lambda b: X.matches(b, P.WORD_RUN))
+    gaps = F.transform("bodies", lambda b: F.transform(F.split(b, P.WORD_RUN, -1), F.length))
+    read = bodies.select("doc_id", *keep, "field", hits.alias("hits"), F.flatten(gaps).alias("gaps")).select(
+        "doc_id", *keep, "field",
+        F.transform("hits", F.size).alias("sizes"),
+        F.transform(F.flatten("hits"), F.lower).alias("terms"),
+        F.transform(F.flatten("hits"), F.length).alias("lengths"),
+        "gaps",
+    )
+    types = dict(documents.dtypes)
+    schema = ", ".join([
+        "field string", "term string", f"doc_id {types['doc_id']}", "freq bigint", "positions array<int>",
+        "offsets array<struct<start:int,end:int>>", "doc_len bigint", *(f"{name} {types[name]}" for name in keep),
+    ])
+    words = read.mapInArrow(_posted(frozenset(stop_words), tuple(keep)), schema)
     issn = documents.where(F.coalesce("issn", F.lit("")) != "").select(
         F.lit("issn").alias("field"),
         F.col("issn").alias("term"),
@@ -90,10 +92,62 @@ def build_postings(
         F.array().cast("array<int>").alias("positions"),
         F.array().cast("array<struct<start:int,end:int>>").alias("offsets"),
         F.lit(1).cast("bigint").alias("doc_len"),
+        *keep,
     )
     return words.unionByName(issn)
 
 
+def _lists(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
+
+
+def _posted(stop_words: frozenset[str], keep: tuple[str, ...]):
+    """Rows (doc_id, field, words and gaps of its texts) -> postings, by sorts of whole batches of words."""
+    names = ["field", "term", "doc_id", "freq", "positions", "offsets", "doc_len", *keep]
+
+    def post(rows: pa.RecordBatch) -> pa.RecordBatch:
+        counts = rows["sizes"].flatten().to_numpy()  # words of each text
+        text_row = np.repeat(np.arange(len(rows)), rows["sizes"].value_lengths().to_numpy())
+        begins = np.cumsum(counts) - counts
+        text = np.repeat(np.arange(len(counts)), counts)
+        row, pos = text_row[text], np.arange(len(text)) - begins[text]
+        length = rows["lengths"].flatten().to_numpy()
+        gap = rows["gaps"].flatten().to_numpy()[np.arange(len(text)) + text]  # a text has one gap more than words
+        order = np.lexsort((pos, row))
+        row, pos, length = row[order], pos[order], length[order]
+        end = np.cumsum(gap[order] + length)
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        end -= np.repeat(end[first] - gap[order][first] - length[first], np.diff(np.append(first, len(row))))
+        coded = rows["terms"].flatten().dictionary_encode()
+        code, spelled = coded.indices.to_numpy()[order], coded.dictionary
+        indexed = np.array([term not in stop_words for term in spelled.to_pylist()], bool)[code]
+        row, pos, start, end, code = (x[indexed] for x in (row, pos, end - length, end, code))
+        doc_len = np.bincount(row, minlength=len(rows))
+        order = np.lexsort((end, start, pos, code, row))
+        row, pos, start, end, code = (x[order] for x in (row, pos, start, end, code))
+        first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0))
+        of = pa.array(row[first])
+        places = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (start, end)], ["start", "end"])
+        columns = [
+            rows["field"].take(of), spelled.take(pa.array(code[first])), rows["doc_id"].take(of),
+            pa.array(np.diff(np.append(first, len(row)))), _lists(pa.array(pos.astype(np.int32)), first), _lists(places, first),
+            pa.array(doc_len[row[first]]), *(rows[name].take(of) for name in keep),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.cumsum([0, *batch["terms"].value_lengths().to_numpy()])
+            at = 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(words, words[at] + WORDS_AT_ONCE, side="right")) - 1)
+                if words[to] > words[at]:
+                    yield post(batch.slice(at, to - at))
+                at = to
+
+    return run
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     documents: DataFrame  # stored originals by folded id
@@ -110,27 +164,28 @@ def save_index(documents: DataFrame, path: str) -> SearchIndex:
     frequency and the shortest length bound the score of any document there, whatever the
     constants of a query; a long has a bit for each document that holds the term.
 
-    Documents lie in ranges of their id, postings in ranges of field, term and id: a lookup
-    opens the few files whose statistics hold the key, and the postings of a frequent
-    term are spread over several files.
+    Documents lie in ranges of their id: a lookup opens the few files whose statistics hold
+    the key. Postings are written where the texts are read, whole document ranges to a
+    file and in order of their term, so that no posting is exchanged; a search reads the pages
+    of its terms of every file.
     """
     spark = documents.sparkSession
     documents.repartitionByRange("id_key").sortWithinPartitions("id_key").write.parquet(f"{path}/documents")
     stored = spark.read.schema(documents.schema).parquet(f"{path}/documents")
     numbers = stage(number_rows(stored.select("doc_id").distinct(), "_n", "doc_id"), "doc-numbers")
     places = numbers.select("doc_id", F.floor(F.col("_n") / RANGE_DOCS).alias("range"), (F.col("_n") % RANGE_DOCS).cast("int").alias("place"))
-    postings = lookup_join(build_postings(stored), places, "doc_id")
-    ordered = postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id")
-    ordered.write.partitionBy("field").parquet(f"{path}/postings")
+    placed = spread(lookup_join(stored, places, "doc_id"), "range")
+    postings = build_postings(placed, keep=("range", "place")).sortWithinPartitions("field", "term", "doc_id")
+    postings.write.partitionBy("field").parquet(f"{path}/postings")
     saved = spark.read.parquet(f"{path}/postings")
     freqs = saved.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     freqs.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/doc-freqs")
     field_stats(saved).coalesce(1).write.parquet(f"{path}/stats")
-    impacts = saved.groupBy("field", "term", "range").agg(
+    cells = saved.select("field", "term", "range", "freq", "doc_len", "place").repartitionByRange("field", "term", "range")
+    impacts = cells.groupBy("field", "term", "range").agg(
         F.max("freq").alias("max_freq"), F.min("doc_len").alias("min_len"), F.expr("bit_or(shiftleft(1L, place))").alias("docs")
     )
-    impacts = impacts.repartitionByRange("field", "term", "range").sortWithinPartitions("field", "term", "range")
-    impacts.write.partitionBy("field").parquet(f"{path}/ranges")
+    impacts.sortWithinPartitions("field", "term", "range").write.partitionBy("field").parquet(f"{path}/ranges")
     return load_index(spark, path)
 
 

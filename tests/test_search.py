@@ -31,6 +31,29 @@ def test_postings(documents):
     }
 
 
+def test_words_of_a_text_are_not_exchanged(documents):
+    """Neither sorted by a window nor moved as rows of single words."""
+    plan = search.build_postings(documents.repartition(3, "doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 2  # documents once for the words, once for the issn
+
+
+def test_postings_of_texts_that_share_an_id(spark, monkeypatch):
+    """Places go by the words of all texts; batches of any size give the same."""
+    rows = [("S1", "A red fox, red", "1", "j", "b"), ("S1", "A red fox, red", "1", "j", None), ("S2", "Red. Élan", "1", "", "c c")]
+    names = "doc_id string, title string, issn string, journal string, abstract string"
+    documents = search.index_documents(spark.createDataFrame(rows, names))
+
+    def found():
+        got = search.build_postings(documents).where("field = 'title'").collect()
+        return {(r.doc_id, r.term): (r.freq, r.positions, [tuple(o) for o in r.offsets], r.doc_len) for r in got}
+
+    whole = found()
+    assert whole["S2", "élan"] == (1, [1], [(5, 9)], 2)
+    assert whole["S1", "fox"] == (2, [2, 2], [(11, 14), (15, 18)], 6)
+    monkeypatch.setattr(search, "WORDS_AT_ONCE", 1)
+    assert found() == whole
+
+
 def test_lookup(documents):
     assert tuples(search.index_size(documents)) == [(3,)]
     assert tuples(search.lookup_id(documents, "s2"), "doc_id") == [("S2",)]
