@@ -51,6 +51,16 @@ def save_report(
     )
 
 
+def save_files(texts: DataFrame, path: str, folder: str) -> None:
+    """A tree with one file for each row, in subfolders named by a column.
+
+    Every task puts its own files in their place (the committer's second algorithm); the first
+    would have the driver rename them all, one by one.
+    """
+    own = texts.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    own.partitionBy(folder).text(path)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Only a folder whose write was committed counts as saved."""
     jvm = spark.sparkContext._jvm

@@ -117,3 +117,11 @@ def test_named_table(spark, tmp_path):
     df = spark.range(4).select(F.col("id"))
     assert sinks.save_as_table(df, "four_rows", str(tmp_path / "t")).count() == 4
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_one_file_for_each_row_in_few_folders(spark, tmp_path):
+    texts = spark.createDataFrame([(f"<a>{i}</a>", f"{i % 3}") for i in range(20)], "x string, folder string").coalesce(2)
+    sinks.save_files(texts, str(tmp_path / "tree"), "folder")
+    files = list((tmp_path / "tree").rglob("*.txt"))
+    assert len(files) == 20 and len({f.parent for f in files}) == 3
+    assert sorted(f.read_text().strip() for f in files) == sorted(f"<a>{i}</a>" for i in range(20))
