@@ -137,3 +137,32 @@ def test_word_vectors(spark):
         exported.append(tuples(vectors.export_word_vectors(model)))
     assert [(term, len(vec)) for term, vec in exported[0]] == [("blue", 4), ("red", 4)]
     assert exported[0] == exported[1]
+
+
+def test_rounds_write_nothing_of_the_size_of_the_documents(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    a = draw.random((40, 9)) * (draw.random((40, 9)) < 0.5)
+    cells = spark.createDataFrame([(f"d{i}", int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "doc_id string, term_id long, weight double")
+    staged, keep = [], lsi.stage
+    monkeypatch.setattr(lsi, "stage", lambda df, name: staged.append(name) or keep(df, name))
+    model = lsi.lsi(cells.coalesce(2), 9, 4, rounds=1, block=4)
+    assert staged == ["rows", "v"]
+    _, values, turn = np.linalg.svd(a)
+    assert model.singular_values == pytest.approx(values[:4].tolist(), rel=1e-9)
+    vecs = np.array([r.vec for r in model.v.orderBy("term_id").collect()])
+    assert np.abs(vecs) == pytest.approx(np.abs(turn[:4].T), abs=1e-6)
+
+
+def test_vectors_meet_documents_in_order(spark):
+    """Rows with vectors are not exchanged: only the weights are, and one sum for each document."""
+    weights = spark.createDataFrame([(f"d{i % 7}", f"t{i % 5}", float(i)) for i in range(50)], "doc_id string, term string, weight double")
+    vecs = spark.createDataFrame([(f"t{i}", [float(i), 1.0]) for i in range(5)], "term string, vec array<float>")
+    means = vectors.doc_vectors_weighted(vectors.join_vectors_weights(vecs, weights))
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("BroadcastHashJoin") < plan.rindex("Exchange hashpartitioning")
+    assert plan[plan.index("MapInArrow") : plan.index("BroadcastHashJoin")].count("Exchange") == 0
+    got = {r.doc_id: r.embedding for r in means.collect()}
+    for d in range(7):
+        own = [(float(i), float(i % 5)) for i in range(50) if i % 7 == d]
+        total = sum(w for w, _ in own)
+        assert got[f"d{d}"] == pytest.approx([sum(w * x for w, x in own) / total, 1.0])
