@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from conftest import tuples
 from pyspark.sql import functions as F
@@ -208,3 +209,24 @@ def test_sentences_stemmed_by_vocabulary(corpus):
     df = corpus("The cats ran. CATS running!", "ponies")
     got = tokens.tokenize_sentences(df, "lower_stem")
     assert tuples(got) == [("d1", ["cat", "run", "!"]), ("d1", ["the", "cat", "ran", "."]), ("d2", ["poni"])]
+
+
+def test_annotated_by_columns_as_text_by_text(monkeypatch):
+    rows = [["The", "<", "cat"], None, [], ["|", ">"], ["Cat", "<>", "//<", "é"] * 3, ["a"]]
+    lowered = [row and [word.lower() for word in row] for row in rows]
+    known = {"cat": "|cat|noun|0|0>", "<": "|//<|noun|0|0>", "a": "|a|other|0|0>"}
+    terms, entries = pa.array(list(known)), pa.array(list(known.values()))
+    of_lists = pa.list_(pa.string())
+    for at_once in (1, 5, 1000):
+        monkeypatch.setattr(annotate, "TOKENS_AT_ONCE", at_once)
+        for a, b in ((0, 6), (1, 5), (2, 2)):
+            got = annotate.annotated_texts(pa.array(rows, of_lists)[a:b], pa.array(lowered, of_lists)[a:b], terms, entries)
+            assert got.to_pylist() == [annotate.annotated_text(t or [], w or [], known) for t, w in zip(rows[a:b], lowered[a:b])]
+
+
+def test_a_lexicon_of_half_a_million_words_goes_to_the_texts(spark, corpus, monkeypatch):
+    """The texts then keep their place: no row is made for a word of a document."""
+    monkeypatch.setattr(annotate, "lookup_join", None)
+    words = spark.range(600_000).selectExpr("concat('w', id) as term", "'NN' as penn_tag", "'w' as lemma")
+    got = annotate.annotate_tokens(corpus("W599999 x"), words)
+    assert tuples(got) == [("d1", "<W599999|w|noun|0|0> <x|x|other|0|0>")]
