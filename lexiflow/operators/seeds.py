@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Container
+from collections.abc import Callable, Container, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,6 +83,11 @@ def _masked(body: str, spans: list[tuple[int, int]], mask: str) -> str:
     return mask.join([*(body[a:start] for a, (start, _) in zip(ends, spans)), body[ends[-1] :]])
 
 
+def _rows(*columns: pa.Array) -> Iterator[tuple]:
+    """Rows of a batch, one at a time: Python's objects of a whole batch are some times its size."""
+    return (tuple(value.as_py() for value in row) for row in zip(*columns))
+
+
 def _with_heads(df: DataFrame, heads: DataFrame, length: int) -> tuple[DataFrame, Callable]:
     """df, and the set of heads for each of some rows: a shared one, or that of a column `_heads`.
 
@@ -123,8 +128,8 @@ def lexicon_matches(df: DataFrame, heads: DataFrame, length: int = 10) -> DataFr
 
     @F.arrow_udf("array<string>")
     def names(bodies: pa.Array, heads: pa.Array) -> pa.Array:
-        rows = zip(bodies.to_pylist(), heads.to_pylist())
-        return pa.array([[b[x:y] for x, y in name_spans(b or "", known(own), length)] for b, own in rows], pa.list_(pa.string()))
+        rows = _rows(bodies, heads)
+        return pa.array(([b[x:y] for x, y in name_spans(b or "", known(own), length)] for b, own in rows), pa.list_(pa.string()))
 
     return rows.select(F.explode(names("body", "_heads")).alias("match")).distinct()
 
@@ -135,8 +140,8 @@ def mask_names(df: DataFrame, heads: DataFrame, length: int = 10) -> DataFrame:
 
     @F.arrow_udf("string")
     def masked(bodies: pa.Array, heads: pa.Array) -> pa.Array:
-        rows = zip(bodies.to_pylist(), heads.to_pylist())
-        out = [b and _masked(b, name_spans(b, known(own), length), P.ENTITY_MASK) for b, own in rows]
+        rows = _rows(bodies, heads)
+        out = (b and _masked(b, name_spans(b, known(own), length), P.ENTITY_MASK) for b, own in rows)
         return pa.array(out, pa.string())
 
     return rows.withColumn("body", masked("body", "_heads")).drop("_heads")

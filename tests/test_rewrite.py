@@ -1,5 +1,7 @@
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from conftest import tuples
 from hypothesis import HealthCheck, given, settings
@@ -155,3 +157,12 @@ def test_many_heads_are_met_by_a_join(spark, corpus, terms, monkeypatch):
     plan = masked._jdf.queryExecution().executedPlan().toString()
     assert (bodies(masked), tuples(seeds.lexicon_matches(df, heads))) == want
     assert "regexp_replace" not in plan and want[0][0].startswith(P.ENTITY_MASK)
+
+
+def test_one_text_of_a_batch_stands_in_memory_at_a_time():
+    bodies = pa.array(["x" * 20_000] * 2_000)
+    tracemalloc.start()
+    longest = max(len(body) for body, own in seeds._rows(bodies, pa.nulls(2_000)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert longest == 20_000 and peak < 1_000_000
