@@ -1,3 +1,5 @@
+import math
+
 import pyarrow as pa
 import pytest
 from conftest import tuples
@@ -230,3 +232,19 @@ def test_a_lexicon_of_half_a_million_words_goes_to_the_texts(spark, corpus, monk
     words = spark.range(600_000).selectExpr("concat('w', id) as term", "'NN' as penn_tag", "'w' as lemma")
     got = annotate.annotate_tokens(corpus("W599999 x"), words)
     assert tuples(got) == [("d1", "<W599999|w|noun|0|0> <x|x|other|0|0>")]
+
+
+def test_tfidf_of_a_vocabulary_and_stored_totals(spark):
+    """Left-out terms count in the totals; a bag with totals is weighted without an exchange."""
+    bag = spark.createDataFrame(
+        [("d1", "a", 1), ("d1", "b", 3), ("d2", "a", 2), ("d3", "c", 1), ("d4", None, 0), (None, "a", 1)],
+        "doc_id string, term string, count long",
+    )
+    freqs = spark.createDataFrame([("b", 1), ("c", 1)], "term string, df long")
+    expected = [("d1", "b", pytest.approx(0.75 * math.log(5))), ("d3", "c", pytest.approx(math.log(5)))]
+    totals = weights.with_totals(bag)
+    assert tuples(weights.tfidf(bag, freqs)) == expected
+    found = weights.tfidf(totals, freqs, spark.createDataFrame([(5,)], "num_docs long"))
+    assert tuples(found) == expected
+    weighted = weights.tfidf(totals.localCheckpoint(), freqs, spark.createDataFrame([(5,)], "num_docs long"))
+    assert "Exchange hashpartitioning" not in weighted._jdf.queryExecution().executedPlan().toString()
