@@ -166,3 +166,40 @@ def test_vectors_meet_documents_in_order(spark):
         own = [(float(i), float(i % 5)) for i in range(50) if i % 7 == d]
         total = sum(w for w, _ in own)
         assert got[f"d{d}"] == pytest.approx([sum(w * x for w, x in own) / total, 1.0])
+
+
+def _random_cells(spark, docs, terms):
+    draw = np.random.default_rng(5)
+    a = draw.random((docs, terms)) * (draw.random((docs, terms)) < 0.3)
+    rows = [(f"d{i}", int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+    return a, spark.createDataFrame(rows, "doc_id string, term_id long, weight double")
+
+
+@pytest.mark.parametrize("held_bytes", [1, 600, 1 << 20])
+def test_cooccurrence_by_bands_and_by_tiles(spark, held_bytes):
+    a, cells = _random_cells(spark, 30, 23)
+    expected = {(i, j): v for i, row in enumerate(a.T @ a) for j, v in enumerate(row) if i <= j and v}
+    for dense_bytes in (0, 1 << 20):
+        got = {(r.i, r.j): r.value for r in lsi.gramian(cells, 4, 2, dense_bytes, held_bytes).collect()}
+        assert got == pytest.approx(expected)
+
+
+def test_cooccurrence_moves_sums_of_bands_and_not_pairs_of_blocks(spark, monkeypatch):
+    """One exchange of the sums of the tasks; documents are read where they are stored."""
+    _, cells = _random_cells(spark, 60, 9)
+    monkeypatch.setattr(lsi, "cell_blocks", None)
+    plan = lsi.gramian(cells)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortMergeJoin" not in plan
+
+
+def test_rounds_read_the_squared_matrix(spark, monkeypatch):
+    a, cells = _random_cells(spark, 40, 9)
+    both = []
+    for dense in (0, 1 << 20):
+        monkeypatch.setattr(lsi, "DENSE_BYTES", dense)
+        monkeypatch.setattr(lsi, "HELD_BYTES", 200)
+        if dense:
+            monkeypatch.setattr(lsi, "_squared_times", None)
+        both.append(lsi.lsi(cells, 9, 4, block=4).singular_values)
+    assert both[0] == pytest.approx(both[1], rel=1e-9)
+    assert both[1] == pytest.approx(np.linalg.svd(a)[1][:4].tolist(), rel=1e-9)
