@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.functions import patterns as P
+from lexiflow.session import scan_tasks
 
 
 def scan_xml(spark: SparkSession, root: str, name_pattern: str) -> DataFrame:
-    """Whole files under a directory tree whose name matches -> (file_name, path, x)."""
+    """Whole files under a directory tree whose name matches -> (file_name, path, x).
+
+    A scan plans a few small files to a task, as each counts as megabytes; here a task reads as many
+    as its bytes allow, or as the cores leave it.
+    """
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    return files.select(
+    return files.coalesce(scan_tasks(files)).select(
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("path"),
         F.col("value").alias("x"),

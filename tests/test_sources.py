@@ -125,3 +125,25 @@ def test_one_file_for_each_row_in_few_folders(spark, tmp_path):
     files = list((tmp_path / "tree").rglob("*.txt"))
     assert len(files) == 20 and len({f.parent for f in files}) == 3
     assert sorted(f.read_text().strip() for f in files) == sorted(f"<a>{i}</a>" for i in range(20))
+
+
+def test_a_file_of_each_row_without_a_committer(spark, tmp_path):
+    """The tree of Spark's writer, null and empty texts and odd folders too, and no checksum or attempt beside it."""
+    rows = spark.createDataFrame([("a\nb", "x"), ("ä", "x"), (None, "y=/%"), ("", None), ("c", "")], "x string, folder string").repartition(3)
+    sinks.save_files(rows, f"file://{tmp_path}/own", "folder")
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(f"{tmp_path}/spark")
+
+    def tree(root):
+        files = [p for p in (tmp_path / root).rglob("*") if p.is_file() and p.suffix == ".txt"]
+        return sorted((p.parent.name, p.read_bytes()) for p in files)
+
+    assert tree("own") == tree("spark") and len(tree("own")) == 5
+    assert not [p for p in (tmp_path / "own").rglob("*") if p.name.endswith(".crc") or "_temporary" in p.name]
+    read = xml.scan_xml(spark, f"{tmp_path}/own", r"\.txt$")
+    assert sorted(r.x for r in read.collect()) == ["\n", "\n", "a\nb\n", "c\n", "ä\n"]
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    sinks.save_files(spark.range(200).selectExpr("string(id) as x", "string(id % 4) as folder"), str(tmp_path / "t"), "folder")
+    found = xml.scan_xml(spark, str(tmp_path / "t"), r"\.txt$")
+    assert found.count() == 200 and found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
