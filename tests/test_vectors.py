@@ -203,3 +203,29 @@ def test_rounds_read_the_squared_matrix(spark, monkeypatch):
         both.append(lsi.lsi(cells, 9, 4, block=4).singular_values)
     assert both[0] == pytest.approx(both[1], rel=1e-9)
     assert both[1] == pytest.approx(np.linalg.svd(a)[1][:4].tolist(), rel=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_larger_tables_of_vectors_are_sent_and_not_sorted(spark, monkeypatch, kind):
+    """The same rows as by a broadcast; no vector is sorted or exchanged with a weight."""
+    weights = spark.createDataFrame([(f"d{i % 7}", f"t{i % 6}", float(i)) for i in range(60)] + [("d0", None, 1.0), (None, "t1", 2.0)], "doc_id string, term string, weight double")
+    given = [(f"t{i}", [float(i), 0.5, -1.0]) for i in range(4)] + [("t1", [7.0, 8.0, 9.0]), ("t4", None)]
+    vecs = spark.createDataFrame(given, f"term string, vec array<{kind}>").repartition(3)
+
+    def key(row):
+        return tuple(str(x) for x in row)
+
+    expected = sorted(vectors.join_vectors_weights(vecs, weights).collect(), key=key)
+    means = {r.doc_id: r.embedding for r in vectors.doc_vectors_weighted(vectors.join_vectors_weights(vecs, weights)).collect()}
+    for places in (vectors.PLACE_ROWS, 0):
+        monkeypatch.setattr(vectors, "PLACE_ROWS", places)
+        rows = vectors.by_document(weights)
+        met = vectors.vector_join(rows, vecs, "term", max_bytes=0).select("doc_id", "weight", "vec")
+        assert sorted(met.collect(), key=key) == expected and dict(met.dtypes)["vec"] == f"array<{kind}>"
+        sums = vectors.doc_vectors_weighted(met)
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan[: plan.rindex("MapInArrow")].replace("SortAggregate", "")
+        got = {r.doc_id: r.embedding for r in sums.collect()}
+        assert got.keys() == means.keys() and all(got[d] == pytest.approx(means[d]) for d in means)
+    none = vectors.vector_join(vectors.by_document(weights), vecs.where("false"), "term", max_bytes=-1)
+    assert none.count() == 0
