@@ -14,7 +14,7 @@ from lexiflow.functions import patterns as P
 from lexiflow.functions import text as X
 from lexiflow.operators.joins import lookup_join
 from lexiflow.operators.ranks import number_rows
-from lexiflow.session import spread, stage
+from lexiflow.session import shuffles_removed, spread, stage
 from lexiflow.sources.tables import ARTICLE_FIELDS
 
 TEXT_FIELDS = ("title", "journal", "abstract")
@@ -170,22 +170,23 @@ def save_index(documents: DataFrame, path: str) -> SearchIndex:
     of its terms of every file.
     """
     spark = documents.sparkSession
-    documents.repartitionByRange("id_key").sortWithinPartitions("id_key").write.parquet(f"{path}/documents")
-    stored = spark.read.schema(documents.schema).parquet(f"{path}/documents")
-    numbers = stage(number_rows(stored.select("doc_id").distinct(), "_n", "doc_id"), "doc-numbers")
-    places = numbers.select("doc_id", F.floor(F.col("_n") / RANGE_DOCS).alias("range"), (F.col("_n") % RANGE_DOCS).cast("int").alias("place"))
-    placed = spread(lookup_join(stored, places, "doc_id"), "range")
-    postings = build_postings(placed, keep=("range", "place")).sortWithinPartitions("field", "term", "doc_id")
-    postings.write.partitionBy("field").parquet(f"{path}/postings")
-    saved = spark.read.parquet(f"{path}/postings")
-    freqs = saved.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    freqs.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/doc-freqs")
-    field_stats(saved).coalesce(1).write.parquet(f"{path}/stats")
-    cells = saved.select("field", "term", "range", "freq", "doc_len", "place").repartitionByRange("field", "term", "range")
-    impacts = cells.groupBy("field", "term", "range").agg(
-        F.max("freq").alias("max_freq"), F.min("doc_len").alias("min_len"), F.expr("bit_or(shiftleft(1L, place))").alias("docs")
-    )
-    impacts.sortWithinPartitions("field", "term", "range").write.partitionBy("field").parquet(f"{path}/ranges")
+    with shuffles_removed(spark):
+        documents.repartitionByRange("id_key").sortWithinPartitions("id_key").write.option("compression", "zstd").parquet(f"{path}/documents")
+        stored = spark.read.schema(documents.schema).parquet(f"{path}/documents")
+        numbers = stage(number_rows(stored.select("doc_id").distinct(), "_n", "doc_id"), "doc-numbers")
+        places = numbers.select("doc_id", F.floor(F.col("_n") / RANGE_DOCS).alias("range"), (F.col("_n") % RANGE_DOCS).cast("int").alias("place"))
+        placed = spread(lookup_join(stored, places, "doc_id"), "range")
+        postings = build_postings(placed, keep=("range", "place")).sortWithinPartitions("field", "term", "doc_id")
+        postings.write.option("compression", "zstd").partitionBy("field").parquet(f"{path}/postings")
+        saved = spark.read.parquet(f"{path}/postings")
+        freqs = saved.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+        freqs.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.option("compression", "zstd").parquet(f"{path}/doc-freqs")
+        field_stats(saved).coalesce(1).write.option("compression", "zstd").parquet(f"{path}/stats")
+        cells = saved.select("field", "term", "range", "freq", "doc_len", "place").repartitionByRange("field", "term", "range")
+        impacts = cells.groupBy("field", "term", "range").agg(
+            F.max("freq").alias("max_freq"), F.min("doc_len").alias("min_len"), F.expr("bit_or(shiftleft(1L, place))").alias("docs")
+        )
+        impacts.sortWithinPartitions("field", "term", "range").write.option("compression", "zstd").partitionBy("field").parquet(f"{path}/ranges")
     return load_index(spark, path)
 
 
